@@ -185,9 +185,12 @@ class ByteBPE:
         order = np.argsort(of, kind="stable")
         return ids[order], np.bincount(of, minlength=n)
 
+    def _symbols(self, buf: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.byte_id[buf[expand(start, lengths)]]
+
     def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: list[int]) -> None:
         lengths = end - start
-        ids, counts = self._merge(self.byte_id[buf[expand(start, lengths)]], lengths)
+        ids, counts = self._merge(self._symbols(buf, start, lengths), lengths)
         n, m = len(ids), len(counts)
         while self.n_ids + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
