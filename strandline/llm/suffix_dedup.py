@@ -8,7 +8,8 @@
 4. The remaining bytes, one text per class, are brought together by key. The suffixes of all texts of a key are sorted
    by the grouping construction in suffix_array.py, and neighbours in that order that agree in `size` bytes repeat.
 5. A key whose texts exceed KEY_BYTES, as next to a passage that very many documents share, would be too much for one
-   task. It is dealt out again by (key, hash of the whole window) and counted there.
+   task. It is dealt out again by (key, hash of the whole window) and counted there; windows found once are taken out of
+   the key's runs, which are otherwise removed.
 
 Texts are UTF-8 bytes; a null text is empty; matches never cross rows; a repeated row is another place; rows with equal
 doc_id (or none) are told apart by their texts; extra columns are left alone.
@@ -151,6 +152,11 @@ def _sorted_keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     out: list[tuple] = []
 
     def settle() -> None:
+        # texts without a window whose hash comes twice have nothing to find
+        hashes = [SpanHash(np.frombuffer(g[6], np.uint8)).rolling(size) for g in group]
+        values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        twice = values[counts > 1]
+        group[:] = [g for g, h in zip(group, hashes, strict=True) if np.isin(h, twice).any()]
         if all(g[5] > 1 for g in group):
             return
         found = repeated_windows([g[6] for g in group], [g[4] for g in group], [g[5] for g in group], size)
@@ -188,14 +194,23 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([full(doc_id, pa.int64()), full(row_key, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32)), full(key, pa.int64()), pa.array(whole.view(np.int64)), full(copies, pa.int64())], schema=_WINDOWS)
 
 
-def _cover(length: int, starts, counts, size: int) -> np.ndarray:
-    """Which of a text's bytes lie in a window that repeats."""
-    edge = np.zeros(length + 1, np.int64)
+def _cover(length: int, starts, counts, once, size: int) -> np.ndarray:
+    """Which of a text's bytes lie in a window that repeats: those of the runs (starts, counts) but for once."""
+    edge = np.zeros(length + 2, np.int64)
     if starts is not None and len(starts):
         s, n = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
         np.add.at(edge, s, 1)
-        np.add.at(edge, s + n + size - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+        np.add.at(edge, s + n, -1)
+    window = np.cumsum(edge[: length + 1]) > 0
+    if once is not None and len(once):
+        window[np.asarray(once, np.int64)] = False
+    begins = np.flatnonzero(window[1:] & ~window[:-1]) + 1
+    begins = np.concatenate([[0], begins]) if window[0] else begins
+    ends = np.flatnonzero(window[:-1] & ~window[1:]) + 1
+    cover = np.zeros(length + 1, np.int64)
+    np.add.at(cover, begins, 1)
+    np.add.at(cover, np.minimum(ends + size - 1, length), -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -204,11 +219,11 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def _digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, text, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("__id", "__text", "__starts", "__counts")), strict=True):
+        for doc_id, text, *spans in zip(*(batch.column(c).to_pylist() for c in ("__id", "__text", "__starts", "__counts", "__once")), strict=True):
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            gone = _cover(len(raw), starts, counts, size)
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((doc_id, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            gone = _cover(len(raw), *spans, size)
+            n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            out.append((doc_id, len(raw), int(gone.sum()), n_spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
         yield _batch(out, _OUT)
 
 
@@ -216,10 +231,10 @@ def _kept(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> Ite
     """The rows with what is left of their texts; what a cut leaves of a character goes too."""
     for batch in batches:
         texts, points = [], []
-        for text, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("__text", "__starts", "__counts")), strict=True):
-            if starts:
+        for text, *spans in zip(*(batch.column(c).to_pylist() for c in ("__text", "__starts", "__counts", "__once")), strict=True):
+            if spans[0]:
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                text = raw[~_cover(len(raw), starts, counts, size)].tobytes().decode("utf-8", "ignore")
+                text = raw[~_cover(len(raw), *spans, size)].tobytes().decode("utf-8", "ignore")
             texts.append(text)
             points.append(len(text))
         columns = []
@@ -259,23 +274,25 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
     _tidy(spark)
     sorted_keys = texts.filter("not large").repartition(shuffle_width(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted_keys(b, size), SPANS)
     windows = texts.filter("large").mapInArrow(lambda b: _windows(b, size), WINDOWS)
-    twice = windows.groupBy("key", "whole").agg(F.sum("copies").alias("s")).filter("s > 1").select("key", "whole")
-    dealt = windows.filter("copies = 1").join(twice, ["key", "whole"]).select("doc_id", "row_key", "start", F.lit(1).alias("n"))
+    place = F.min(F.struct("doc_id", "row_key", "start")).alias("at")
+    once = windows.groupBy("key", "whole").agg(F.sum("copies").alias("s"), place).filter("s = 1").select("at.*", F.lit(0).alias("n"))
+    dealt = texts.filter("large and copies = 1").select("doc_id", "row_key", "start", "n")
     whole = asked.join(classes.filter("copies > 1").select("key", "class", "n"), ["key", "class", "n"]).select("doc_id", "row_key", "start", "n")
-    spans = sorted_keys.unionByName(dealt).unionByName(whole)
-    by_row = spans.groupBy("doc_id", "row_key").agg(F.collect_list("start").alias("__starts"), F.collect_list("n").alias("__counts"))
+    spans = sorted_keys.unionByName(dealt).unionByName(whole).unionByName(once)
+    run = F.col("n") > 0
+    by_row = spans.groupBy("doc_id", "row_key").agg(F.collect_list(F.when(run, F.col("start"))).alias("__starts"), F.collect_list(F.when(run, F.col("n"))).alias("__counts"), F.collect_list(F.when(~run, F.col("start"))).alias("__once"))
     return _joined(keyed, by_row)
 
 
 def _joined(keyed: DataFrame, by_row: DataFrame) -> DataFrame:
-    spans = by_row.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r"), "__starts", "__counts")
+    spans = by_row.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r"), "__starts", "__counts", "__once")
     return keyed.join(spans, (F.col("__key") == F.col("__r")) & F.col("__id").eqNullSafe(F.col("__d")), "left").drop("__d", "__r", "__key")
 
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text)."""
     found = _with_spans(docs.select("doc_id", "text"), size, gram, key_bytes)
-    return found.select("__id", "__text", "__starts", "__counts").mapInArrow(lambda b: _digests(b, size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("__id", "__text", "__starts", "__counts", "__once").mapInArrow(lambda b: _digests(b, size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
