@@ -136,9 +136,9 @@ class SpanHash:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every run without white space; runs end at row ends."""
-    space = _IS_SPACE[buf]
+def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run without white space (or other bytes between words); runs end at row ends."""
+    space = between[buf]
     begins = ~space
     begins[1:] &= space[:-1]
     edges = offs[(offs > 0) & (offs < len(buf))]
