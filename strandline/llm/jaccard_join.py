@@ -10,9 +10,12 @@ leave groups as large as the largest family of near copies, so the groups are re
    CAP (a capped metric is a metric), put every set into the Voronoi region of its nearest pivot. By the triangle
    inequality a linked set of another region is at most 2 r further from that pivot than from its own, so boundary sets
    within this window enter that region too; sets CAP - r or further from all pivots make one more region. Regions
-   are groups again, without the pivots, and join recursively.
+   are groups again, without the pivots, and join recursively. A group whose regions would hold more than SPREAD times
+   its sets stays whole for the next pivots.
 3. Groups of up to LEAF sets compare the pairs not yet connected.
 
+Groups with the same members, as one family makes by each of its shingles, count once.
+
 Every distance that counts comes from the complete sets. Before they are fetched, a pair must pass a bound that holds
 for any sets: the overlap is at most the sum of the smaller counts over hash buckets of the shingles.
 
@@ -38,8 +41,9 @@ from .components import components
 WORDS = 3
 #: Two sets link when PER_HUNDRED * union <= 100 * intersection.
 PER_HUNDRED = 90
-LEAF = 24
-PIVOTS = 4
+LEAF = 192
+PIVOTS = 8
+SPREAD = 1.5
 CAP = 0.4
 BUCKETS = 128
 #: Shingles told apart as frequent; they only decide which shingles come last in the order.
@@ -185,7 +189,9 @@ def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame
     """(g, x, root) of groups that hold more than one component."""
     rooted = members.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").select("g", "x", F.coalesce("root", "x").alias("root"))
     rooted = ws.put(rooted, "members")
-    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("g", "size")
+    mark = F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(38,0)"))
+    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min("x").alias("first"), mark.alias("mark")).filter("lo <> hi")
+    several = several.groupBy("size", "first", "mark").agg(F.min("g").alias("g")).select("g", "size")
     return ws.put(rooted.join(several, "g"), "groups")
 
 
@@ -229,7 +235,10 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFram
         eps = 1e-9
         within = F.filter("all", lambda v: (v["d"] < CAP) & (v["d"] <= F.col("own") + 2 * r + eps))
         regions = F.concat(F.transform(within, lambda v: v["p"]), F.when(F.col("own") >= CAP - r - eps, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
-        members = ws.put(nearest.select("x", F.col("g").alias("g0"), F.explode(regions).alias("q")).select(F.xxhash64("g0", "q", F.lit(depth)).alias("g"), "x"), "members")
+        regions = ws.put(nearest.select("g", "x", regions.alias("qs")), "regions")
+        wide = regions.groupBy("g").agg((F.sum(F.size("qs")) > SPREAD * F.count("*")).alias("wide"))
+        split = F.when(F.col("wide"), F.array(F.lit(-2).cast("long"))).otherwise(F.col("qs"))
+        members = regions.join(wide, "g").select("x", F.col("g").alias("g0"), F.explode(split).alias("q")).select(F.xxhash64("g0", "q", F.lit(depth)).alias("g"), "x")
         links += [n.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")) for n in new]
 
 
