@@ -17,7 +17,6 @@ doc_id (or none) are told apart by their texts; extra columns are left alone.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, Workspace, prepare, read, shuffle_width, slices, utf8
+from .common import SpanHash, Workspace, prepare, read, shuffle_width, slices, tidy, utf8
 from .suffix_array import suffix_array
 
 SIZE = 200
@@ -244,12 +243,6 @@ def _kept(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> Ite
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of what has been written; they may be larger than the input."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFrame:
     """docs with __id, __text, and the starts and lengths of runs of repeated windows."""
     spark = docs.sparkSession
@@ -261,7 +254,8 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
     found = ws.put(keyed.select("__id", "__key", "__text").mapInArrow(lambda b: _runs(b, size, gram), RUNS), "runs")
     often = found.groupBy("key").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("w")).filter("w > 1").select("key")
     asked = ws.put(found.join(often, "key"), "asked")
-    _tidy(spark)
+    ws.drop(found)
+    tidy(spark)
     classes = asked.groupBy("key", "class", "n").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("row_key", "start", "doc_id")).alias("first"))
     classes = ws.put(classes.select("key", "class", "n", "copies", "again", "first.*"), "classes")
     keys = classes.groupBy("key").agg(F.count("*").alias("c"), F.max("again").alias("again"), F.min("copies").alias("least"), F.sum(F.col("n") + size - 1).alias("held"))
@@ -269,9 +263,9 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
     wanted = classes.join(open_keys, "key").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "class", "start", "n", "copies", "large")).alias("asked"))
     same_row = (F.col("__key") == F.col("row_key")) & F.col("__id").eqNullSafe(F.col("doc_id"))
     rows = keyed.select("__id", "__key", "__text").join(wanted, same_row).select("doc_id", "row_key", "__text", "asked")
-    texts = rows.mapInArrow(lambda b: _texts(b, size), TEXTS).dropDuplicates(["key", "class", "n"])
-    texts = ws.put(texts, "texts")
-    _tidy(spark)
+    # a repeated row brings its classes twice, but those have two copies anyway
+    texts = ws.put(rows.mapInArrow(lambda b: _texts(b, size), TEXTS), "texts")
+    tidy(spark)
     sorted_keys = texts.filter("not large").repartition(shuffle_width(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted_keys(b, size), SPANS)
     windows = texts.filter("large").mapInArrow(lambda b: _windows(b, size), WINDOWS)
     place = F.min(F.struct("doc_id", "row_key", "start")).alias("at")
