@@ -17,11 +17,11 @@ columns are left alone.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -299,9 +299,11 @@ def _evidence(table: Words, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
         return np.log(p / q) * np.minimum(1, np.maximum(pos, neg) / 4)
 
-    word = ratio(table.index, rows, len(table.hashes))
-    reps = table.counts[table.index]
-    char = ratio(table.grams[expand(table.at[table.index], reps)], np.repeat(rows, reps), CHAR_ROWS)
+    pairs = np.unique(rows.astype(np.int64) * len(table.hashes) + table.index)
+    rows, index = pairs // len(table.hashes), pairs % len(table.hashes)
+    word = ratio(index, rows, len(table.hashes))
+    reps = table.counts[index]
+    char = ratio(table.grams[expand(table.at[index], reps)], np.repeat(rows, reps), CHAR_ROWS)
     return word + np.maximum.reduceat(char[table.grams], table.at)
 
 
@@ -367,7 +369,8 @@ def _scores(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Reco
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, points: int = SAMPLE_POINTS) -> Network:
-    """Trains on the driver from a bounded sample: `rows` rows of each label at most, none over `points` code points."""
+    """Trains in one task from a bounded sample: `rows` rows of each label at most, none over `points` code points."""
+    prepare(docs.sparkSession)
     id_text = F.col("doc_id").cast("long").cast("string")
     usable = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(id_text) % HELD_OUT_OF != 0)).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     usable = usable.groupBy("id").agg(F.max("y").alias("y"))
@@ -376,8 +379,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, points: int
     ids = F.broadcast(pick(0).unionAll(pick(1)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t")).filter(F.length("t") <= points).join(ids, "id")
-    sample: pd.DataFrame = found.groupBy("id", "y").agg(F.min("t").alias("t")).toPandas().sort_values("id")
-    return train(sample["t"].tolist(), sample["y"].tolist())
+    sample = found.groupBy("id", "y").agg(F.min("t").alias("t"))
+    return pickle.loads(sample.repartition(1).mapInArrow(_trained, "net binary").first()[0])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    net = train([t for _, _, t in rows], [y for _, y, _ in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
