@@ -1,7 +1,8 @@
 """N-gram Jaccard join in metric space.
 
 Jaccard distance over sets of word shingles is a metric; two sets link within radius r. Linked sets share one of the
-first few shingles of each in any common order, so sets meet in groups by those shingles, rarest first. That alone would
+first few shingles of each in any common order, so sets meet in groups by those shingles, rarest first, and by size: their
+sizes differ by a factor below 1 - r, so a set enters the rings of its own and the next logarithmic size. That alone would
 leave groups as large as the largest family of near copies, so the groups are resolved by pivots:
 
 1. Every group takes a pivot, its least member by a hash, which a family's groups mostly agree on. All distances to it
@@ -27,6 +28,7 @@ member has one. Extra columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Workspace, mix, prepare, read, slices, utf8, words
+from .common import LOWER, SpanHash, Workspace, mix, prepare, read, slices, tidy, utf8, words
 from .components import components
 
 WORDS = 3
@@ -154,7 +156,14 @@ NODES = "node long, n long, buckets array<int>, members array<long>"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], order: Order, k: int) -> Iterator[pa.RecordBatch]:
+    """The whole set of each node; a repeated row comes again, mostly next to the first, and is passed over there."""
+    last = None
     for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        fresh = np.append(True, ids[1:] != ids[:-1])
+        fresh[0] = ids[0] != last
+        last = ids[-1]
+        batch = batch.filter(pa.array(fresh))
         buf, offs = utf8(batch.column(1))
         for a, b in slices(offs):
             key, at = sets_of(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], order, k)
@@ -238,7 +247,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFram
         regions = ws.put(nearest.select("g", "x", regions.alias("qs")), "regions")
         wide = regions.groupBy("g").agg((F.sum(F.size("qs")) > SPREAD * F.count("*")).alias("wide"))
         split = F.when(F.col("wide"), F.array(F.lit(-2).cast("long"))).otherwise(F.col("qs"))
-        members = regions.join(wide, "g").select("x", F.col("g").alias("g0"), F.explode(split).alias("q")).select(F.xxhash64("g0", "q", F.lit(depth)).alias("g"), "x")
+        members = regions.join(wide, "g").select("x", F.col("g").alias("g0"), F.explode(split).alias("q")).select(F.xxhash64("g0", "q", F.lit(depth)).alias("g"), "x").distinct()
         links += [n.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")) for n in new]
 
 
@@ -260,9 +269,18 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     spread = rows.select("row_id", F.explode("prefix").alias("g")).join(chosen.select(F.col("node").alias("row_id")), "row_id")
     often = spread.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     members = ws.put(spread.join(often, "g").select("g", F.col("row_id").alias("x")), "members")
+    ring = F.floor(F.log("n") / (-math.log(PER_HUNDRED / 100) * (1 + 1e-9))).cast("int")
+    rings = members.join(classes.select(F.col("row_id").alias("x"), ring.alias("ring")), "x").select("x", "g", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
+    rings = rings.select(F.xxhash64("g", "ring").alias("g"), "x")
+    often = rings.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+    meeting = ws.put(rings.join(often, "g"), "meeting")
+    ws.drop(members)
+    members = meeting
+    tidy(spark)
     wanted = classes.join(members.select(F.col("x").alias("row_id")).distinct(), "row_id").select("doc_id", "row_key", F.col("row_id").alias("node"))
     texts = keyed.join(wanted, (F.col("__key") == F.col("row_key")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "__text")
-    nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES).dropDuplicates(["node"]), "nodes")
+    nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES), "nodes")
+    tidy(spark)
     roots = link_groups(members, nodes, ws)
     rooted = classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
     rooted = ws.put(rooted.select(*marks, "root", "none", "doc_id", "row_id", "row_key"), "rooted")
