@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import graph_queries, interval_queries, report_queries, score_queries, sequence_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
