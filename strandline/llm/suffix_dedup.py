@@ -31,7 +31,7 @@ from .suffix_array import suffix_array
 SIZE = 200
 GRAM = 24
 #: Bytes that one suffix array may sort.
-KEY_BYTES = 1 << 16
+KEY_BYTES = 1 << 14
 
 RUNS = "doc_id long, row_key long, key long, class long, start int, n int, again boolean"
 
