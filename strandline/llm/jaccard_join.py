@@ -175,22 +175,24 @@ def _nodes(batches: Iterator[pa.RecordBatch], order: Order, k: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(at).astype(np.int64)), buckets, members], names=["node", "n", "buckets", "members"])
 
 
-def _measure(pairs: DataFrame, nodes: DataFrame, cap: float, ws: Workspace) -> DataFrame:
+def _measure(pairs: DataFrame, nodes: DataFrame, cap: float, ws: Workspace, per_hundred: int) -> DataFrame:
     """(x, p, linked, d) of the distinct pairs (x, p) whose distance is below or about cap; d is exact."""
+    has = ["n", "buckets"] if "buckets" in nodes.columns else ["n"]
 
     def side(c: str, *names: str) -> DataFrame:
         return nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names))
 
-    near = pairs.join(side("x", "n", "buckets"), "x").join(side("p", "n", "buckets"), "p")
+    near = pairs.join(side("x", *has), "x").join(side("p", *has), "p")
     # with overlap o the distance is at least cap when (2 - cap) o <= (1 - cap) (n_x + n_p); o is at most the smaller set
     least = lambda o: (F.lit(2 - cap) * o) >= (F.lit(1 - cap) * (F.col("n_x") + F.col("n_p")) - 1e-6)
     near = near.filter(least(F.least("n_x", "n_p")))
-    bound = F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    near = ws.put(near.filter(least(bound)).select("x", "p", "n_x", "n_p"), "near")
+    if len(has) > 1:
+        near = near.filter(least(F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)))
+    near = ws.put(near.select("x", "p", "n_x", "n_p"), "near")
     full = near.join(side("x", "members"), "x").join(side("p", "members"), "p")
     both = F.size(F.array_intersect("members_x", "members_p"))
     union = F.col("n_x") + F.col("n_p") - F.col("both")
-    out = full.select("x", "p", "n_x", "n_p", both.cast("long").alias("both")).select("x", "p", (100 * F.col("both") >= PER_HUNDRED * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
+    out = full.select("x", "p", "n_x", "n_p", both.cast("long").alias("both")).select("x", "p", (100 * F.col("both") >= per_hundred * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
     return ws.put(out, "distances")
 
 
@@ -204,13 +206,17 @@ def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame
     return ws.put(rooted.join(several, "g"), "groups")
 
 
-def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
-    """Roots (node, root) of the components that the linked pairs inside groups (g, x) make."""
-    r = 1 - PER_HUNDRED / 100
+def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int = PER_HUNDRED) -> DataFrame:
+    """Roots (node, root) of the components that the linked pairs inside groups (g, x) make.
+
+    nodes: node, n, members (its set), and buckets if sets are worth a bound before they are fetched. DataFrame
+    functions only.
+    """
+    r = 1 - per_hundred / 100
     by_hash = lambda salt: F.struct(F.xxhash64("x", F.lit(salt)).alias("h"), F.col("x").alias("x"))
     pivots = members.groupBy("g").agg(F.min(by_hash(0)).alias("m")).select("g", F.col("m.x").alias("p"))
     pivoted = members.join(pivots, "g").filter("x <> p")
-    links = [_measure(pivoted.select("x", "p").distinct(), nodes, r, ws).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
+    links = [_measure(pivoted.select("x", "p").distinct(), nodes, r, ws, per_hundred).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
     members, depth = pivoted.select("g", "x"), 0
     while True:
         found = links[0]
@@ -226,7 +232,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFram
         small = groups.filter(f"size <= {LEAF}")
         other = small.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
         pairs = small.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct()
-        new.append(_measure(pairs, nodes, r, ws))
+        new.append(_measure(pairs, nodes, r, ws, per_hundred))
         if sizes <= LEAF:
             links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             found = found.unionAll(links[-1])
@@ -236,7 +242,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFram
         pivots = ws.put(large.withColumn("k", nth).filter(F.col("k") <= PIVOTS).select("g", F.col("x").alias("p")), "pivots")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
         apart = ws.put(large.join(pivots, "g").filter("x <> p"), "apart")
-        measured = _measure(apart.select("x", "p").distinct(), nodes, CAP, ws)
+        measured = _measure(apart.select("x", "p").distinct(), nodes, CAP, ws, per_hundred)
         new.append(measured)
         d = F.least(F.coalesce("d", F.lit(CAP)), F.lit(CAP))
         placed = rest.join(pivots, "g").join(measured.select("x", "p", "d"), ["x", "p"], "left").select("g", "x", "p", d.alias("d"))
