@@ -7,13 +7,14 @@ leave groups as large as the largest family of near copies, so the groups are re
 
 1. Every group takes a pivot, its least member by a hash, which a family's groups mostly agree on. All distances to it
    are found, which settles the pivot; sets that turn out connected need no further comparison.
-2. Groups that still hold several components and more than LEAF sets take PIVOTS pivots. Distances to them, capped at
+2. Groups that still hold several components and more than LEAF sets merge with those of the same pivot: one family has
+   many almost equal groups. Groups of more than MOST sets take PIVOTS pivots. Distances to them, capped at
    CAP (a capped metric is a metric), put every set into the Voronoi region of its nearest pivot. By the triangle
    inequality a linked set of another region is at most 2 r further from that pivot than from its own, so boundary sets
    within this window enter that region too; sets CAP - r or further from all pivots make one more region. Regions
    are groups again, without the pivots, and join recursively. A group whose regions would hold more than SPREAD times
    its sets stays whole for the next pivots.
-3. Groups of up to LEAF sets compare the pairs not yet connected.
+3. Groups of up to MOST sets compare the pairs not yet connected; nearly all fall to the bound below.
 
 Groups with the same members, as one family makes by each of its shingles, count once.
 
@@ -43,10 +44,10 @@ from .components import components
 WORDS = 3
 #: Two sets link when PER_HUNDRED * union <= 100 * intersection.
 PER_HUNDRED = 90
-LEAF = 192
-PIVOTS = 8
+LEAF, MOST = 64, 1024
+PIVOTS = 32
 SPREAD = 1.5
-CAP = 0.4
+CAP = 0.3
 BUCKETS = 128
 #: Shingles told apart as frequent; they only decide which shingles come last in the order.
 FREQUENT = 1 << 16
@@ -224,20 +225,25 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
             found = found.unionAll(more)
         roots = ws.put(components(found, ws), "roots")
         groups = _unsettled(members, roots, ws)
-        sizes = groups.agg(F.max("size")).first()[0]
-        if sizes is None:
+        if groups.isEmpty():
             return roots
         depth += 1
+        large = groups.filter(f"size > {LEAF}")
+        named = large.groupBy("g").agg(F.min(by_hash(depth)).alias("m")).select("g", F.col("m.x").alias("name"))
+        merged = large.join(named, "g").select(F.col("name").alias("g"), "x", "root").distinct()
+        merged = merged.join(merged.groupBy("g").agg(F.count("*").alias("size")), "g").select("g", "x", "root", "size")
+        groups = ws.put(groups.filter(f"size <= {LEAF}").select("g", "x", "root", "size").unionAll(merged), "merged")
+        sizes = groups.agg(F.max("size")).first()[0]
         new = []
-        small = groups.filter(f"size <= {LEAF}")
+        small = groups.filter(f"size <= {MOST}")
         other = small.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
         pairs = small.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct()
         new.append(_measure(pairs, nodes, r, ws, per_hundred))
-        if sizes <= LEAF:
+        if sizes <= MOST:
             links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             found = found.unionAll(links[-1])
             return ws.put(components(found, ws), "roots")
-        large = groups.filter(f"size > {LEAF}").select("g", "x")
+        large = groups.filter(f"size > {MOST}").select("g", "x")
         nth = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x", F.lit(depth)), "x"))
         pivots = ws.put(large.withColumn("k", nth).filter(F.col("k") <= PIVOTS).select("g", F.col("x").alias("p")), "pivots")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
