@@ -380,7 +380,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, points: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t")).filter(F.length("t") <= points).join(ids, "id")
     sample = found.groupBy("id", "y").agg(F.min("t").alias("t"))
-    return pickle.loads(sample.repartition(1).mapInArrow(_trained, "net binary").first()[0])
+    found = sample.repartition(1).mapInArrow(_trained, "net binary").first()
+    return pickle.loads(found[0]) if found else train([], [])
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
