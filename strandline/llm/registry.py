@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 _MODULES = {
     "op1_toxicity": "toxicity",
@@ -19,9 +18,6 @@ _MODULES = {
 }
 
 
-_MODULES = {k: v for k, v in _MODULES.items() if importlib.util.find_spec(f"{__package__}.{v}")}
-
-
 def _module(name: str):
     return importlib.import_module(f"{__package__}.{_MODULES[name]}")
 
