@@ -44,7 +44,7 @@ from .components import components
 WORDS = 3
 #: Two sets link when PER_HUNDRED * union <= 100 * intersection.
 PER_HUNDRED = 90
-LEAF, MOST = 64, 1024
+LEAF, MOST = 16, 1024
 PIVOTS = 32
 SPREAD = 1.5
 CAP = 0.3
@@ -294,6 +294,8 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES), "nodes")
     tidy(spark)
     roots = link_groups(members, nodes, ws)
+    ws.drop(nodes, members)
+    tidy(spark)
     rooted = classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
     rooted = ws.put(rooted.select(*marks, "root", "none", "doc_id", "row_id", "row_key"), "rooted")
     named = rooted.groupBy("root").agg(F.min(F.struct("none", "doc_id", "row_id")).alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row_id").alias("keep_row"))
