@@ -111,3 +111,24 @@ def map_position(segments: Column, pos: Column, direction: str = "left") -> Colu
 def splice(seq: Column, exons: Column) -> Column:
     """Concatenation of exons, array<struct<begin, end>> (0-based, half open), of a sequence."""
     return F.array_join(F.transform(exons, lambda e: F.substring(seq, e["begin"] + 1, e["end"] - e["begin"])), "")
+
+
+STOPS = ("TAA", "TAG", "TGA")
+
+
+def first_orf(s: Column) -> Column:
+    """struct(start, stop) of the first ATG, both 0-based and -1 for none; stop begins the first stop codon in frame."""
+    start = F.instr(s, "ATG") - 1
+    count = F.floor((F.length(s) - start) / 3).cast("int")
+    codon = lambda i: F.substring(s, start + i * 3 + 1, F.lit(3))
+    found = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: codon(i).isin(*STOPS))
+    stop = F.when((start >= 0) & (F.size(found) > 0), start + F.get(found, F.lit(0)) * 3).otherwise(F.lit(-1))
+    return F.struct(start.alias("start"), stop.alias("stop"))
+
+
+def coding_change(ref_stop: Column, alt_stop: Column, ref_start: Column, alt_start: Column) -> Column:
+    """noncoding to coding, by three rules in order, or null: no start before, a frame twice as long now, or a doubtful
+    reference that has a start and no stop."""
+    ref_length, alt_length = ref_stop - ref_start, alt_stop - alt_start
+    has = (alt_start >= 0) & (alt_stop >= 0)
+    return F.when(has & (ref_start < 0), "ref-no-start-codon").when(has & (ref_stop >= 0) & (alt_length >= 2 * ref_length), "ref-ORF-too-short").when(has & (ref_stop < 0), "possible-misannotation")

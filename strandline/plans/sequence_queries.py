@@ -190,3 +190,30 @@ def trim(spark, sf):
 def variant_kind(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.repeat(F.lit("A"), F.col("p_size") % 3).alias("r"), F.repeat(F.lit("C"), F.floor(F.col("p_size") / 3).cast("int") % 3).alias("a"))
     return p.select("p_partkey", sq.variant_kind(F.col("r"), F.col("a")).alias("kind"))
+
+
+#: Any letter of a text stands for a base by its place in the alphabet (fixed rule).
+_BASES = "translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACA')"
+
+
+@query(
+    "p05_first_orf",
+    f"""
+WITH d AS (SELECT doc_id, {_BASES} AS s FROM documents), a AS (SELECT doc_id, s, instr(s, 'ATG') AS b FROM d),
+k AS (SELECT doc_id, min(i) AS i FROM a, unnest(generate_series(0, CAST(floor((length(s) - b + 1) / 3) AS BIGINT) - 1)) u(i) WHERE b > 0 AND substr(s, CAST(b + i * 3 AS BIGINT), 3) IN ('TAA', 'TAG', 'TGA') GROUP BY 1)
+SELECT doc_id, CAST(b - 1 AS INT) AS start, CAST(CASE WHEN i IS NULL THEN -1 ELSE b - 1 + i * 3 END AS INT) AS stop FROM a LEFT JOIN k USING (doc_id)
+""",
+)
+def first_orf(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_BASES).alias("s"))
+    return d.select("doc_id", sq.first_orf(F.col("s")).alias("o")).select("doc_id", F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
+
+
+@query("p08_protein_identity")
+def protein_identity(spark, sf):
+    """Each part's protein against the next part's of its brand."""
+    from ..operators.alignment import identity
+
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", sq.translate_codons(F.expr(_DNA)).alias("a"))
+    p = p.withColumn("b", F.lead("a").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).filter("b is not null")
+    return p.select("p_partkey", F.round(identity(F.col("a"), F.col("b")), 6).alias("identity"))

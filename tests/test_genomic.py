@@ -138,3 +138,20 @@ def test_n_best_equals_all_paths(spark):
 def test_islands_touch_and_nest(spark):
     df = spark.createDataFrame([(1, 0, 10, 1), (1, 2, 3, 2), (1, 10, 12, 3), (1, 20, 21, 4)], "g int, b int, e int, i int")
     assert {(r.begin, r.end, r.members) for r in intervals.islands(df, ["g"], "b", "e", "i").collect()} == {(0, 12, 3), (20, 21, 1)}
+
+
+def test_alignment():
+    from strandline.operators.alignment import matches, read_matrix
+
+    assert matches("MKV", "MKV") == 3
+    assert matches("MKVL", "MKL") == 3
+    assert matches("", "MK") == 0
+    assert matches("AAAA", "TTTT") == 0
+    m = read_matrix("  A C\nA 1 -9\nC -9 1\n")
+    assert m["A", "C"] == -9
+    assert matches("AC", "AC", m) == 2
+
+
+def test_first_orf(spark):
+    for s, want in (("CCATGAAATAAG", (2, 8)), ("ATGAA", (0, -1)), ("CCC", (-1, -1)), ("", (-1, -1))):
+        assert tuple(one(spark, sq.first_orf(F.col("s")), s=s)) == want
