@@ -8,7 +8,7 @@ leave groups as large as the largest family of near copies, so the groups are re
 1. Every group takes a pivot, its least member by a hash, which a family's groups mostly agree on. All distances to it
    are found, which settles the pivot; sets that turn out connected need no further comparison.
 2. Groups that still hold several components and more than LEAF sets merge with those of the same pivot: one family has
-   many almost equal groups. Groups of more than MOST sets take PIVOTS pivots. Distances to them, capped at
+   many almost equal groups. Groups of more than MOST sets take PIVOTS pivots, of small components first. Distances to them, capped at
    CAP (a capped metric is a metric), put every set into the Voronoi region of its nearest pivot. By the triangle
    inequality a linked set of another region is at most 2 r further from that pivot than from its own, so boundary sets
    within this window enter that region too; sets CAP - r or further from all pivots make one more region. Regions
@@ -44,8 +44,8 @@ from .components import components
 WORDS = 3
 #: Two sets link when PER_HUNDRED * union <= 100 * intersection.
 PER_HUNDRED = 90
-LEAF, MOST = 16, 1024
-PIVOTS = 32
+LEAF, MOST = 16, 4096
+PIVOTS = 64
 SPREAD = 1.5
 CAP = 0.3
 BUCKETS = 128
@@ -243,9 +243,12 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
             links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             found = found.unionAll(links[-1])
             return ws.put(components(found, ws), "roots")
-        large = groups.filter(f"size > {MOST}").select("g", "x")
-        nth = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x", F.lit(depth)), "x"))
+        large = groups.filter(f"size > {MOST}").select("g", "x", "root")
+        # members of a group's small components first: once all but one component have been pivots, it is settled
+        large = large.join(large.groupBy("g", "root").agg(F.count("*").alias("own")), ["g", "root"]).select("g", "x", "own")
+        nth = F.row_number().over(Window.partitionBy("g").orderBy("own", F.xxhash64("x", F.lit(depth)), "x"))
         pivots = ws.put(large.withColumn("k", nth).filter(F.col("k") <= PIVOTS).select("g", F.col("x").alias("p")), "pivots")
+        large = large.select("g", "x")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
         apart = ws.put(large.join(pivots, "g").filter("x <> p"), "apart")
         measured = _measure(apart.select("x", "p").distinct(), nodes, CAP, ws, per_hundred)
