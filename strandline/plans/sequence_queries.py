@@ -212,8 +212,10 @@ def first_orf(spark, sf):
 @query("p08_protein_identity")
 def protein_identity(spark, sf):
     """Each part's protein against the next part's of its brand."""
+    from ..functions.shipping import ship
     from ..operators.alignment import identity
 
+    ship(spark)
     p = table(spark, sf, "part").select("p_partkey", "p_brand", sq.translate_codons(F.expr(_DNA)).alias("a"))
     p = p.withColumn("b", F.lead("a").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).filter("b is not null")
     return p.select("p_partkey", F.round(identity(F.col("a"), F.col("b")), 6).alias("identity"))

@@ -125,8 +125,11 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """One parenthesised report a row, as JSON of nested arrays [tag, child, ...]."""
     import json
 
+    from ..functions.shipping import ship
     from ..operators.splicing import trees
 
+    ship(spark)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [json.dumps(t) for text in pdf["value"] for t in trees(text.split("\n"))]
