@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.shipping import ship
+
 #: ASCII white space, the separators of every word rule here (fixed values).
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows in one Arrow batch; keeps a batch of long texts far below a worker's memory.
@@ -35,7 +37,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that executors hand to Python."""
+    """Sends the package to the executors and bounds the Arrow batches that they hand to Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
