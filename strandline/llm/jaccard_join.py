@@ -14,7 +14,8 @@ leave groups as large as the largest family of near copies, so the groups are re
    within this window enter that region too; sets CAP - r or further from all pivots make one more region. Regions
    are groups again, without the pivots, and join recursively. A group whose regions would hold more than SPREAD times
    its sets stays whole for the next pivots.
-3. Groups of up to MOST sets compare the pairs not yet connected; nearly all fall to the bound below.
+3. Groups of up to MOST sets compare the pairs not yet connected inside one task, which writes only the few that pass
+   the bound below.
 
 Groups with the same members, as one family makes by each of its shingles, count once.
 
@@ -35,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Workspace, mix, prepare, read, slices, tidy, utf8, words
+from .common import LOWER, SpanHash, Workspace, mix, prepare, read, shuffle_width, slices, tidy, utf8, words
 from .components import components
 
 WORDS = 3
@@ -176,25 +177,82 @@ def _nodes(batches: Iterator[pa.RecordBatch], order: Order, k: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(at).astype(np.int64)), buckets, members], names=["node", "n", "buckets", "members"])
 
 
-def _measure(pairs: DataFrame, nodes: DataFrame, cap: float, ws: Workspace, per_hundred: int) -> DataFrame:
-    """(x, p, linked, d) of the distinct pairs (x, p) whose distance is below or about cap; d is exact."""
-    has = ["n", "buckets"] if "buckets" in nodes.columns else ["n"]
+def _least_overlap(cap: float, o: Column, sizes: Column) -> Column:
+    """Whether an overlap of o can mean a distance of cap or less: (2 - cap) o >= (1 - cap) (n_x + n_p)."""
+    return (F.lit(2 - cap) * o) >= (F.lit(1 - cap) * sizes - 1e-6)
 
-    def side(c: str, *names: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names))
 
-    near = pairs.join(side("x", *has), "x").join(side("p", *has), "p")
-    # with overlap o the distance is at least cap when (2 - cap) o <= (1 - cap) (n_x + n_p); o is at most the smaller set
-    least = lambda o: (F.lit(2 - cap) * o) >= (F.lit(1 - cap) * (F.col("n_x") + F.col("n_p")) - 1e-6)
-    near = near.filter(least(F.least("n_x", "n_p")))
+def _near(pairs: DataFrame, nodes: DataFrame, cap: float) -> DataFrame:
+    """The pairs (x, p) that the bounds leave, with n_x and n_p. The overlap is at most the smaller set, and at most the
+    sum of the smaller bucket counts where nodes have buckets."""
+    has = ["n", "buckets"] if "buckets" in nodes.columns else ["n"]
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in has))
+    near = pairs.join(side("x"), "x").join(side("p"), "p")
+    sizes = F.col("n_x") + F.col("n_p")
+    near = near.filter(_least_overlap(cap, F.least("n_x", "n_p"), sizes))
     if len(has) > 1:
-        near = near.filter(least(F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)))
-    near = ws.put(near.select("x", "p", "n_x", "n_p"), "near")
-    full = near.join(side("x", "members"), "x").join(side("p", "members"), "p")
+        bound = F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+        near = near.filter(_least_overlap(cap, bound, sizes))
+    return near.select("x", "p", "n_x", "n_p")
+
+
+_NEAR = pa.schema([("x", pa.int64()), ("p", pa.int64()), ("n_x", pa.int64()), ("n_p", pa.int64())])
+
+
+def _leaves(batches: Iterator[pa.RecordBatch], cap: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within each group, of at most MOST sets, that the bounds leave. Rows come sorted by
+    group; pairs are tried block by block and only those that pass are ever written."""
+    held: list[tuple] = []
+    key = None
+
+    def compare() -> Iterator[pa.RecordBatch]:
+        x, root, n = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        buckets = np.array([h[3] for h in held], np.int32)
+        step = max(1, (1 << 22) // (len(held) * BUCKETS))
+        for a in range(0, len(held), step):
+            i = np.arange(a, min(a + step, len(held)))
+            sizes = n[i][:, None] + n
+            open_ = (i[:, None] < np.arange(len(held))) & (root[i][:, None] != root)
+            open_ &= (2 - cap) * np.minimum(n[i][:, None], n) >= (1 - cap) * sizes - 1e-6
+            if not open_.any():
+                continue
+            shared = np.minimum(buckets[i][:, None, :], buckets[None, :, :]).sum(axis=2)
+            r, c = np.nonzero(open_ & ((2 - cap) * shared >= (1 - cap) * sizes - 1e-6))
+            r = i[r]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[r], x[c])), pa.array(np.maximum(x[r], x[c])), pa.array(np.where(x[r] < x[c], n[r], n[c])), pa.array(np.where(x[r] < x[c], n[c], n[r]))], schema=_NEAR)
+
+    for batch in batches:
+        g, x, root, n = (batch.column(k).to_pylist() for k in ("g", "x", "root", "n"))
+        buckets = batch.column("buckets").flatten().to_numpy(zero_copy_only=False).reshape(-1, BUCKETS)
+        for k in range(len(g)):
+            if g[k] != key:
+                if len(held) > 1:
+                    yield from compare()
+                held, key = [], g[k]
+            held.append((x[k], root[k], n[k], buckets[k]))
+    if len(held) > 1:
+        yield from compare()
+
+
+def _near_within(groups: DataFrame, nodes: DataFrame, cap: float) -> DataFrame:
+    """The same for all open pairs of each group (g, x, root)."""
+    if "buckets" not in nodes.columns:
+        other = groups.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
+        return _near(groups.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct(), nodes, cap)
+    spark = groups.sparkSession
+    known = nodes.select(F.col("node").alias("x"), "n", "buckets").dropDuplicates(["x"])
+    rows = groups.select("g", "x", "root").join(known, "x").repartition(shuffle_width(spark), "g").sortWithinPartitions("g", "x")
+    return rows.mapInArrow(lambda b: _leaves(b, cap), "x long, p long, n_x long, n_p long").distinct()
+
+
+def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int) -> DataFrame:
+    """(x, p, linked, d) of near pairs; d is exact."""
+    near = ws.put(near, "near")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}"))
     both = F.size(F.array_intersect("members_x", "members_p"))
+    full = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", "n_x", "n_p", both.cast("long").alias("both"))
     union = F.col("n_x") + F.col("n_p") - F.col("both")
-    out = full.select("x", "p", "n_x", "n_p", both.cast("long").alias("both")).select("x", "p", (100 * F.col("both") >= per_hundred * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
-    return ws.put(out, "distances")
+    return ws.put(full.select("x", "p", (100 * F.col("both") >= per_hundred * union).alias("linked"), (1 - F.col("both") / union).alias("d")), "distances")
 
 
 def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame:
@@ -210,14 +268,14 @@ def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame
 def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """Roots (node, root) of the components that the linked pairs inside groups (g, x) make.
 
-    nodes: node, n, members (its set), and buckets if sets are worth a bound before they are fetched. DataFrame
-    functions only.
+    nodes: node, n, members (its set), and buckets if sets are worth a bound before they are fetched. Without buckets
+    only DataFrame functions run.
     """
     r = 1 - per_hundred / 100
     by_hash = lambda salt: F.struct(F.xxhash64("x", F.lit(salt)).alias("h"), F.col("x").alias("x"))
     pivots = members.groupBy("g").agg(F.min(by_hash(0)).alias("m")).select("g", F.col("m.x").alias("p"))
     pivoted = members.join(pivots, "g").filter("x <> p")
-    links = [_measure(pivoted.select("x", "p").distinct(), nodes, r, ws, per_hundred).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
+    links = [_measure(_near(pivoted.select("x", "p").distinct(), nodes, r), nodes, ws, per_hundred).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
     members, depth = pivoted.select("g", "x"), 0
     while True:
         found = links[0]
@@ -236,9 +294,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         sizes = groups.agg(F.max("size")).first()[0]
         new = []
         small = groups.filter(f"size <= {MOST}")
-        other = small.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
-        pairs = small.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct()
-        new.append(_measure(pairs, nodes, r, ws, per_hundred))
+        new.append(_measure(_near_within(small, nodes, r), nodes, ws, per_hundred))
         if sizes <= MOST:
             links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             found = found.unionAll(links[-1])
@@ -251,7 +307,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         large = large.select("g", "x")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
         apart = ws.put(large.join(pivots, "g").filter("x <> p"), "apart")
-        measured = _measure(apart.select("x", "p").distinct(), nodes, CAP, ws, per_hundred)
+        measured = _measure(_near(apart.select("x", "p").distinct(), nodes, CAP), nodes, ws, per_hundred)
         new.append(measured)
         d = F.least(F.coalesce("d", F.lit(CAP)), F.lit(CAP))
         placed = rest.join(pivots, "g").join(measured.select("x", "p", "d"), ["x", "p"], "left").select("g", "x", "p", d.alias("d"))
