@@ -21,10 +21,10 @@ from .components import components  # noqa: F401  (the union-find that link_grou
 from .jaccard_join import link_groups
 
 SHINGLE = 5
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 4
 PER_HUNDRED = 80
 #: Characters cut from a line at once, so that a position is never searched from the start of a long line.
-PART = 64
+PART = 16
 #: Odd 31-bit factors of the minima's hashes, from one rule.
 _FACTORS = [((0x9E3779B97F4A7C15 * (2 * k + 1)) >> 33 & 0x7FFFFFFF) | 1 for k in range(2 * BANDS * ROWS)]
 
