@@ -2,9 +2,10 @@
 
 Vectors of one label and length are dealt into shards of about SHARD by a hash. Each shard builds a hierarchical
 navigable small-world graph and every vector queries every shard of its label; where a label has more than QUERIES
-vectors, blocks of queries go to tasks of their own. A query widens its beam until the beam reaches below the threshold,
-and a shard doubles all beams until an audit of AUDIT of its vectors against brute force finds RECALL of their links.
-What the beams return is verified as cosine in double precision. A query reports how many vectors of the shard it links
+vectors, blocks of queries go to tasks of their own. Vectors of one direction, in single precision, are one node. A query
+widens its beam until the beam reaches below the threshold, and a shard doubles all beams until an audit of AUDIT of its
+vectors against brute force finds RECALL of their links to others. A beam of 1 / WIDE of the shard or more is brute force:
+such a query meets every node, whether links lead there or not. What the beams return is verified as cosine in double precision. A query reports how many vectors of the shard it links
 with, and one of them for each component the shard's own links make; the components are then joined across shards.
 
 Null labels, and vectors that are null, zero, or hold null or non-finite components, link with nothing. Equal vectors
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, prepare, read, shuffle_width
+from .common import Workspace, expand, prepare, read, shuffle_width
 from .components import components
 
 THRESHOLD = 0.93
@@ -29,6 +30,10 @@ SHARD, QUERIES = 2048, 16384
 LINKS, BEAM_BUILD, BEAM, EXPAND = 12, 48, 24, 4
 AUDIT, RECALL = 64, 0.99
 BATCH = 256
+#: Beams of at least 1 / WIDE of the nodes cost more than comparing with all of them.
+WIDE = 4
+#: Queries answered at once; bounds the pairs held where all are linked.
+ANSWER = 1024
 
 
 class SmallWorld:
@@ -101,8 +106,8 @@ class SmallWorld:
         order = np.argsort(to, kind="stable")
         to, frm = to[order], frm[order]
         targets, first, counts = np.unique(to, return_index=True, return_counts=True)
-        for size in np.unique(np.minimum(counts, 64)).tolist():  # a block of targets with as many new links
-            which = np.flatnonzero(np.minimum(counts, 64) == size)
+        for size in np.unique(counts).tolist():  # a block of targets with as many new links
+            which = np.flatnonzero(counts == size)
             ids = frm[first[which][:, None] + np.arange(size)]
             old = self.near[k][targets[which]].astype(np.int64)
             repeat = (ids[:, :, None] == old[:, None, :]).any(axis=2)
@@ -152,7 +157,7 @@ class SmallWorld:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at least about `least` similar; beams widen until they reach below it."""
+        """(query, node) pairs at least about `least` similar; beams widen until they reach below it or meet all nodes."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         q = np.ascontiguousarray(q, np.float32)
         for a in range(0, len(q), BATCH):
@@ -162,8 +167,12 @@ class SmallWorld:
                 starts = self.search(q[left], starts, k, 2)[0]
             width = min(beam, len(self.x))
             while len(left):
+                if WIDE * width >= len(self.x):
+                    row, col = np.nonzero(q[left] @ self.x.T >= least)
+                    out.append((left[row], col))
+                    break
                 ids, sims = self.search(q[left], starts, 0, width)
-                done = (sims[:, -1] < least) | (width >= len(self.x))
+                done = sims[:, -1] < least
                 hit = (sims >= least) & (ids >= 0) & done[:, None]
                 row, col = np.nonzero(hit)
                 out.append((left[row], ids[row, col]))
@@ -178,43 +187,53 @@ class Shard:
     def __init__(self, rows: list[int], vectors: np.ndarray, threshold: float):
         self.rows, self.v, self.threshold = np.array(rows, np.int64), vectors, threshold
         self.norm = np.sqrt((vectors * vectors).sum(axis=1))
-        self.graph = SmallWorld(vectors / self.norm[:, None])
+        x = (vectors / self.norm[:, None]).astype(np.float32)
+        _, first, node = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        self.graph = SmallWorld(x[first])
+        self.of = np.argsort(node, kind="stable")  # rows by node
+        self.copies = np.bincount(node)
+        self.first = np.cumsum(self.copies) - self.copies
         self.beam = self._audited()
-        a, b = self.linked(vectors, self.norm)
-        own = a != b
-        self.inner = np.bincount(a[own], minlength=len(rows))
+        self.inner = np.zeros(len(rows), np.int64)
         self.root = np.arange(len(rows))
-        for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True):
-            self._join(i, j)
-        self.root = np.array([self._find(i) for i in range(len(rows))], np.int64)
-
-    def _find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = int(root[i])
-        return i
-
-    def _join(self, i: int, j: int) -> None:
-        i, j = self._find(i), self._find(j)
-        if i != j:
-            self.root[max(i, j)] = min(i, j)
+        for at in range(0, len(rows), ANSWER):
+            a, b = self.linked(vectors[at : at + ANSWER], self.norm[at : at + ANSWER])
+            a += at
+            own = a != b
+            self.inner += np.bincount(a[own], minlength=len(rows))
+            self._join(a[own], b[own])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every row's root becomes the least row of its component, now that each a is linked with its b."""
+        while True:
+            a, b = self.root[a], self.root[b]
+            apart = a != b
+            a, b = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            if not len(a):
+                return
+            np.minimum.at(self.root, a, b)
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+    def _found(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs that the graph finds for unit vectors, before verification."""
+        i, j = self.graph.within(x, self.threshold - 1e-5, beam)
+        return np.repeat(i, self.copies[j]), self.of[expand(self.first[j], self.copies[j])]
 
     def _audited(self) -> int:
-        n = len(self.rows)
-        beam, some = min(BEAM, n), np.linspace(0, n - 1, min(AUDIT, n)).astype(np.int64)
-        cosine = (self.v[some] @ self.v.T) / (self.norm[some][:, None] * self.norm)
-        true = {(int(i), int(j)) for i, j in zip(*np.nonzero(cosine >= self.threshold), strict=True)}
-        while beam < n:
-            i, j = self.graph.within(self.v[some] / self.norm[some][:, None], self.threshold - 1e-5, beam)
-            if len(true & set(zip(i.tolist(), j.tolist(), strict=True))) >= RECALL * len(true):
+        n, nodes = len(self.rows), len(self.copies)
+        beam, some = min(BEAM, nodes), np.linspace(0, n - 1, min(AUDIT, n)).astype(np.int64)
+        true = (self.v[some] @ self.v.T) / (self.norm[some][:, None] * self.norm) >= self.threshold
+        true[np.arange(len(some)), some] = False
+        while beam < nodes:
+            if true[self._found(self.v[some] / self.norm[some][:, None], beam)].sum() >= RECALL * true.sum():
                 break
-            beam = min(2 * beam, n)
+            beam = min(2 * beam, nodes)
         return beam
 
     def linked(self, q: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of cosine >= threshold in double precision."""
-        i, j = self.graph.within(q / norm[:, None], self.threshold - 1e-5, self.beam)
+        """(query, row) pairs of cosine >= threshold in double precision."""
+        i, j = self._found(q / norm[:, None], self.beam)
         keep = np.zeros(len(i), bool)
         for a in range(0, len(i), 1 << 15):
             p = slice(a, a + (1 << 15))
@@ -273,6 +292,8 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 if shard is not None:
                     queue_rows.append(row_id)
                     queue.append(v)
+                    if len(queue) == ANSWER:
+                        yield answer()
             else:
                 rows.append(row_id)
                 vectors.append(v)

@@ -312,6 +312,24 @@ def test_graph_recall():
     assert embedding_dedup.Shard(list(range(len(x))), x, 0.93).inner.sum() >= 0.95 * true > 0
 
 
+@pytest.mark.parametrize("kind", ["equal", "scaled", "tied", "few"])
+def test_copies_in_a_shard_all_link(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1024, 32))
+    group = slice(100, 130 if kind == "few" else 500)
+    x[group] = x[100]
+    if kind == "scaled":
+        x[group] *= rng.uniform(0.5, 2, (400, 1))
+    if kind == "tied":
+        x[group] += rng.normal(size=(400, 32)) * 1e-6
+    x = x[rng.permutation(len(x))]
+    n = np.linalg.norm(x, axis=1)
+    linked = (x @ x.T) / (n[:, None] * n) >= 0.93
+    shard = embedding_dedup.Shard(list(range(len(x))), x, 0.93)
+    assert shard.inner.tolist() == (linked.sum(axis=1) - 1).tolist()
+    assert shard.root.tolist() == linked.argmax(axis=1).tolist()
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(150))
