@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 #: Distance in bases from the stop to the last exon junction from which decay is predicted (fixed value).
 NMD_DISTANCE = 50
 #: Partial paths kept per vertex at most (fixed value).
@@ -35,17 +38,33 @@ def skip_edges(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, source: str, sink: str) -> DataFrame:
-    """Vertices on some path from source to sink: WITH RECURSIVE from both ends."""
+    """Vertices on some path from source to sink, of any length, through cycles too.
+
+    Both ends advance one edge a pass. A pass keeps the distinct vertices that no earlier one met and writes them to the
+    shared folder; it ends when there are none.
+    """
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    out = []
-    for start, a, b in ((source, "src", "dst"), (sink, "dst", "src")):
-        out.append(
-            spark.sql(
-                f"WITH RECURSIVE r(v, d) AS (SELECT CAST('{start}' AS STRING), 0 UNION ALL SELECT e.{b}, r.d + 1 FROM r JOIN __edges e ON e.{a} = r.v WHERE r.d < 30) SELECT DISTINCT v FROM r"
-            )
-        )
-    return out[0].join(out[1], "v", "left_semi")
+    root = f"{scratch(spark)}/reachable/{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{root}/{len(written)}"
+        df.write.parquet(path)
+        written.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    named = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).filter("src is not null and dst is not null")
+    way = lambda end, a, b: named.select(F.lit(end).alias("end"), F.col(a).alias("v"), F.col(b).alias("to"))
+    ways = put(way("source", "src", "dst").unionByName(way("sink", "dst", "src")).distinct())
+    front = put(spark.createDataFrame([("source", source), ("sink", sink)], "end string, v string"))
+    fronts = written[1:]
+    while not front.isEmpty():
+        met = spark.read.schema(front.schema).parquet(*fronts)
+        ahead = front.join(ways, ["end", "v"]).select("end", F.col("to").alias("v")).distinct()
+        front = put(ahead.join(met, ["end", "v"], "left_anti"))
+        fronts.append(written[-1])
+    met = spark.read.schema(front.schema).parquet(*fronts)
+    return met.filter("end = 'source'").select("v").join(met.filter("end = 'sink'").select("v"), "v", "left_semi")
 
 
 def n_best_paths(edges: DataFrame, by: list[str], n: int) -> DataFrame:

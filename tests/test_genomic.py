@@ -124,6 +124,13 @@ def test_nmd_cases(spark):
     assert df.filter(splicing.nmd_fate(F.col("e"), F.col("stop")) != F.col("want")).count() == 0
 
 
+def test_reachable_has_no_depth_limit(spark):
+    chain = ["L", *(f"v{k}" for k in range(33)), "R"]
+    edges = [*zip(chain, chain[1:], strict=False), ("v30", "v2"), ("v5", "dead"), ("lost", "v9"), ("R", "after"), (None, "v1"), ("v1", None)]
+    got = [r.v for r in splicing.reachable(spark.createDataFrame(edges, "src string, dst string"), "L", "R").collect()]
+    assert sorted(got) == sorted(chain)
+
+
 def test_n_best_equals_all_paths(spark):
     rng = random.Random(5)
     layers = [["s"], list("abc"), list("de"), ["t"]]
