@@ -19,8 +19,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each component of word-shingle Jaccard similarity 0.9 or more."""
-    return jaccard_join.keep_one(docs)
+    """One document, of the smallest doc_id, of each component of Jaccard similarity 0.8 or more over shingles of five words."""
+    return jaccard_join.keep_one(docs, k=5, per_hundred=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from .common import LOWER, SpanHash, Workspace, mix, prepare, read, shuffle_widt
 from .components import components
 
 WORDS = 3
-#: Two sets link when PER_HUNDRED * union <= 100 * intersection.
+#: Two sets link when per_hundred * union <= 100 * intersection; the query's value.
 PER_HUNDRED = 90
 LEAF, MOST = 16, 4096
 PIVOTS = 64
@@ -272,6 +272,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
     only DataFrame functions run.
     """
     r = 1 - per_hundred / 100
+    cap = max(CAP, min(1.0, 1.5 * r))  # above r, or pivots would lose links
     by_hash = lambda salt: F.struct(F.xxhash64("x", F.lit(salt)).alias("h"), F.col("x").alias("x"))
     pivots = members.groupBy("g").agg(F.min(by_hash(0)).alias("m")).select("g", F.col("m.x").alias("p"))
     pivoted = members.join(pivots, "g").filter("x <> p")
@@ -307,14 +308,14 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         large = large.select("g", "x")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
         apart = ws.put(large.join(pivots, "g").filter("x <> p"), "apart")
-        measured = _measure(_near(apart.select("x", "p").distinct(), nodes, CAP), nodes, ws, per_hundred)
+        measured = _measure(_near(apart.select("x", "p").distinct(), nodes, cap), nodes, ws, per_hundred)
         new.append(measured)
-        d = F.least(F.coalesce("d", F.lit(CAP)), F.lit(CAP))
+        d = F.least(F.coalesce("d", F.lit(cap)), F.lit(cap))
         placed = rest.join(pivots, "g").join(measured.select("x", "p", "d"), ["x", "p"], "left").select("g", "x", "p", d.alias("d"))
         nearest = placed.groupBy("g", "x").agg(F.min("d").alias("own"), F.collect_list(F.struct("p", "d")).alias("all"))
         eps = 1e-9
-        within = F.filter("all", lambda v: (v["d"] < CAP) & (v["d"] <= F.col("own") + 2 * r + eps))
-        regions = F.concat(F.transform(within, lambda v: v["p"]), F.when(F.col("own") >= CAP - r - eps, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+        within = F.filter("all", lambda v: (v["d"] < cap) & (v["d"] <= F.col("own") + 2 * r + eps))
+        regions = F.concat(F.transform(within, lambda v: v["p"]), F.when(F.col("own") >= cap - r - eps, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
         regions = ws.put(nearest.select("g", "x", regions.alias("qs")), "regions")
         wide = regions.groupBy("g").agg((F.sum(F.size("qs")) > SPREAD * F.count("*")).alias("wide"))
         split = F.when(F.col("wide"), F.array(F.lit(-2).cast("long"))).otherwise(F.col("qs"))
@@ -322,7 +323,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         links += [n.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")) for n in new]
 
 
-def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, DataFrame]:
     """(rows of docs with their sets' marks, name of each class of equal sets: f1, f2, n, component_id, keep_row)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -331,7 +332,7 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select(doc_id.alias("__id"), F.xxhash64(doc_id, text).alias("__key"), text.alias("__text"))
     top = keyed.select("__text").mapInArrow(lambda b: _frequent(b, k), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
     order = Order(top["value"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64))
-    rows = ws.put(keyed.mapInArrow(lambda b: _rows(b, order, k, PER_HUNDRED), ROWS), "rows")
+    rows = ws.put(keyed.mapInArrow(lambda b: _rows(b, order, k, per_hundred), ROWS), "rows")
     marks = ["f1", "f2", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"), F.col("row_key").alias("row_key")))
     classes = ws.put(rows.filter("n > 0").groupBy(*marks).agg(first.alias("first")).select(*marks, "first.*"), "classes")
@@ -340,7 +341,7 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     spread = rows.select("row_id", F.explode("prefix").alias("g")).join(chosen.select(F.col("node").alias("row_id")), "row_id")
     often = spread.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     members = ws.put(spread.join(often, "g").select("g", F.col("row_id").alias("x")), "members")
-    ring = F.floor(F.log("n") / (-math.log(PER_HUNDRED / 100) * (1 + 1e-9))).cast("int")
+    ring = F.floor(F.log("n") / (-math.log(per_hundred / 100) * (1 + 1e-9))).cast("int")
     rings = members.join(classes.select(F.col("row_id").alias("x"), ring.alias("ring")), "x").select("x", "g", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
     rings = rings.select(F.xxhash64("g", "ring").alias("g"), "x")
     often = rings.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
@@ -352,7 +353,7 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     texts = keyed.join(wanted, (F.col("__key") == F.col("row_key")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "__text")
     nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES), "nodes")
     tidy(spark)
-    roots = link_groups(members, nodes, ws)
+    roots = link_groups(members, nodes, ws, per_hundred)
     ws.drop(nodes, members)
     tidy(spark)
     rooted = classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
@@ -361,8 +362,8 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return rows, rooted.join(named, "root").select(*marks, "component_id", "keep_row")
 
 
-def _rowwise(docs: DataFrame, k: int) -> DataFrame:
-    rows, classes = _classes(docs, k)
+def _rowwise(docs: DataFrame, k: int, per_hundred: int) -> DataFrame:
+    rows, classes = _classes(docs, k, per_hundred)
     named = classes.select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.col("n").alias("cn"), "component_id", "keep_row")
     # empty sets are left out of the join: they would all meet at one key
     joined = rows.filter("n > 0").join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
@@ -371,14 +372,14 @@ def _rowwise(docs: DataFrame, k: int) -> DataFrame:
     return some.unionAll(none)
 
 
-def jaccard_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = WORDS, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    return _rowwise(docs, k).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+    return _rowwise(docs, k, per_hundred).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = WORDS, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """docs with one row of each component, the one of the smallest doc_id."""
-    gone = _rowwise(docs, k).filter("not kept").select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r")).distinct()
+    gone = _rowwise(docs, k, per_hundred).filter("not kept").select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r")).distinct()
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     return docs.join(gone, (F.xxhash64(doc_id, text) == F.col("__r")) & doc_id.eqNullSafe(F.col("__d")), "left_anti")
 

@@ -269,6 +269,38 @@ def test_jaccard_join(spark, monkeypatch, leaf, most, pivots):
     assert sum(r.kept for r in got) == len(least)
 
 
+@pytest.mark.parametrize("most", [4096, 8])
+def test_jaccard_join_five_words(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "MOST", most)
+    monkeypatch.setattr(jaccard_join, "LEAF", min(jaccard_join.LEAF, most))
+    rng = random.Random(12)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(900)}" for _ in range(125)]
+        for edits in range(12):
+            w = list(base)
+            for at in rng.sample(range(0, 125, 6), edits % 7):
+                w[at] = f"w{rng.randrange(900)}"
+            texts.append(" ".join(w))
+    sets = [shingle_set(t, 5) for t in texts]
+    alike = lambda least: unite(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+    least = {}
+    for i, r in enumerate(root := alike(80)):
+        least.setdefault(r, i)
+    assert len(least) < len(set(alike(90)))
+    table = docs(spark, list(enumerate(texts)))
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(table, 5, 80).collect()} == {(i, least[r]) for i, r in enumerate(root)}
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    w = [f"w{k}" for k in range(104)]
+    edited = [*w[:50], "x", *w[51:]]
+    twice = [*w[:30], "y", *w[31:70], "z", *w[71:]]
+    rows = [(1, " ".join(w)), (2, " ".join(edited)), (3, " ".join(twice)), (4, " ".join(reversed(w)))]
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()} == {1, 4}
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
     assert jaccard_join.keep_one(docs(spark, [(1, "a b"), (2, "A b"), (3, None)])).count() == 2
