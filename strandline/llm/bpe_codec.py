@@ -3,7 +3,8 @@
 Texts are cut by the byte-level pattern with array operations on character classes. The distinct pieces of a chunk
 that the worker has not met lately are merged together: all their symbols lie in one flat array, each round looks every
 neighbouring pair up by binary search over the sorted pair keys, every piece merges its lowest-ranked pair wherever it
-occurs (left to right), and pieces without a known pair leave. Decoding gathers the ids' bytes from one flat table.
+occurs (left to right), and pieces without a known pair leave. Pieces of more than LONG symbols take their merges from
+a heap instead. Pieces are compared as bytes, never by hashes. Decoding gathers the ids' bytes from one flat table.
 
 The file is one of the tokenizers library with a byte-level model and no normaliser; as there, the strings of added
 tokens inside a text become those tokens. A null text is empty, repeated rows are rows of their own, extra columns are
@@ -13,6 +14,7 @@ left alone.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, expand, prepare, read, slices, utf8
+from .common import distinct, expand, prepare, read, slices, utf8
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Different pieces, and their bytes, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
+#: Pieces of more symbols are merged alone, by a heap: a common round would scan them once for every merge.
+LONG = 256
 #: Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -82,7 +86,8 @@ class ByteBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n_ids = self.n_pieces = 0
 
@@ -188,9 +193,49 @@ class ByteBPE:
     def _symbols(self, buf: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self.byte_id[buf[expand(start, lengths)]]
 
-    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: list[int]) -> None:
-        lengths = end - start
-        ids, counts = self._merge(self._symbols(buf, start, lengths), lengths)
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The final ids of one long piece: a heap of (rank, place) over a linked list."""
+        if not hasattr(self, "by_pair"):
+            self.by_pair = dict(zip(self.pair_keys.tolist(), zip(self.pair_rank.tolist(), self.pair_made.tolist(), strict=True), strict=True))
+        known, n = self.by_pair, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(hit[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (hit := known.get(symbols[i] << 32 | symbols[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or symbols[i] != a or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = known[a << 32 | b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] < n and (hit := known.get(symbols[at] << 32 | symbols[after[at]])):
+                    heapq.heappush(heap, (hit[0], at, symbols[at], symbols[after[at]]))
+        return [s for s in symbols if s >= 0]
+
+    def _learn(self, strings: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        starts = np.cumsum(lengths) - lengths
+        symbols = self._symbols(np.frombuffer(b"".join(strings), np.uint8), starts, lengths)
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            short = lengths <= LONG
+            ids, of = self._merge(symbols[np.repeat(short, lengths)], lengths[short])
+            parts, counts = [ids], np.zeros(len(strings), np.int64)
+            counts[short] = of
+            for k in long.tolist():
+                alone = self._merge_long(symbols[starts[k] : starts[k] + lengths[k]].tolist())
+                parts.append(np.array(alone, np.int64))
+                counts[k] = len(alone)
+            ids = np.concatenate(parts)
+            order = np.concatenate([np.flatnonzero(short), long])
+            at = np.zeros(len(strings), np.int64)
+            at[order] = np.cumsum(counts[order]) - counts[order]
+        else:
+            ids, counts = self._merge(symbols, lengths)
+            at = np.cumsum(counts) - counts
         n, m = len(ids), len(counts)
         while self.n_ids + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -198,8 +243,9 @@ class ByteBPE:
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.ids[self.n_ids : self.n_ids + n] = ids
         self.lengths[self.n_pieces : self.n_pieces + m] = counts
-        self.starts[self.n_pieces : self.n_pieces + m] = self.n_ids + np.cumsum(counts) - counts
-        self.known.update(zip(hashes, range(self.n_pieces, self.n_pieces + m), strict=True))
+        self.starts[self.n_pieces : self.n_pieces + m] = self.n_ids + at
+        self.known.update(zip(strings, range(self.n_pieces, self.n_pieces + m), strict=True))
+        self.held += int(lengths.sum())
         self.n_ids, self.n_pieces = self.n_ids + n, self.n_pieces + m
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,16 +253,15 @@ class ByteBPE:
         start, end = self.pieces(buf, offs)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        distinct, first, back = np.unique(SpanHash(buf)(start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        strings, back = distinct(buf, start, end)
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self._forget()
-        hashes = distinct.tolist()
         get = self.known.get
-        index = np.array([get(h, -1) for h in hashes], np.int64)
+        index = np.fromiter((get(w, -1) for w in strings), np.int64, len(strings))
         new = np.flatnonzero(index < 0)
         if len(new):
             base = self.n_pieces
-            self._learn(buf, start[first[new]], end[first[new]], [hashes[k] for k in new.tolist()])
+            self._learn([strings[k] for k in new.tolist()])
             index[new] = np.arange(base, base + len(new))
         index = index[back]
         lengths = self.lengths[index]

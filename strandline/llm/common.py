@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.shipping import ship
@@ -18,6 +18,8 @@ from ..functions.shipping import ship
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows in one Arrow batch; keeps a batch of long texts far below a worker's memory.
 BATCH_ROWS = 512
+#: Bytes of one such batch, where this Spark can bound them.
+BATCH_BYTES = 8 << 20
 #: Text bytes handled by one vectorised step.
 CHUNK_BYTES = 1 << 20
 
@@ -25,21 +27,26 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(WHITESPACE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240607)
-#: One random odd-mixed word per byte value, the digits of the polynomial hash.
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors and bounds the Arrow batches that they hand to Python."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -47,9 +54,11 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in local mode where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="strandline-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -77,10 +86,8 @@ class Workspace:
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of what has been written; together they may be larger than the input."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,36 +124,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i below n, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, BASE_INV)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-class SpanHash:
-    """64-bit hashes of any spans of one byte buffer, from prefix sums of a polynomial."""
-
-    def __init__(self, buf: np.ndarray):
-        up, self.down = powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[buf] * up[:-1], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-    def rolling(self, k: int) -> np.ndarray:
-        """Hashes of all spans of k bytes, by start."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(different byte strings, which of them each span is); spans come in order and don't overlap."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def hashed(strings: list[bytes]) -> np.ndarray:
+    """64-bit hashes of byte strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each span."""
+    strings, index = distinct(buf, start, end)
+    return hashed(strings)[index]
+
+
+def rolling(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all strings of k bytes (8 or more), by start: two overlapping halves, mixed at every doubling."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    width = 8
+    h = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(buf), 8).copy().view("<u8").ravel()
+    while width < k:
+        step = min(width, k - width)
+        h = mix(h[:-step] * _ODD[0] + h[step:] + _ODD[1])
+        width += step
+    return mix(h)
 
 
 def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,20 +1,23 @@
 """Embedding near-dedup with navigable small-world graphs.
 
-Vectors of one label and length are dealt into shards of about SHARD by a hash. Each shard builds a hierarchical
-navigable small-world graph and every vector queries every shard of its label; where a label has more than QUERIES
-vectors, blocks of queries go to tasks of their own. Vectors of one direction, in single precision, are one node. A query
-widens its beam until the beam reaches below the threshold, and a shard doubles all beams until an audit of AUDIT of its
-vectors against brute force finds RECALL of their links to others. A beam of 1 / WIDE of the shard or more is brute force:
+Vectors of one label and length are dealt by a hash into shards of about SHARD_BYTES. Each shard builds a hierarchical
+navigable small-world graph, once, in a task that also answers for the shard's own vectors; the graph is then written, and
+every other vector of the label queries it, in blocks of about QUERIES. A shard is as large as memory allows, so that few
+graphs have to be asked. Vectors of one direction, in single precision, are one node. A query widens its beam until the
+beam reaches below the threshold, and a shard doubles all beams until an audit of AUDIT vectors against brute force finds
+RECALL of their links to others: first of its own vectors, then of every block's queries. A beam of 1 / WIDE of the shard or more is brute force:
 such a query meets every node, whether links lead there or not. What the beams return is verified as cosine in double precision. A query reports how many vectors of the shard it links
 with, and one of them for each component the shard's own links make; the components are then joined across shards.
 
 Null labels, and vectors that are null, zero, or hold null or non-finite components, link with nothing. Equal vectors
-link as any others. A repeated row is a vector of its own; rows with a null vec_id can't name a component that has
+link as any others; vectors are scaled by a power of two first, so that very small and very large ones keep their
+direction. A repeated row is a vector of its own; rows with a null vec_id can't name a component that has
 other names. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from .common import Workspace, expand, prepare, read, shuffle_width
 from .components import components
 
 THRESHOLD = 0.93
-SHARD, QUERIES = 2048, 16384
+SHARD_BYTES, QUERIES = 1 << 24, 1 << 16
 LINKS, BEAM_BUILD, BEAM, EXPAND = 12, 48, 24, 4
 AUDIT, RECALL = 64, 0.99
 BATCH = 256
@@ -184,8 +187,8 @@ class SmallWorld:
 class Shard:
     """A graph with audited beams, exact vectors for verification, and the components of its own links."""
 
-    def __init__(self, rows: list[int], vectors: np.ndarray, threshold: float):
-        self.rows, self.v, self.threshold = np.array(rows, np.int64), vectors, threshold
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, threshold: float):
+        self.rows, self.v, self.threshold = np.asarray(rows, np.int64), vectors, threshold
         self.norm = np.sqrt((vectors * vectors).sum(axis=1))
         x = (vectors / self.norm[:, None]).astype(np.float32)
         _, first, node = np.unique(x, axis=0, return_index=True, return_inverse=True)
@@ -221,14 +224,20 @@ class Shard:
         return np.repeat(i, self.copies[j]), self.of[expand(self.first[j], self.copies[j])]
 
     def _audited(self) -> int:
-        n, nodes = len(self.rows), len(self.copies)
-        beam, some = min(BEAM, nodes), np.linspace(0, n - 1, min(AUDIT, n)).astype(np.int64)
-        true = (self.v[some] @ self.v.T) / (self.norm[some][:, None] * self.norm) >= self.threshold
-        true[np.arange(len(some)), some] = False
-        while beam < nodes:
-            if true[self._found(self.v[some] / self.norm[some][:, None], beam)].sum() >= RECALL * true.sum():
-                break
-            beam = min(2 * beam, nodes)
+        some = np.linspace(0, len(self.rows) - 1, min(AUDIT, len(self.rows))).astype(np.int64)
+        return self._widened(self.v[some], self.norm[some], some, min(BEAM, len(self.copies)))
+
+    def audit(self, q: np.ndarray, norm: np.ndarray) -> None:
+        """Widens the beams until some of these queries, of other shards, find RECALL of their links too."""
+        some = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64)
+        self.beam = self._widened(q[some], norm[some], None, self.beam)
+
+    def _widened(self, q: np.ndarray, norm: np.ndarray, own: np.ndarray | None, beam: int) -> int:
+        true = (q @ self.v.T) / (norm[:, None] * self.norm) >= self.threshold
+        if own is not None:
+            true[np.arange(len(own)), own] = False
+        while beam < len(self.copies) and true[self._found(q / norm[:, None], beam)].sum() < RECALL * true.sum():
+            beam = min(2 * beam, len(self.copies))
         return beam
 
     def linked(self, q: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,56 +262,78 @@ def _report(shard: Shard, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(i, minlength=len(rows)).astype(np.int64)), other], names=["row_id", "links", "other"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (label, size, shard, block, query): a shard's own vectors, then the queries."""
-    key, rows, vectors, shard = None, [], [], None
+GRAPH = "label string, size int, shard int, graph binary"
+
+
+def _scaled(flat: np.ndarray, size: int) -> np.ndarray:
+    """Vectors, a row each, by powers of two to components of about 1."""
+    v = flat.reshape(-1, size)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """(key, whether it is a new one, slice of a batch with that key) of rows sorted by names."""
+    last = None
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("label", "size", "shard", "block", "query", "row_id")]
-        flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
         at = 0
-        queue_rows, queue = [], []
-
-        def answer() -> pa.RecordBatch:
-            q = np.array(queue)  # noqa: B023
-            i, j = shard.linked(q, np.sqrt((q * q).sum(axis=1)))
-            out = _report(shard, np.array(queue_rows, np.int64), i, j)  # noqa: B023
-            queue_rows.clear()  # noqa: B023
-            queue.clear()  # noqa: B023
-            return out
-
-        for label, size, nth, block, query, row_id in zip(*cols, strict=True):
-            v = flat[at : at + size]
-            at += size
-            now = (label, size, nth, block)
-            if now != key or (query and shard is None):
-                if queue:
-                    yield answer()
-                if now != key:
-                    if rows:
-                        shard = Shard(rows, np.array(vectors), threshold)
-                        if not key[3]:
-                            yield _own(shard)
-                    key, rows, vectors, shard = now, [], [], None
-                if query and shard is None and rows:
-                    shard = Shard(rows, np.array(vectors), threshold)
-                    if not block:
-                        yield _own(shard)
-                    rows, vectors = [], []
-            if query:
-                if shard is not None:
-                    queue_rows.append(row_id)
-                    queue.append(v)
-                    if len(queue) == ANSWER:
-                        yield answer()
-            else:
-                rows.append(row_id)
-                vectors.append(v)
-        if queue:
-            yield answer()
-    if rows:
-        shard = Shard(rows, np.array(vectors), threshold)
-        if not key[3]:
-            yield _own(shard)
+        while at < len(keys):
+            to = at
+            while to < len(keys) and keys[to] == keys[at]:
+                to += 1
+            yield keys[at], keys[at] != last, batch.slice(at, to - at)
+            last, at = keys[at], to
+
+
+def _vectors(part: pa.RecordBatch, size: int) -> np.ndarray:
+    return _scaled(part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64), size)
+
+
+BUILT = f"{OUT}, {GRAPH}"
+_BUILT = pa.schema([("row_id", pa.int64()), ("links", pa.int64()), ("other", pa.list_(pa.int64())), ("label", pa.string()), ("size", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())])
+
+
+def _build(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Graphs of the shards that others ask, and what each shard's own vectors link with. Rows come sorted by shard."""
+    rows: list[np.ndarray] = []
+    vectors: list[np.ndarray] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        label, size, nth, asked = key
+        shard = Shard(np.concatenate(rows), np.concatenate(vectors), threshold)
+        own = _own(shard)
+        none = [pa.nulls(own.num_rows, t) for t in (pa.string(), pa.int32(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*own.columns, *none], schema=_BUILT)
+        if asked:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([label]), pa.array([size], pa.int32()), pa.array([nth], pa.int32()), pa.array([pickle.dumps(shard)], pa.binary())], schema=_BUILT)
+
+    key = None
+    for found, fresh, part in _grouped(batches, ("label", "size", "shard", "asked")):
+        if fresh and key:
+            yield from settle()
+            rows, vectors = [], []
+        key = found
+        rows.append(part.column("row_id").to_numpy())
+        vectors.append(_vectors(part, key[1]))
+    if key:
+        yield from settle()
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (label, size, shard, block): a shard's graph, then the queries of one block."""
+    shard, checked = None, False
+    for key, _, part in _grouped(batches, ("label", "size", "shard", "block")):
+        if part.column("graph")[0].is_valid:
+            shard, checked = pickle.loads(part.column("graph")[0].as_py()), False
+            part = part.slice(1)
+        for a in range(0, part.num_rows, ANSWER):
+            some = part.slice(a, ANSWER)
+            q = _vectors(some, key[1])
+            norm = np.sqrt((q * q).sum(axis=1))
+            if not checked:
+                shard.audit(q, norm)
+                checked = True
+            yield _report(shard, some.column("row_id").to_numpy(), *shard.linked(q, norm))
 
 
 def _own(shard: Shard) -> pa.RecordBatch:
@@ -312,7 +343,7 @@ def _own(shard: Shard) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard.rows), pa.array(shard.inner.astype(np.int64)), other], names=["row_id", "links", "other"])
 
 
-def embedding_dedup(table: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def embedding_dedup(table: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES, queries: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding, label)."""
     spark = table.sparkSession
     prepare(spark)
@@ -322,17 +353,21 @@ def embedding_dedup(table: DataFrame, threshold: float = THRESHOLD, shard: int =
     real = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = rows.filter(F.col("label").isNotNull() & F.forall("vector", real) & F.exists("vector", lambda v: v != 0)).withColumn("size", F.size("vector"))
     counts = usable.groupBy("label", "size").agg(F.count("*").alias("c"))
-    counts = counts.select("label", "size", F.ceil(F.col("c") / shard).cast("int").alias("shards"), F.ceil(F.col("c") / queries).cast("int").alias("blocks"))
-    dealt = usable.join(counts, ["label", "size"])
+    counts = counts.select("label", "size", F.ceil(F.col("c") * F.col("size") * 8 / shard_bytes).cast("int").alias("shards"), F.ceil(F.col("c") / queries).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("row_id", F.lit(1)), F.col("shards")).cast("int")
     its_block = F.pmod(F.xxhash64("row_id", F.lit(2)), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("its_block", its_block)
+    dealt = usable.join(counts, ["label", "size"]).withColumns({"own": own, "its_block": its_block})
+    where = ["label", "size", "shard"]
+    index = dealt.select("label", "size", F.col("own").alias("shard"), (F.col("shards") > 1).alias("asked"), "row_id", "vector")
+    index = index.repartition(shuffle_width(spark), *where).sortWithinPartitions(*where, "row_id")
+    built = ws.put(index.mapInArrow(lambda b: _build(b, threshold), BUILT), "graphs")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    index = dealt.select("label", "size", F.col("own").alias("shard"), each("blocks").alias("block"), F.lit(0).alias("query"), "row_id", "vector")
-    asking = dealt.select("label", "size", each("shards").alias("shard"), F.col("its_block").alias("block"), F.lit(1).alias("query"), "row_id", "vector", "own").filter("own <> shard").drop("own")
-    where = ["label", "size", "shard", "block"]
-    tasks = index.unionByName(asking).repartition(shuffle_width(spark), *where).sortWithinPartitions(*where, "query", "row_id")
-    found = ws.put(tasks.mapInArrow(lambda b: _search(b, threshold), OUT), "found")
+    graphs = built.filter("graph is not null").join(counts, ["label", "size"]).select(*where, each("blocks").alias("block"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("array<double>").alias("vector"), "graph")
+    asking = dealt.filter("shards > 1").select("label", "size", each("shards").alias("shard"), F.col("its_block").alias("block"), "row_id", "vector", F.lit(None).cast("binary").alias("graph"), "own").filter("own <> shard").drop("own")
+    where.append("block")
+    tasks = graphs.unionByName(asking).repartition(shuffle_width(spark), *where).sortWithinPartitions(*where, F.col("row_id").asc_nulls_first())
+    answers = ws.put(tasks.mapInArrow(_ask, OUT), "answers")
+    found = built.filter("row_id is not null").select("row_id", "links", "other").unionByName(answers)
     links = found.select(F.col("row_id").alias("a"), F.explode("other").alias("b"))
     roots = components(links, ws).select(F.col("node").alias("row_id"), "root")
     total = found.groupBy("row_id").agg(F.sum("links").alias("n_links"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE, Workspace, prepare, read, shuffle_width
+from .common import WHITESPACE, Workspace, prepare, read, shuffle_width, unused
 
 #: Bytes of distinct content that one table may hold before it spills.
 TABLE_BYTES = 96 << 20
@@ -220,7 +220,7 @@ def exact_dedup(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     return rows.join(merged, "task_group").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch], budget: int, local: bool) -> Iterator[pa.RecordBatch]:
+def _best_rows(batches: Iterator[pa.RecordBatch], budget: int, local: bool, marks: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """The row that stays of each content, with all its columns; locally with the hash and rank to merge by."""
     row = TaskContext.get().partitionId() << 36
     table, schema = GraceTable(budget), None
@@ -229,27 +229,26 @@ def _best_rows(batches: Iterator[pa.RecordBatch], budget: int, local: bool) -> I
         for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             at = dict(zip(schema.names, values, strict=True))
             text = at["text"]
-            table.add(normalise(text), rank(text, at["doc_id"], row if local else at["__row"]), pickle.dumps(values))
+            table.add(normalise(text), rank(text, at["doc_id"], row if local else values[-1]), pickle.dumps(values))
             row += 1
     for part in _chunks(table.finish(), 1 << 22):
         rows = [pickle.loads(g.payload) for g in part]
         columns = [pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)]
         if local:
             columns += [pa.array([xxhash.xxh3_64_intdigest(g.content, seed=99) - 2**63 for g in part], pa.int64()), pa.array([g.best[3] for g in part], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, "__hash", "__row"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, *marks])
         else:
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names).select([n for n in schema.names if n not in ("__hash", "__row")])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).select(schema.names[:-2])
 
 
 def keep_distinct(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     spark = docs.sparkSession
     prepare(spark)
-    if {"__hash", "__row"} & set(docs.columns):
-        raise ValueError("__hash and __row are reserved")
-    wide = T.StructType([*docs.schema.fields, T.StructField("__hash", T.LongType()), T.StructField("__row", T.LongType())])
-    local = docs.mapInArrow(lambda b: _best_rows(b, budget, True), wide)
-    return local.repartition(shuffle_width(spark), "__hash").mapInArrow(lambda b: _best_rows(b, budget, False), docs.schema)
+    marks = unused(docs, "hash"), unused(docs, "row")
+    wide = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType()) for m in marks]])
+    local = docs.mapInArrow(lambda b: _best_rows(b, budget, True, marks), wide)
+    return local.repartition(shuffle_width(spark), marks[0]).mapInArrow(lambda b: _best_rows(b, budget, False, marks), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,9 +260,10 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
 ), r AS (
   SELECT doc_id, n,
+         row_number() OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS nth,
          first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
          count(*) OVER (PARTITION BY n) AS group_size
   FROM d
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM r
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(n) AS text_sha256 FROM r
 """

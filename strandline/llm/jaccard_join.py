@@ -2,25 +2,26 @@
 
 Jaccard distance over sets of word shingles is a metric; two sets link within radius r. Linked sets share one of the
 first few shingles of each in any common order, so sets meet in groups by those shingles, rarest first, and by size: their
-sizes differ by a factor below 1 - r, so a set enters the rings of its own and the next logarithmic size. That alone would
-leave groups as large as the largest family of near copies, so the groups are resolved by pivots:
+sizes differ by a factor below 1 - r, so a set enters the rings of its own and the next logarithmic size. That spares the
+join the pairs at distance near 1, for which no pivot is any help (nearly all distances of a corpus are), and loses no link.
+Every group is then resolved by pivots:
 
 1. Every group takes a pivot, its least member by a hash, which a family's groups mostly agree on. All distances to it
    are found, which settles the pivot; sets that turn out connected need no further comparison.
 2. Groups that still hold several components and more than LEAF sets merge with those of the same pivot: one family has
-   many almost equal groups. Groups of more than MOST sets take PIVOTS pivots, of small components first. Distances to them, capped at
-   CAP (a capped metric is a metric), put every set into the Voronoi region of its nearest pivot. By the triangle
+   many almost equal groups. Pivots then create Voronoi regions: every set belongs to its nearest pivot. By the triangle
    inequality a linked set of another region is at most 2 r further from that pivot than from its own, so boundary sets
-   within this window enter that region too; sets CAP - r or further from all pivots make one more region. Regions
-   are groups again, without the pivots, and join recursively. A group whose regions would hold more than SPREAD times
-   its sets stays whole for the next pivots.
-3. Groups of up to MOST sets compare the pairs not yet connected inside one task, which writes only the few that pass
-   the bound below.
-
-Groups with the same members, as one family makes by each of its shingles, count once.
-
-Every distance that counts comes from the complete sets. Before they are fetched, a pair must pass a bound that holds
-for any sets: the overlap is at most the sum of the smaller counts over hash buckets of the shingles.
+   within this window are replicated into that region. Regions join recursively, until they hold LEAF sets or nothing
+   that isn't connected; a round whose regions would hold more than SPREAD times its sets compares its pivots with all
+   and goes on without them.
+3. A group of up to MOST sets recurses inside one task, on the sets' counts over BUCKETS hash buckets of their shingles. The
+   Jaccard distance of such counts (1 - sum of least / sum of largest) is a metric as well and never above the
+   distance of the sets, so every pair within r is within r there, and the same windows hold. Only pairs found within r
+   leave the task. Larger groups recurse over the cluster, by exact distances. Either way distances are capped (a capped
+   metric is a metric), and sets that are no nearer to any pivot than the cap less r make one more region.
+
+Groups with the same members, as one family makes by each of its shingles, count once. Every link comes from the complete
+sets, which are fetched for the pairs that the counts leave.
 
 Words are lower-cased (A-Z) runs without ASCII white space; a set holds the distinct shingles, the whole sequence if it
 is shorter than one, nothing without words. A null text is empty and links with nothing, as do empty sets. Rows with
@@ -31,7 +32,7 @@ member has one. Extra columns are left alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Workspace, mix, prepare, read, shuffle_width, slices, tidy, utf8, words
+from .common import LOWER, Workspace, mix, prepare, read, shuffle_width, slices, tidy, utf8, word_hashes, words
 from .components import components
 
 WORDS = 3
 #: Two sets link when per_hundred * union <= 100 * intersection; the query's value.
 PER_HUNDRED = 90
-LEAF, MOST = 16, 4096
-PIVOTS = 64
+#: Sets that are compared pair by pair; sets that one task resolves, a bound on its memory (512 bytes each).
+LEAF, MOST = 16, 1 << 13
+#: Pivots of a round over the cluster, and of one inside a task.
+PIVOTS, TASK_PIVOTS = 64, 8
 SPREAD = 1.5
 CAP = 0.3
 BUCKETS = 128
@@ -62,7 +65,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     start, end, row = words(buf, offs)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, size = SpanHash(buf)(start, end), end - start
+    h, size = word_hashes(buf, start, end), end - start
     n = np.bincount(row, minlength=len(offs) - 1)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     width = np.minimum(n, k)  # of the shingles of a row
@@ -184,65 +187,110 @@ def _least_overlap(cap: float, o: Column, sizes: Column) -> Column:
 
 def _near(pairs: DataFrame, nodes: DataFrame, cap: float) -> DataFrame:
     """The pairs (x, p) that the bounds leave, with n_x and n_p. The overlap is at most the smaller set, and at most the
-    sum of the smaller bucket counts where nodes have buckets."""
-    has = ["n", "buckets"] if "buckets" in nodes.columns else ["n"]
-    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in has))
+    sum of the smaller bucket counts."""
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "buckets")))
     near = pairs.join(side("x"), "x").join(side("p"), "p")
     sizes = F.col("n_x") + F.col("n_p")
     near = near.filter(_least_overlap(cap, F.least("n_x", "n_p"), sizes))
-    if len(has) > 1:
-        bound = F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-        near = near.filter(_least_overlap(cap, bound, sizes))
-    return near.select("x", "p", "n_x", "n_p")
+    bound = F.aggregate(F.zip_with("buckets_x", "buckets_p", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    return near.filter(_least_overlap(cap, bound, sizes)).select("x", "p", "n_x", "n_p")
 
 
 _NEAR = pa.schema([("x", pa.int64()), ("p", pa.int64()), ("n_x", pa.int64()), ("n_p", pa.int64())])
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], cap: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each group, of at most MOST sets, that the bounds leave. Rows come sorted by
-    group; pairs are tried block by block and only those that pass are ever written."""
+class Regions:
+    """The recursive join of one group inside a task; counts: its sets' shingles by bucket, root: their components."""
+
+    def __init__(self, counts: np.ndarray, root: np.ndarray, r: float):
+        self.root, self.r = root, r
+        self.n = counts.sum(axis=1, dtype=np.int64)
+        self.counts = counts.astype(np.int16) if counts.max(initial=0) < 1 << 15 else counts
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+        self.compared = 0
+
+    def _distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Jaccard distances of counts, i x j."""
+        out = np.empty((len(i), len(j)))
+        step = max(1, (1 << 20) // (max(1, len(j)) * BUCKETS))
+        for a in range(0, len(i), step):
+            k = i[a : a + step]
+            least = np.minimum(self.counts[k][:, None, :], self.counts[j][None, :, :]).sum(axis=2, dtype=np.int64)
+            out[a : a + step] = 1 - least / (self.n[k][:, None] + self.n[j][None, :] - least)
+        self.compared += len(i) * len(j)
+        return out
+
+    def _keep(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        a, b = np.nonzero((d <= self.r + 1e-9) & (self.root[i][:, None] != self.root[j][None, :]) & (i[:, None] != j[None, :]))
+        self.out.append((np.minimum(i[a], j[b]), np.maximum(i[a], j[b])))
+
+    def join(self, of: np.ndarray) -> Regions:
+        """Finds the pairs of different components within r among the sets `of`."""
+        todo = [of]
+        while todo:
+            of = todo.pop()
+            if len(of) < 2 or (self.root[of] == self.root[of[0]]).all():
+                continue
+            if len(of) <= LEAF:
+                self._keep(of, of, self._distances(of, of))
+                continue
+            # members of small components first: once all but one component have been pivots, nothing is open
+            _, at, own = np.unique(self.root[of], return_inverse=True, return_counts=True)
+            order = np.argsort(own[at], kind="stable")
+            small = order[: TASK_PIVOTS // 2]
+            spread = order[np.linspace(0, len(of) - 1, TASK_PIVOTS - len(small)).astype(np.int64)]
+            chosen = np.unique(np.concatenate([small, spread]))
+            pivots = of[chosen]
+            d = self._distances(of, pivots)
+            self._keep(of, pivots, d)
+            rest = np.ones(len(of), bool)
+            rest[chosen] = False
+            rest, d = of[rest], d[rest]
+            own, cap = d.min(axis=1), min(1.0, 3 * self.r)
+            inside = (d < cap) & (d <= own[:, None] + 2 * self.r + 1e-9)
+            far = own >= cap - self.r - 1e-9
+            if inside.sum() + far.sum() > SPREAD * len(rest):
+                todo.append(rest)
+            else:
+                todo += [rest[inside[:, k]] for k in range(len(pivots))] + [rest[far]]
+        return self
+
+
+def _regions(batches: Iterator[pa.RecordBatch], r: float) -> Iterator[pa.RecordBatch]:
+    """Near pairs of each group, of at most MOST sets; rows come sorted by group."""
     held: list[tuple] = []
     key = None
 
-    def compare() -> Iterator[pa.RecordBatch]:
+    def settle() -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
         x, root, n = (np.array([h[k] for h in held], np.int64) for k in range(3))
-        buckets = np.array([h[3] for h in held], np.int32)
-        step = max(1, (1 << 22) // (len(held) * BUCKETS))
-        for a in range(0, len(held), step):
-            i = np.arange(a, min(a + step, len(held)))
-            sizes = n[i][:, None] + n
-            open_ = (i[:, None] < np.arange(len(held))) & (root[i][:, None] != root)
-            open_ &= (2 - cap) * np.minimum(n[i][:, None], n) >= (1 - cap) * sizes - 1e-6
-            if not open_.any():
-                continue
-            shared = np.minimum(buckets[i][:, None, :], buckets[None, :, :]).sum(axis=2)
-            r, c = np.nonzero(open_ & ((2 - cap) * shared >= (1 - cap) * sizes - 1e-6))
-            r = i[r]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[r], x[c])), pa.array(np.maximum(x[r], x[c])), pa.array(np.where(x[r] < x[c], n[r], n[c])), pa.array(np.where(x[r] < x[c], n[c], n[r]))], schema=_NEAR)
+        found = Regions(np.array([h[3] for h in held], np.int32), root, r).join(np.arange(len(held))).out
+        if not found:
+            return
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        pair = np.unique(a * np.int64(len(x)) + b)
+        a, b = pair // len(x), pair % len(x)
+        a, b = np.where(x[a] < x[b], a, b), np.where(x[a] < x[b], b, a)
+        yield pa.RecordBatch.from_arrays([pa.array(x[a]), pa.array(x[b]), pa.array(n[a]), pa.array(n[b])], schema=_NEAR)
 
     for batch in batches:
         g, x, root, n = (batch.column(k).to_pylist() for k in ("g", "x", "root", "n"))
         buckets = batch.column("buckets").flatten().to_numpy(zero_copy_only=False).reshape(-1, BUCKETS)
         for k in range(len(g)):
             if g[k] != key:
-                if len(held) > 1:
-                    yield from compare()
+                yield from settle()
                 held, key = [], g[k]
             held.append((x[k], root[k], n[k], buckets[k]))
-    if len(held) > 1:
-        yield from compare()
+    yield from settle()
 
 
-def _near_within(groups: DataFrame, nodes: DataFrame, cap: float) -> DataFrame:
-    """The same for all open pairs of each group (g, x, root)."""
-    if "buckets" not in nodes.columns:
-        other = groups.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
-        return _near(groups.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct(), nodes, cap)
+def _near_within(groups: DataFrame, nodes: DataFrame, r: float) -> DataFrame:
+    """The near pairs (x, p, n_x, n_p) of different components inside groups (g, x, root)."""
     spark = groups.sparkSession
-    known = nodes.select(F.col("node").alias("x"), "n", "buckets").dropDuplicates(["x"])
+    known = nodes.select(F.col("node").alias("x"), "n", "buckets")
     rows = groups.select("g", "x", "root").join(known, "x").repartition(shuffle_width(spark), "g").sortWithinPartitions("g", "x")
-    return rows.mapInArrow(lambda b: _leaves(b, cap), "x long, p long, n_x long, n_p long").distinct()
+    return rows.mapInArrow(lambda b: _regions(b, r), "x long, p long, n_x long, n_p long").distinct()
 
 
 def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int) -> DataFrame:
@@ -265,18 +313,19 @@ def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame
     return ws.put(rooted.join(several, "g"), "groups")
 
 
-def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int = PER_HUNDRED) -> DataFrame:
+def link_groups(members: DataFrame, ws: Workspace, measure: Callable, measure_within: Callable, per_hundred: int = PER_HUNDRED, most: int | None = None) -> DataFrame:
     """Roots (node, root) of the components that the linked pairs inside groups (g, x) make.
 
-    nodes: node, n, members (its set), and buckets if sets are worth a bound before they are fetched. Without buckets
-    only DataFrame functions run.
+    measure(pairs, cap) gives (x, p, linked, d) of the pairs (x, p) within distance cap, or of more; measure_within(groups, r)
+    gives it for the pairs of different components within r inside groups (g, x, root) of at most `most` sets.
     """
+    most = most or MOST
     r = 1 - per_hundred / 100
     cap = max(CAP, min(1.0, 1.5 * r))  # above r, or pivots would lose links
     by_hash = lambda salt: F.struct(F.xxhash64("x", F.lit(salt)).alias("h"), F.col("x").alias("x"))
     pivots = members.groupBy("g").agg(F.min(by_hash(0)).alias("m")).select("g", F.col("m.x").alias("p"))
     pivoted = members.join(pivots, "g").filter("x <> p")
-    links = [_measure(_near(pivoted.select("x", "p").distinct(), nodes, r), nodes, ws, per_hundred).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
+    links = [measure(pivoted.select("x", "p").distinct(), r).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
     members, depth = pivoted.select("g", "x"), 0
     while True:
         found = links[0]
@@ -294,13 +343,12 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         groups = ws.put(groups.filter(f"size <= {LEAF}").select("g", "x", "root", "size").unionAll(merged), "merged")
         sizes = groups.agg(F.max("size")).first()[0]
         new = []
-        small = groups.filter(f"size <= {MOST}")
-        new.append(_measure(_near_within(small, nodes, r), nodes, ws, per_hundred))
-        if sizes <= MOST:
+        new.append(measure_within(groups.filter(f"size <= {most}"), r))
+        if sizes <= most:
             links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             found = found.unionAll(links[-1])
             return ws.put(components(found, ws), "roots")
-        large = groups.filter(f"size > {MOST}").select("g", "x", "root")
+        large = groups.filter(f"size > {most}").select("g", "x", "root")
         # members of a group's small components first: once all but one component have been pivots, it is settled
         large = large.join(large.groupBy("g", "root").agg(F.count("*").alias("own")), ["g", "root"]).select("g", "x", "own")
         nth = F.row_number().over(Window.partitionBy("g").orderBy("own", F.xxhash64("x", F.lit(depth)), "x"))
@@ -308,7 +356,7 @@ def link_groups(members: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred
         large = large.select("g", "x")
         rest = large.join(pivots.withColumnRenamed("p", "x"), ["g", "x"], "left_anti")
         apart = ws.put(large.join(pivots, "g").filter("x <> p"), "apart")
-        measured = _measure(_near(apart.select("x", "p").distinct(), nodes, cap), nodes, ws, per_hundred)
+        measured = measure(apart.select("x", "p").distinct(), cap)
         new.append(measured)
         d = F.least(F.coalesce("d", F.lit(cap)), F.lit(cap))
         placed = rest.join(pivots, "g").join(measured.select("x", "p", "d"), ["x", "p"], "left").select("g", "x", "p", d.alias("d"))
@@ -352,8 +400,17 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     wanted = classes.join(members.select(F.col("x").alias("row_id")).distinct(), "row_id").select("doc_id", "row_key", F.col("row_id").alias("node"))
     texts = keyed.join(wanted, (F.col("__key") == F.col("row_key")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "__text")
     nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES), "nodes")
+    twice = nodes.groupBy("node").count().filter("count > 1").select("node")
+    if not twice.isEmpty():  # repeated rows brought them
+        once = nodes.join(twice, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "buckets", "members")])
+        single = ws.put(nodes.join(twice, "node", "left_anti").unionByName(once), "nodes")
+        ws.drop(nodes)
+        nodes = single
     tidy(spark)
-    roots = link_groups(members, nodes, ws, per_hundred)
+    roots = link_groups(
+        members, ws, lambda pairs, cap: _measure(_near(pairs, nodes, cap), nodes, ws, per_hundred),
+        lambda groups, r: _measure(_near_within(groups, nodes, r), nodes, ws, per_hundred), per_hundred,
+    )
     ws.drop(nodes, members)
     tidy(spark)
     rooted = classes.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
@@ -379,9 +436,18 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, per_hundred: int = PER_HUNDRED
 
 def keep_one(docs: DataFrame, k: int = WORDS, per_hundred: int = PER_HUNDRED) -> DataFrame:
     """docs with one row of each component, the one of the smallest doc_id."""
-    gone = _rowwise(docs, k, per_hundred).filter("not kept").select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__r")).distinct()
+    ws = Workspace(docs.sparkSession)
+    found = _rowwise(docs.select("doc_id", "text"), k, per_hundred)
+    marks = ws.put(found.groupBy("doc_id", "row_key").agg(F.max("kept").alias("stays"), F.count("*").alias("times")), "marks")
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
-    return docs.join(gone, (F.xxhash64(doc_id, text) == F.col("__r")) & doc_id.eqNullSafe(F.col("__d")), "left_anti")
+    # whole rows travel in one column, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"), doc_id.alias("id"), F.xxhash64(doc_id, text).alias("key"))
+    same = (F.col("key") == F.col("row_key")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    again = marks.filter("stays and times > 1")
+    if again.isEmpty():
+        return rows.join(marks.filter("not stays"), same, "left_anti").select("row.*")
+    one = rows.join(again, same, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+    return rows.join(marks.filter("not stays or times > 1"), same, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

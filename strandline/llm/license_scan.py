@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, expand, mix, prepare, read, slices, utf8, words
+from .common import LOWER, expand, mix, prepare, read, slices, utf8, word_hashes, words
 
 #: Standard notices of public licences (fixed values).
 TEMPLATES = {
@@ -47,7 +47,7 @@ def bigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct word bigrams of each row."""
     buf = LOWER[buf]
     start, end, row = words(buf, offs, _BETWEEN)
-    h = SpanHash(buf)(start, end)
+    h = word_hashes(buf, start, end)
     same = row[1:] == row[:-1]
     value, row = mix(h[:-1] * _C + h[1:])[same], row[1:][same]
     by = np.lexsort((value, row))

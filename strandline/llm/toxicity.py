@@ -5,10 +5,12 @@ word ends marked (character input). Two gated recurrent units read a window of W
 pools their states, and a logistic unit scores the window. A text's windows overlap by WINDOW - STRIDE words and all are scored; the
 text's score is the highest one. Everything is trained in numpy.
 
-Training takes at most SAMPLE_ROWS rows of each label, those of the least doc_id hashes among rows that are not held out
-and not longer than SAMPLE_POINTS code points. Which window of a toxic text is the toxic one isn't labelled: the first
-guess is the window whose features tell the labels apart best, later rounds take the window the network scores highest,
-against the highest and some random windows of the clean texts.
+Training takes at most SAMPLE_ROWS rows of each label, those of the least doc_id hashes among rows that are not held out;
+of a text of more than SAMPLE_POINTS code points one stretch of that length, at a place chosen by the same hash. So a
+sample has at most 2 * SAMPLE_ROWS * SAMPLE_POINTS code points, however large the corpus. All weights start at random.
+Which window of a toxic text is the toxic one isn't labelled, so rounds go from short texts to long ones (ROUNDS): texts of
+one or two windows teach first, and in longer ones the window that the network so far scores highest stands for the
+text, beside some random windows of the clean texts.
 
 A null or empty text is one window without words. Without labels of both kinds nothing can be learned and every score is
 the share of toxic labels (0 without any). A null doc_id is not held out. Repeated rows are scored alike; extra
@@ -26,17 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, expand, prepare, read, slices, utf8, words
+from .common import LOWER, distinct, expand, hashed, mix, prepare, read, slices, utf8, words
 
 WINDOW, STRIDE = 12, 8
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 18, 1 << 16, 8, 8, 8
 GRAM = 4
 SAMPLE_ROWS = 1500
-SAMPLE_POINTS = 60_000
+SAMPLE_POINTS = 12_000
 HELD_OUT_OF = 5
-EPOCHS, BATCH, RATE = (5, 3, 2), 96, 0.01
-#: Words whose input is remembered by a worker.
-REMEMBERED = 400_000
+#: Rounds of training: the most windows of a text, and how often each chosen window is seen.
+ROUNDS = ((2, 20), (8, 10), (64, 6), (None, 6), (None, 6), (None, 6))
+BATCH, RATE = 96, 0.01
+#: Words, and their bytes, whose input is remembered by a worker.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 16 << 20
 BLOCK = 2048
 
 _BETWEEN = np.ones(256, bool)
@@ -63,9 +67,21 @@ def grams_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     marked[expand(at + 1, size)] = buf[expand(start, size)]
     count = np.maximum(size + 2 - GRAM + 1, 1)
     first = expand(at, count)
-    spans = SpanHash(marked)
-    last = np.minimum(first + GRAM, np.repeat(ends, count))
-    return (spans(first, last) % np.uint64(CHAR_ROWS)).astype(np.int64), count
+    padded = np.concatenate([marked, np.zeros(GRAM, np.uint8)])
+    value = np.zeros(len(first), np.uint64)
+    short = np.repeat(size + 2 < GRAM, count)
+    for j in range(GRAM):
+        byte = padded[first + j]
+        if j >= 2:  # only words of one letter are shorter than a string
+            byte[short & (first + j >= np.repeat(ends, count))] = 0
+        value = value << np.uint64(8) | byte
+    return (mix(value) % np.uint64(CHAR_ROWS)).astype(np.int64), count
+
+
+def inputs_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its rows of the character table, their number by word)."""
+    ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+    return hashed(strings), *grams_of(np.frombuffer(b"".join(strings), np.uint8), np.append(0, ends[:-1]), ends)
 
 
 def window_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +106,7 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-        self.w = {"word": normal(WORD_ROWS, DIM, s=0.1), "char": normal(CHAR_ROWS, DIM, s=0.1)}
+        self.w = {"word": normal(WORD_ROWS, DIM, s=0.01), "char": normal(CHAR_ROWS, DIM, s=0.03)}
         for d in "fb":
             self.w |= {f"wx_{d}": normal(2 * DIM, 3 * HIDDEN, s=0.25), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"u_{d}": normal(HIDDEN, 3 * HIDDEN, s=0.3)}
         self.w |= {"wa": normal(2 * HIDDEN, ATTEND, s=0.3), "ba": np.zeros(ATTEND, np.float32), "va": normal(ATTEND, s=0.3), "wo": normal(2 * HIDDEN, s=0.3), "bo": np.full(1, -1.0, np.float32)}
@@ -107,7 +123,8 @@ class Network:
     constant: float | None = None
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.inputs = {k: np.zeros((1 << 12, HIDDEN), np.float32) for k in _GATES}
 
     def _project(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -126,22 +143,22 @@ class Network:
         """For each word the row of self.inputs with its gate inputs for both directions; row 0 is no word."""
         if not len(start):
             return np.zeros(0, np.int64)
-        distinct, first, back = np.unique(SpanHash(buf)(start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        strings, back = distinct(buf, start, end)
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self._forget()
-        hashes = distinct.tolist()
-        index = np.array([self.known.get(h, 0) for h in hashes], np.int64)
+        index = np.fromiter((self.known.get(w, 0) for w in strings), np.int64, len(strings))
         new = np.flatnonzero(index == 0)
         if len(new):
-            grams, counts = grams_of(buf, start[first[new]], end[first[new]])
-            x = self.vectors(distinct[new], grams, counts)
+            fresh = [strings[k] for k in new.tolist()]
+            x = self.vectors(*inputs_of(fresh))
             base = len(self.known) + 1
             while base + len(new) > len(self.inputs["fr"]):
                 self.inputs = {k: np.concatenate([t, np.zeros_like(t)]) for k, t in self.inputs.items()}
             for k, t in self._project(x).items():
                 self.inputs[k][base : base + len(new)] = t
             index[new] = np.arange(base, base + len(new))
-            self.known.update(zip((hashes[k] for k in new.tolist()), range(base, base + len(new)), strict=True))
+            self.known.update(zip(fresh, range(base, base + len(new)), strict=True))
+            self.held += sum(map(len, fresh))
         return index[back]
 
     # --- scoring
@@ -211,8 +228,8 @@ class Network:
 
     # --- training
 
-    def step(self, words_at: np.ndarray, mask: np.ndarray, y: np.ndarray, table: Words) -> float:
-        """One Adam step on windows (WINDOW x batch, rows of table)."""
+    def gradients(self, words_at: np.ndarray, mask: np.ndarray, y: np.ndarray, table: Words) -> tuple[list[tuple], float]:
+        """((weight, rows that the batch used, gradient), mean loss) of windows (WINDOW x batch, rows of table)."""
         distinct, back = np.unique(words_at, return_inverse=True)
         back = back.reshape(words_at.shape)
         hashes, grams, counts = table.of(distinct)
@@ -258,8 +275,7 @@ class Network:
                 later = live * z + dgh @ w[f"u_{d}"].T + total * ~m
             g[f"u_{d}"], g[f"wx_{d}"], g[f"b_{d}"] = du, x.T @ dgx_all, dgx_all.sum(axis=0)
             dx += dgx_all @ w[f"wx_{d}"].T
-        self.steps += 1
-        rate = np.float32(RATE * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
+        loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
         every = slice(None)
         parts = [(k, every, grad) for k, grad in g.items()]
         # of the tables only the rows that the batch used
@@ -268,43 +284,62 @@ class Network:
             summed = np.zeros((len(rows), DIM), np.float32)
             np.add.at(summed, where, grad)
             parts.append((k, rows, summed))
+        return parts, loss
+
+    def step(self, words_at: np.ndarray, mask: np.ndarray, y: np.ndarray, table: Words) -> float:
+        """One Adam step; the loss before it."""
+        parts, loss = self.gradients(words_at, mask, y, table)
+        self.steps += 1
+        rate = np.float32(RATE * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
         for k, rows, grad in parts:
             m = self.m[k][rows] * np.float32(0.9) + np.float32(0.1) * grad
             v = self.v[k][rows] * np.float32(0.99) + np.float32(0.01) * grad * grad
             self.m[k][rows], self.v[k][rows] = m, v
-            w[k][rows] -= rate * m / (np.sqrt(v) + np.float32(1e-7))
-        return float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
+            self.w[k][rows] -= rate * m / (np.sqrt(v) + np.float32(1e-7))
+        return loss
 
 
 class Words:
-    """The sample's distinct words with their character strings."""
+    """The sample's different words with their character strings."""
 
-    def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.hashes, first, self.index = np.unique(SpanHash(buf)(start, end), return_index=True, return_inverse=True)
-        self.grams, self.counts = grams_of(buf, start[first], end[first])
+    def __init__(self, strings: list[bytes]):
+        self.hashes, grams, counts = inputs_of(strings)
+        self.grams, self.counts = grams.astype(np.int32), counts
         self.at = np.cumsum(self.counts) - self.counts
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.hashes[rows], self.grams[expand(self.at[rows], self.counts[rows])], self.counts[rows]
 
-
-def _evidence(table: Words, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How far each word alone, or its character strings, tell the labels apart."""
-
-    def ratio(feature: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
-        pairs = np.unique(row.astype(np.int64) * size + feature)
-        doc, f = pairs // size, pairs % size
-        pos = np.bincount(f[y[doc] == 1], minlength=size)
-        neg = np.bincount(f[y[doc] == 0], minlength=size)
-        p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
-        return np.log(p / q) * np.minimum(1, np.maximum(pos, neg) / 4)
-
-    pairs = np.unique(rows.astype(np.int64) * len(table.hashes) + table.index)
-    rows, index = pairs // len(table.hashes), pairs % len(table.hashes)
-    word = ratio(index, rows, len(table.hashes))
-    reps = table.counts[index]
-    char = ratio(table.grams[expand(table.at[index], reps)], np.repeat(rows, reps), CHAR_ROWS)
-    return word + np.maximum.reduceat(char[table.grams], table.at)
+    def gates(self, net: Network) -> dict[str, np.ndarray]:
+        """Gate inputs of all words, block by block."""
+        parts = [net._project(net.vectors(*self.of(np.arange(a, min(a + (1 << 14), len(self.hashes)))))) for a in range(0, len(self.hashes), 1 << 14)]
+        return {k: np.concatenate([p[k] for p in parts]) for k in _GATES}
+
+
+class Sample:
+    """Texts as rows of a table of their different words, and their windows; four bytes a word, whatever its length."""
+
+    def __init__(self, texts: list[str | None]):
+        rows: dict[bytes, int] = {}
+        index, counts = [np.zeros(0, np.int32)], []
+        for a in range(0, len(texts), 64):
+            buf, offs = utf8(pa.array(texts[a : a + 64], pa.large_string()))
+            buf = lowered(buf)
+            start, end, row = words(buf, offs, _BETWEEN)
+            counts.append(np.bincount(row, minlength=len(offs) - 1))
+            if len(start):
+                strings, own = distinct(buf, start, end)
+                index.append(np.array([rows.setdefault(w, len(rows)) for w in strings], np.int32)[own])
+        self.index, self.n = np.concatenate(index), np.concatenate(counts)
+        self.first = np.cumsum(self.n) - self.n
+        self.of, self.at = (x.astype(np.int32) for x in window_starts(self.n))
+        self.table = Words(list(rows)) if rows else None
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the table, which of them are words), WINDOW x chosen."""
+        where = self.at[chosen][None, :] + np.arange(WINDOW)[:, None]
+        mask = where < self.n[self.of[chosen]]
+        return np.where(mask, self.index[np.minimum(self.first[self.of[chosen]] + where, len(self.index) - 1)], 0), mask
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
@@ -313,41 +348,33 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
-    buf, offs = utf8(pa.array(texts, pa.large_string()))
-    buf = lowered(buf)
-    start, end, row = words(buf, offs, _BETWEEN)
-    if not len(start):
+    sample = Sample(texts)
+    if sample.table is None:
         net.constant = float(y.mean())
         return net
-    table = Words(buf, start, end)
-    n = np.bincount(row, minlength=len(y))
-    first = np.cumsum(n) - n
-    of, at = window_starts(n)
-    where = at[None, :] + np.arange(WINDOW)[:, None]
-    mask = where < n[of]
-    ids = np.where(mask, table.index[np.minimum(first[of] + where, len(start) - 1)], 0)
-    value = _evidence(table, row, y)
-    guess = np.where(mask, value[ids], -1e9).max(axis=0)
-    # the network starts from what single words tell: one coordinate of a word's vector holds it
-    for h, v in zip((table.hashes % np.uint64(WORD_ROWS)).astype(np.int64).tolist(), value.tolist(), strict=True):
-        net.w["word"][h, 0] = np.clip(v / 6, -0.5, 1.5)
     rng = np.random.default_rng(seed)
-    toxic = y[of] == 1
-    for epochs in EPOCHS:
-        order = np.lexsort((guess, of))
-        last = np.append(np.flatnonzero(np.diff(of[order])), len(of) - 1)
-        best = order[last]
-        clean = np.flatnonzero(~toxic)
-        extra = rng.choice(clean, min(len(clean), len(y)), replace=False)
+    of = sample.of
+    size = np.bincount(of, minlength=len(y))
+    guess = rng.random(len(of)).astype(np.float32)
+    for most, epochs in ROUNDS:
+        in_round = size[of] <= most if most else np.ones(len(of), bool)
+        use = np.flatnonzero(in_round)
+        if not len(use) or len(np.unique(y[of[use]])) < 2:
+            continue
+        order = use[np.lexsort((guess[use], of[use]))]
+        best = order[np.append(np.flatnonzero(np.diff(of[order])), len(order) - 1)]
+        clean = use[y[of[use]] == 0]
+        extra = rng.choice(clean, min(len(clean), len(best)), replace=False)
         chosen = np.concatenate([best, extra])
-        target = toxic[chosen].astype(np.float32)
+        target = y[of[chosen]].astype(np.float32)
         for _ in range(epochs):
             shuffled = rng.permutation(len(chosen))
             for a in range(0, len(shuffled), BATCH):
-                b = chosen[shuffled[a : a + BATCH]]
-                net.step(ids[:, b], mask[:, b], target[shuffled[a : a + BATCH]], table)
-        net.inputs = net._project(net.vectors(*table.of(np.arange(len(table.hashes)))))
-        guess = np.concatenate([net._logits(ids[:, a : a + BLOCK], mask[:, a : a + BLOCK]) for a in range(0, len(of), BLOCK)])
+                b = shuffled[a : a + BATCH]
+                net.step(*sample.windows(chosen[b]), target[b], sample.table)
+        net.inputs = sample.table.gates(net)
+        for a in range(0, len(of), BLOCK):
+            guess[a : a + BLOCK] = net._logits(*sample.windows(np.arange(a, min(a + BLOCK, len(of)))))
     net._forget()
     return net
 
@@ -369,16 +396,19 @@ def _scores(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Reco
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, points: int = SAMPLE_POINTS) -> Network:
-    """Trains in one task from a bounded sample: `rows` rows of each label at most, none over `points` code points."""
+    """Trains in one task from a bounded sample: `rows` rows of each label at most, at most `points` code points of each."""
     prepare(docs.sparkSession)
     id_text = F.col("doc_id").cast("long").cast("string")
     usable = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(id_text) % HELD_OUT_OF != 0)).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     usable = usable.groupBy("id").agg(F.max("y").alias("y"))
+    # only rows that docs has; no text is read for that
+    usable = usable.join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")
     pick = lambda v: usable.filter(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(rows)
     # `rows` ids of each label at most: small enough for every executor
     ids = F.broadcast(pick(0).unionAll(pick(1)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t")).filter(F.length("t") <= points).join(ids, "id")
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("t") - points + 1, F.lit(1))).cast("int") + 1
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t")).join(ids, "id").select("id", "y", F.substring("t", place, F.lit(points)).alias("t"))
     sample = found.groupBy("id", "y").agg(F.min("t").alias("t"))
     found = sample.repartition(1).mapInArrow(_trained, "net binary").first()
     return pickle.loads(found[0]) if found else train([], [])

@@ -213,7 +213,7 @@ def removed(texts, size):
     return out
 
 
-@pytest.mark.parametrize("key_bytes", [1 << 16, 1500])
+@pytest.mark.parametrize("key_bytes", [1 << 16, 1500, 300])
 def test_suffix_dedup(spark, key_bytes):
     rng = random.Random(5)
     base = "".join(rng.choice("abcdé \n") for _ in range(500))
@@ -311,6 +311,7 @@ def test_embeddings(spark):
     centres = rng.normal(size=(12, 16))
     v = np.concatenate([c + rng.normal(size=(12, 16)) * 0.25 for c in centres])
     rows = [(k, [float(x) for x in v[k]], int(k % 2)) for k in range(len(v))]
+    rows += [(910 + k, [x * s for x in rows[5][1]], 1) for k, s in enumerate((1e-30, 1e30))]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, rows[3][1], None), (905, rows[3][1], 1), (906, [1.0, 2.0], 1)]
     table = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, label int, links long")
     stored = {r.vec_id: (r.embedding, r.label) for r in table.collect()}
@@ -330,8 +331,8 @@ def test_embeddings(spark):
         least[r] = min(least.get(r, 1 << 60), i)
     n = collections.Counter(x for pair in links for x in pair)
     want = {(i, n[i], least[r], i == least[r]) for i, r in zip(order, root, strict=True)}
-    for shard, queries in ((2048, 16384), (20, 30)):
-        assert {tuple(r) for r in embedding_dedup.embedding_dedup(table, shard=shard, queries=queries).collect()} == want
+    for shard_bytes, queries in ((1 << 24, 1 << 16), (20 * 128, 30)):
+        assert {tuple(r) for r in embedding_dedup.embedding_dedup(table, shard_bytes=shard_bytes, queries=queries).collect()} == want
     assert embedding_dedup.embedding_dedup(table.limit(0)).count() == 0
 
 
@@ -409,22 +410,159 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.score for r in toxicity.score_toxicity(table.limit(0).unionAll(table.limit(2)), none).collect()} == {0.0}
 
 
+def _windows_of(texts):
+    sample = toxicity.Sample(texts)
+    return sample, sample.windows(np.arange(len(sample.of)))
+
+
 def test_gradients_match_differences():
     net = toxicity.Network(3)
-    texts = ["aa bb cc dd", "ee ff", "gg hh ii jj kk ll mm nn oo pp qq rr ss"]
-    buf, offs = bpe_codec.utf8(pa.array(texts))
-    start, end, row = toxicity.words(buf, offs, toxicity._BETWEEN)
-    table = toxicity.Words(buf, start, end)
-    n = np.bincount(row)
-    of, at = toxicity.window_starts(n)
-    where = at[None, :] + np.arange(toxicity.WINDOW)[:, None]
-    mask = where < n[of]
-    ids = np.where(mask, table.index[np.minimum((np.cumsum(n) - n)[of] + where, len(start) - 1)], 0)
-    y = np.array([1.0, 0.0] + [1.0] * (len(of) - 2), np.float32)
-    net.inputs = net._project(net.vectors(*table.of(np.arange(len(table.hashes)))))
-    loss = lambda: float(-(y * np.log(p := toxicity._sigmoid(net._logits(ids, mask).astype(float))) + (1 - y) * np.log(1 - p)).mean())
-    before = loss()
-    for _ in range(30):
-        net.step(ids, mask, y, table)
-    net.inputs = net._project(net.vectors(*table.of(np.arange(len(table.hashes)))))
-    assert loss() < 0.5 * before
+    sample, (ids, mask) = _windows_of(["aa bb cc dd", "ee ff", "gg hh ii jj kk ll mm nn oo pp qq rr ss", "a"])
+    y = np.array([1.0, 0.0, 1.0, 1.0, 0.0][: ids.shape[1]], np.float64)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    parts, _ = net.gradients(ids, mask, y, sample.table)
+    assert {k for k, _, _ in parts} == set(net.w)
+    rng = np.random.default_rng(1)
+    for k, rows, grad in parts:
+        whole = np.zeros_like(net.w[k])
+        whole[rows] = grad
+        spots = np.argwhere(whole != 0)
+        for spot in spots[rng.permutation(len(spots))[:6]]:
+            at, sides = tuple(spot), []
+            for step in (1e-5, -1e-5):
+                net.w[k][at] += step
+                sides.append(net.gradients(ids, mask, y, sample.table)[1])
+                net.w[k][at] -= step
+            assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(whole[at], rel=2e-2, abs=1e-6), (k, at)
+
+
+def test_scores_match_one_window_at_a_time():
+    net, texts = toxicity.Network(5), ["one two three", "", None, " ".join(f"w{k % 9}é" for k in range(31)), "X"]
+    got = net.scores(*bpe_codec.utf8(pa.array(texts)))
+    w, sig = net.w, lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        marked = b"\1" + word + b"\2"
+        grams = [marked[i : i + 4] for i in range(max(1, len(marked) - 3))]
+        rows = [int(toxicity.mix(np.array([int.from_bytes(g.ljust(4, b"\0"), "big")], np.uint64))[0] % np.uint64(toxicity.CHAR_ROWS)) for g in grams]
+        return np.concatenate([w["word"][int(toxicity.hashed([word])[0]) % toxicity.WORD_ROWS], w["char"][rows].mean(axis=0)]).astype(float)
+
+    def window(part):
+        h = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            s, n = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN
+            for t in order:
+                gx, gh = vector(part[t]) @ w[f"wx_{d}"] + w[f"b_{d}"], s @ w[f"u_{d}"]
+                r, z = sig(gx[:n] + gh[:n]), sig(gx[n : 2 * n] + gh[n : 2 * n])
+                s = (1 - z) * np.tanh(gx[2 * n :] + r * gh[2 * n :]) + z * s
+                h[d, t] = s
+        if not part:
+            return sig(float(w["bo"][0]))
+        states = np.array([np.concatenate([h["f", t], h["b", t]]) for t in range(len(part))])
+        e = np.exp(np.tanh(states @ w["wa"] + w["ba"]) @ w["va"])
+        return sig(float((e / e.sum()) @ states @ w["wo"] + w["bo"][0]))
+
+    for text, score in zip(texts, got, strict=True):
+        part = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+        starts = [0] if len(part) <= toxicity.WINDOW else range(0, len(part) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)
+        assert score == pytest.approx(max(window(part[a : a + toxicity.WINDOW]) for a in starts), abs=1e-4)
+
+
+# --- hashes, long words and large groups
+
+
+def _thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, byte_bpe, word_bpe):
+    one = _thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, one[:1024], other[:1024], "xq" * 100_000, "z" * 5000 + " " + one]
+    for own, library in (byte_bpe, word_bpe):
+        assert encode(own, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = jaccard_join.jaccard_join(docs(spark, [(1, one), (2, other), (3, f"{one} b c"), (4, f"{other} b c")])).collect()
+    assert {r.component_id for r in got} == {1, 2, 3, 4}
+
+
+def test_regions_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    for r in (0.1, 0.2):
+        base = rng.poisson(9, (12, jaccard_join.BUCKETS)) * (rng.random((12, jaccard_join.BUCKETS)) < 0.4)
+        counts = np.concatenate([np.maximum(b + rng.integers(-1, 2, (60, jaccard_join.BUCKETS)) * (rng.random((60, jaccard_join.BUCKETS)) < p), 0) for b in base for p in (0.05, 0.3)]).astype(np.int32)
+        root = rng.integers(0, 900, len(counts))
+        regions = jaccard_join.Regions(counts, root, r).join(np.arange(len(counts)))
+        got = {(int(a), int(b)) for x, y in regions.out for a, b in zip(x, y, strict=True)}
+        least = np.array([np.minimum(c, counts).sum(axis=1) for c in counts])
+        n = counts.sum(axis=1)
+        near = 1 - least / (n[:, None] + n - least) <= r
+        want = {(a, b) for a, b in np.argwhere(near).tolist() if a < b and root[a] != root[b]}
+        assert got == want
+        assert regions.compared < len(counts) ** 2 / 2
+
+
+def test_fuzzy_line_recall(spark):
+    rng = random.Random(9)
+    lines = []
+    for _ in range(400):
+        n = rng.choice([14, 40, 120, 400])
+        base = "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+        other = list(base)
+        for _ in range(max(1, n // 55)):
+            other[rng.randrange(n)] = rng.choice("XYZ")
+        lines += [base, "".join(other)]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    pairs = {k for k in range(0, len(lines), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    got = line_dedup.fuzzy_line_dedup(docs(spark, list(enumerate(lines)))).collect()
+    found = {r.doc_id - 1 for r in got if r.keep_doc_id != r.doc_id}
+    assert found <= pairs, "only pairs of 0.8 or more link"
+    assert len(found) >= 0.95 * len(pairs) > 100
+
+
+def test_packing_in_supersteps(spark):
+    rng = random.Random(10)
+    lengths = np.array([rng.choice([1, 3, 17, 60, 200, 900, 1500, 2048]) + rng.randrange(2) for _ in range(6000)]).clip(1, 2048)
+    sequence, offset = packing.packed(lengths, 2048)
+    # the same one document at a time: the largest first, into the smallest gap that holds it
+    gaps = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fits = [g for g in gaps if g >= n]
+        gap = min(fits) if fits else 2048
+        if fits:
+            gaps.remove(gap)
+        if gap > n:
+            gaps.append(gap - n)
+        else:
+            gaps.append(0)
+    used = np.bincount(sequence, weights=lengths)
+    assert used.max() <= 2048
+    assert used.sum() == lengths.sum()
+    assert len(used) <= len(gaps)
+    rows = [(k, "word " * int(n)) for k, n in enumerate(lengths[:900])]
+    few = packing.pack(docs(spark, rows), public.path("word_bpe_49k.json"), shard=100).collect()
+    one = packing.pack(docs(spark, rows), public.path("word_bpe_49k.json")).collect()
+    count = lambda got: len({r.sequence_id for r in got})
+    assert len(few) == len(one)
+    assert count(few) <= count(one) * 1.03 + 1
+    by = collections.defaultdict(list)
+    for r in few:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    schema = "doc_id long, text string, __key long, __r long, __d long, __starts long, row struct<a:long>, id long, key long, mark long, starts long, __hash long, __row long"
+    rows = [(i, t, 1, 2, 3, 4, (5,), 6, 7, 8, 9, 10, 11) for i, t in [(1, "a b c d e f"), (2, "A b c d e f"), *[(7, "same row again " * 20)] * 300]]
+    table = spark.createDataFrame(rows, schema)
+    for f in (jaccard_join.keep_one, suffix_dedup.remove_repeats, exact_dedup.keep_distinct):
+        out = f(table)
+        assert out.columns == table.columns
+        assert {r.doc_id for r in out.collect()} >= {1, 7}
+    got = jaccard_join.jaccard_join(table).collect()
+    assert sum(r.kept for r in got) == 2
+    assert len(got) == 302
+    assert {r.n_removed for r in suffix_dedup.suffix_dedup(table).collect()} == {0, 300}
