@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -85,9 +86,12 @@ class Workspace:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of what has been written; together they may be larger than the input."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of what has been written; together they may be larger than the input. Its cleaner
+    works on collected references, beside the driver's thread, so it is given a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -300,7 +300,10 @@ def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int)
     both = F.size(F.array_intersect("members_x", "members_p"))
     full = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", "n_x", "n_p", both.cast("long").alias("both"))
     union = F.col("n_x") + F.col("n_p") - F.col("both")
-    return ws.put(full.select("x", "p", (100 * F.col("both") >= per_hundred * union).alias("linked"), (1 - F.col("both") / union).alias("d")), "distances")
+    out = ws.put(full.select("x", "p", (100 * F.col("both") >= per_hundred * union).alias("linked"), (1 - F.col("both") / union).alias("d")), "distances")
+    ws.drop(near)
+    tidy(near.sparkSession)
+    return out
 
 
 def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame:
@@ -310,7 +313,9 @@ def _unsettled(members: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame
     mark = F.sum(F.xxhash64("x", F.lit(1)).cast("decimal(38,0)"))
     several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min("x").alias("first"), mark.alias("mark")).filter("lo <> hi")
     several = several.groupBy("size", "first", "mark").agg(F.min("g").alias("g")).select("g", "size")
-    return ws.put(rooted.join(several, "g"), "groups")
+    out = ws.put(rooted.join(several, "g"), "groups")
+    ws.drop(rooted)
+    return out
 
 
 def link_groups(members: DataFrame, ws: Workspace, measure: Callable, measure_within: Callable, per_hundred: int = PER_HUNDRED, most: int | None = None) -> DataFrame:
@@ -389,6 +394,10 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     spread = rows.select("row_id", F.explode("prefix").alias("g")).join(chosen.select(F.col("node").alias("row_id")), "row_id")
     often = spread.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     members = ws.put(spread.join(often, "g").select("g", F.col("row_id").alias("x")), "members")
+    slim = ws.put(rows.drop("prefix"), "rows")
+    ws.drop(rows)
+    rows = slim
+    tidy(spark)
     ring = F.floor(F.log("n") / (-math.log(per_hundred / 100) * (1 + 1e-9))).cast("int")
     rings = members.join(classes.select(F.col("row_id").alias("x"), ring.alias("ring")), "x").select("x", "g", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
     rings = rings.select(F.xxhash64("g", "ring").alias("g"), "x")
