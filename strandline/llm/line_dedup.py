@@ -7,10 +7,10 @@ lines only aggregate hashes below a bound that about PER_BIN strings of each bin
 which hold all there is of lines that repeat a few words; an empty bin takes the value of the
 next one. The minima are aggregated per different line in the scan, before anything is shuffled. BANDS bands of ROWS bins
 make groups of lines; a pair that meets in a group is verified by the exact Jaccard similarity of its sets if at least AGREE
-bins agree, and linked lines join by distributed union-find. Groups are resolved by pivots (jaccard_join.link_groups), so
-no group's pairs are all compared. Of each component the first line stays, by doc_id (null last), line number and row.
+bins agree, and linked lines join by distributed union-find. Groups of more than MOST lines are resolved by pivots
+(jaccard_join.link_groups), so no large group's pairs are all compared. Of each component the first line stays, by doc_id (null last), line number and row.
 
-Two lines link at Jaccard similarity PER_HUNDRED / 100 or more. Bands and agreement find about 96 % of the pairs of exactly
+Two lines link at Jaccard similarity PER_HUNDRED / 100 or more. Bands and agreement find about 95 % of the pairs of exactly
 that similarity and nearly all of higher ones (tests measure it). A null text has no lines. The lines of a repeated
 row are lines like any others. Extra columns are left alone.
 """
@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, read, tidy
+from .components import components
 from .jaccard_join import link_groups
 
 SHINGLE = 5
-BINS, PER_BIN, ALWAYS = 32, 6, 32
-BANDS, ROWS, AGREE = 16, 5, 16
+BINS, PER_BIN, ALWAYS = 16, 4, 16
+BANDS, ROWS, AGREE = 12, 4, 8
 PER_HUNDRED = 80
-#: Groups of up to this many lines compare their open pairs; larger ones take pivots first.
+#: Groups of up to this many lines compare all pairs, at most MOST / 2 a line; larger ones take pivots.
 MOST = 32
 #: White space that alone makes no line (fixed values).
 BLANK = " \t\x0b\x0c\r"
@@ -93,8 +94,8 @@ def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
     tidy(spark)
     groups = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in bins]) for b, bins in enumerate(_bands())]))
     members = signed.select(groups.alias("g"), F.col("node").alias("x"))
-    often = members.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    members = ws.put(members.join(often, "g").select("g", "x"), "members")
+    often = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    members = ws.put(members.join(often, "g").select("g", "x", "size"), "members")
     tidy(spark)
 
     def measure(pairs: DataFrame) -> DataFrame:
@@ -117,7 +118,12 @@ def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
         other = groups.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
         return groups.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct()
 
-    roots = link_groups(members, ws, lambda pairs, cap: measure(pairs), lambda groups, r: measure(within(groups)), PER_HUNDRED, MOST)
+    links = measure(within(members.filter(f"size <= {MOST}").withColumn("root", F.col("x")))).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    large = members.filter(f"size > {MOST}").select("g", "x")
+    if not large.isEmpty():
+        of_large = link_groups(large, ws, lambda pairs, cap: measure(pairs), lambda groups, r: measure(within(groups)), PER_HUNDRED, MOST)
+        links = links.unionAll(of_large.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = ws.put(components(links, ws), "roots")
     ws.drop(members)
 
     places = ws.put(_lines(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "line_no", "h1", "h2").withColumn("place", F.monotonically_increasing_id()), "places")
