@@ -29,10 +29,10 @@ from .jaccard_join import link_groups
 
 SHINGLE = 5
 BINS, PER_BIN, ALWAYS = 16, 4, 16
-BANDS, ROWS, AGREE = 12, 4, 8
+BANDS, ROWS, AGREE = 12, 4, 9
 PER_HUNDRED = 80
 #: Groups of up to this many lines compare all pairs, at most MOST / 2 a line; larger ones take pivots.
-MOST = 32
+MOST = 256
 #: White space that alone makes no line (fixed values).
 BLANK = " \t\x0b\x0c\r"
 
