@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct, expand, prepare, read, slices, utf8
+from .common import distinct, expand, freed, prepare, read, slices, utf8
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Different pieces, and their bytes, that a worker remembers before it starts anew.
@@ -351,12 +351,12 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every whole text; path names a file that every executor has."""
-    return _narrow(docs).mapInArrow(lambda b: _ids(b, path), "doc_id long, ids array<int>")
+    return _narrow(docs).mapInArrow(freed(lambda b: _ids(b, path)), "doc_id long, ids array<int>")
 
 
 def codec_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text encoded and decoded again."""
-    return _narrow(docs).mapInArrow(lambda b: _digests(b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _narrow(docs).mapInArrow(freed(lambda b: _digests(b, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read, shuffle_width
+from .common import freed, prepare, read, shuffle_width
 
 TEMPLATE = (
     "{# one block for each turn #}{% for m in messages %}{{ '<|im_' + 'start|>' }}{{ m.role | escape }}\n"
@@ -411,12 +411,12 @@ def _texts(batches: Iterator[pa.RecordBatch], template: str) -> Iterator[pa.Reco
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """conv_id, the formatted text, and its loss mask as [from, to) spans of code points."""
-    return _ordered(conversations).mapInArrow(lambda b: _texts(b, template), "conv_id long, formatted string, loss_spans array<array<long>>")
+    return _ordered(conversations).mapInArrow(freed(lambda b: _texts(b, template)), "conv_id long, formatted string, loss_spans array<array<long>>")
 
 
 def conversation_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """What reading the formatted text back gives for each conversation; needs a template with TEMPLATE's marks."""
-    return _ordered(conversations).mapInArrow(lambda b: _digests(b, template), OUT)
+    return _ordered(conversations).mapInArrow(freed(lambda b: _digests(b, template)), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, expand, prepare, read, shuffle_width
+from .common import Workspace, expand, freed, prepare, read, shuffle_width
 from .components import components
 
 THRESHOLD = 0.93
@@ -360,13 +360,13 @@ def embedding_dedup(table: DataFrame, threshold: float = THRESHOLD, shard_bytes:
     where = ["label", "size", "shard"]
     index = dealt.select("label", "size", F.col("own").alias("shard"), (F.col("shards") > 1).alias("asked"), "row_id", "vector")
     index = index.repartition(shuffle_width(spark), *where).sortWithinPartitions(*where, "row_id")
-    built = ws.put(index.mapInArrow(lambda b: _build(b, threshold), BUILT), "graphs")
+    built = ws.put(index.mapInArrow(freed(lambda b: _build(b, threshold)), BUILT), "graphs")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     graphs = built.filter("graph is not null").join(counts, ["label", "size"]).select(*where, each("blocks").alias("block"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("array<double>").alias("vector"), "graph")
     asking = dealt.filter("shards > 1").select("label", "size", each("shards").alias("shard"), F.col("its_block").alias("block"), "row_id", "vector", F.lit(None).cast("binary").alias("graph"), "own").filter("own <> shard").drop("own")
     where.append("block")
     tasks = graphs.unionByName(asking).repartition(shuffle_width(spark), *where).sortWithinPartitions(*where, F.col("row_id").asc_nulls_first())
-    answers = ws.put(tasks.mapInArrow(_ask, OUT), "answers")
+    answers = ws.put(tasks.mapInArrow(freed(_ask), OUT), "answers")
     found = built.filter("row_id is not null").select("row_id", "links", "other").unionByName(answers)
     links = found.select(F.col("row_id").alias("a"), F.explode("other").alias("b"))
     roots = components(links, ws).select(F.col("node").alias("row_id"), "root")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE, Workspace, prepare, read, shuffle_width, unused
+from .common import WHITESPACE, Workspace, freed, prepare, read, shuffle_width, unused
 
 #: Bytes of distinct content that one table may hold before it spills.
 TABLE_BYTES = 96 << 20
@@ -213,9 +213,9 @@ def exact_dedup(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     prepare(spark)
     ws = Workspace(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = ws.put(narrow.mapInArrow(lambda b: _within_tasks(b, budget), LOCAL), "task-groups")
+    local = ws.put(narrow.mapInArrow(freed(lambda b: _within_tasks(b, budget)), LOCAL), "task-groups")
     reps = local.filter("kind = 1").select("task_group", "row_id", "doc_id", "content", "n_points", "n_rows", "hash")
-    merged = reps.repartition(shuffle_width(spark), "hash").mapInArrow(lambda b: _across_tasks(b, budget), MERGED)
+    merged = reps.repartition(shuffle_width(spark), "hash").mapInArrow(freed(lambda b: _across_tasks(b, budget)), MERGED)
     rows = local.filter("kind = 0").select("task_group", "row_id", "doc_id")
     return rows.join(merged, "task_group").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
 
@@ -247,8 +247,8 @@ def keep_distinct(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     prepare(spark)
     marks = unused(docs, "hash"), unused(docs, "row")
     wide = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType()) for m in marks]])
-    local = docs.mapInArrow(lambda b: _best_rows(b, budget, True, marks), wide)
-    return local.repartition(shuffle_width(spark), marks[0]).mapInArrow(lambda b: _best_rows(b, budget, False, marks), docs.schema)
+    local = docs.mapInArrow(freed(lambda b: _best_rows(b, budget, True, marks)), wide)
+    return local.repartition(shuffle_width(spark), marks[0]).mapInArrow(freed(lambda b: _best_rows(b, budget, False, marks)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Workspace, mix, prepare, read, shuffle_width, slices, tidy, utf8, word_hashes, words
+from .common import LOWER, Workspace, freed, mix, prepare, read, shuffle_width, slices, tidy, utf8, word_hashes, words
 from .components import components
 
 WORDS = 3
@@ -290,7 +290,7 @@ def _near_within(groups: DataFrame, nodes: DataFrame, r: float) -> DataFrame:
     spark = groups.sparkSession
     known = nodes.select(F.col("node").alias("x"), "n", "buckets")
     rows = groups.select("g", "x", "root").join(known, "x").repartition(shuffle_width(spark), "g").sortWithinPartitions("g", "x")
-    return rows.mapInArrow(lambda b: _regions(b, r), "x long, p long, n_x long, n_p long").distinct()
+    return rows.mapInArrow(freed(lambda b: _regions(b, r)), "x long, p long, n_x long, n_p long").distinct()
 
 
 def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int) -> DataFrame:
@@ -383,9 +383,9 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     ws = Workspace(spark)
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("__id"), F.xxhash64(doc_id, text).alias("__key"), text.alias("__text"))
-    top = keyed.select("__text").mapInArrow(lambda b: _frequent(b, k), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
+    top = keyed.select("__text").mapInArrow(freed(lambda b: _frequent(b, k)), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
     order = Order(top["value"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64))
-    rows = ws.put(keyed.mapInArrow(lambda b: _rows(b, order, k, per_hundred), ROWS), "rows")
+    rows = ws.put(keyed.mapInArrow(freed(lambda b: _rows(b, order, k, per_hundred)), ROWS), "rows")
     marks = ["f1", "f2", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"), F.col("row_key").alias("row_key")))
     classes = ws.put(rows.filter("n > 0").groupBy(*marks).agg(first.alias("first")).select(*marks, "first.*"), "classes")
@@ -408,7 +408,7 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     tidy(spark)
     wanted = classes.join(members.select(F.col("x").alias("row_id")).distinct(), "row_id").select("doc_id", "row_key", F.col("row_id").alias("node"))
     texts = keyed.join(wanted, (F.col("__key") == F.col("row_key")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "__text")
-    nodes = ws.put(texts.mapInArrow(lambda b: _nodes(b, order, k), NODES), "nodes")
+    nodes = ws.put(texts.mapInArrow(freed(lambda b: _nodes(b, order, k)), NODES), "nodes")
     twice = nodes.groupBy("node").count().filter("count > 1").select("node")
     if not twice.isEmpty():  # repeated rows brought them
         once = nodes.join(twice, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "buckets", "members")])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, expand, mix, prepare, read, slices, utf8, word_hashes, words
+from .common import LOWER, expand, freed, mix, prepare, read, slices, utf8, word_hashes, words
 
 #: Standard notices of public licences (fixed values).
 TEMPLATES = {
@@ -134,7 +134,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     prepare(docs.sparkSession)
     known = Templates(templates, least)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(lambda b: _scan(b, known), "doc_id long, license string, dice double, n_matches long")
+    return narrow.mapInArrow(freed(lambda b: _scan(b, known)), "doc_id long, license string, dice double, n_matches long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, prepare, read, rolling, shuffle_width, slices, tidy, utf8
+from .common import Workspace, freed, prepare, read, rolling, shuffle_width, slices, tidy, utf8
 from .suffix_array import suffix_array, suffix_arrays
 
 SIZE = 200
@@ -283,7 +283,7 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
     one_class = ["key", "class", "n"]
     keys = lambda classes: classes.groupBy("key").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.sum(F.col("n") + size - 1).alias("held")).filter("least = 1 and c > 1")
 
-    found = ws.put(keyed.select("id", "mark", "text").mapInArrow(lambda b: _runs(b, size, gram), RUN), "runs")
+    found = ws.put(keyed.select("id", "mark", "text").mapInArrow(freed(lambda b: _runs(b, size, gram)), RUN), "runs")
     often = found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = ws.put(found.join(often, "key"), "members")
     ws.drop(found)
@@ -295,18 +295,18 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
     wanted = classes.join(keys(classes).select("key"), "key").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("key", "class", "start", "n", "anchor", "copies")).alias("asked"))
     same_row = (F.col("mark") == F.col("row_key")) & F.col("id").eqNullSafe(F.col("doc_id"))
     texts = keyed.select("id", "mark", "text").join(wanted, same_row).select("doc_id", "row_key", "text", "asked")
-    texts = ws.put(texts.mapInArrow(lambda b: _texts(b, size), TEXTS), "texts")
+    texts = ws.put(texts.mapInArrow(freed(lambda b: _texts(b, size)), TEXTS), "texts")
     ws.drop(classes)
     tidy(spark)
     for width in (*WIDTHS, 0):
         held = texts.groupBy("key").agg((F.sum(F.length("bytes")) > key_bytes).alias("large"))
         dealt = texts.join(held, "key")
         small = dealt.filter("not large" if width else "true").drop("large").repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "class")
-        spans = spans.unionByName(ws.put(small.mapInArrow(lambda b: _sorted_keys(b, size), SPANS), "spans"))
+        spans = spans.unionByName(ws.put(small.mapInArrow(freed(lambda b: _sorted_keys(b, size)), SPANS), "spans"))
         large = dealt.filter("large").drop("large")
         if not width or large.isEmpty():
             break
-        pieces = ws.put(large.dropDuplicates(["key", "class"]).mapInArrow(lambda b, w=width: _pieces(b, size, w), TEXTS), "pieces")
+        pieces = ws.put(large.dropDuplicates(["key", "class"]).mapInArrow(freed(lambda b, w=width: _pieces(b, size, w)), TEXTS), "pieces")
         # a class's copies count for all its members; only members that are single so far can still gain by it
         classes = pieces.groupBy(*one_class).agg(F.sum("copies").alias("total"), F.min(F.struct("row_key", "start", "doc_id")).alias("first"))
         classes = ws.put(classes, "classes")
@@ -326,13 +326,13 @@ def _with_spans(docs: DataFrame, size: int, gram: int, key_bytes: int) -> DataFr
 def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text)."""
     found = _with_spans(docs.select("doc_id", "text"), size, gram, key_bytes)
-    return found.select("id", "text", "starts", "counts").mapInArrow(lambda b: _digests(b, size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("id", "text", "starts", "counts").mapInArrow(freed(lambda b: _digests(b, size)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
     """docs with what is left of each text (n_chars follows); all rows and columns stay."""
     found = _with_spans(docs, size, gram, key_bytes)
-    return found.select("row", "text", "starts", "counts").mapInArrow(lambda b: _kept(b, size), docs.schema)
+    return found.select("row", "text", "starts", "counts").mapInArrow(freed(lambda b: _kept(b, size)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

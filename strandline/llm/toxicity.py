@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, distinct, expand, hashed, mix, prepare, read, slices, utf8, words
+from .common import LOWER, distinct, expand, freed, hashed, mix, prepare, read, slices, utf8, words
 
 WINDOW, STRIDE = 12, 8
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 18, 1 << 16, 8, 8, 8
@@ -410,7 +410,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, points: int
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("t") - points + 1, F.lit(1))).cast("int") + 1
     found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t")).join(ids, "id").select("id", "y", F.substring("t", place, F.lit(points)).alias("t"))
     sample = found.groupBy("id", "y").agg(F.min("t").alias("t"))
-    found = sample.repartition(1).mapInArrow(_trained, "net binary").first()
+    found = sample.repartition(1).mapInArrow(freed(_trained), "net binary").first()
     return pickle.loads(found[0]) if found else train([], [])
 
 
@@ -427,7 +427,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 def score_toxicity(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
-    return _narrow(docs).mapInArrow(lambda b: _scores(b, net), "doc_id long, held_out boolean, score double, predicted int")
+    return _narrow(docs).mapInArrow(freed(lambda b: _scores(b, net)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _clean(batches: Iterator[pa.RecordBatch], net: Network, at: int) -> Iterator[pa.RecordBatch]:
@@ -441,7 +441,7 @@ def keep_clean(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
-    return docs.mapInArrow(lambda b: _clean(b, net, at), docs.schema)
+    return docs.mapInArrow(freed(lambda b: _clean(b, net, at)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
