@@ -104,13 +104,15 @@ def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
         wanted = near.select(F.explode(F.array("x", "p")).alias("node")).distinct()
         wanted = signed.select("h1", "h2", "node").join(wanted, "node")
         texts = _lines(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
-        sets = ws.put(texts.select("node", strings_of().alias("members")), "sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}"))
-        both = F.size(F.array_intersect("members_x", "members_p")).alias("both")
-        full = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", both, (F.size("members_x") + F.size("members_p")).alias("sizes"))
+        texts = ws.put(texts, "texts")
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+        # lines travel, not their sets, which are ten times as large
+        sets = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", strings_of("line_x").alias("of_x"), strings_of("line_p").alias("of_p"))
+        both = F.size(F.array_intersect("of_x", "of_p")).alias("both")
+        full = sets.select("x", "p", both, (F.size("of_x") + F.size("of_p")).alias("sizes"))
         union = F.col("sizes") - F.col("both")
         out = ws.put(full.select("x", "p", (100 * F.col("both") >= PER_HUNDRED * union).alias("linked"), (1 - F.col("both") / union).alias("d")), "distances")
-        ws.drop(near, sets)
+        ws.drop(near, texts)
         tidy(spark)
         return out
 
