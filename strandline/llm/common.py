@@ -77,6 +77,8 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strandline_path = path
+        # plans and generated classes of what is written pile up on the driver, its shuffle files on the executors
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -86,28 +88,33 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of what has been written; together they may be larger than the input. Its cleaner
     works on collected references, beside the driver's thread, so it is given a moment."""
     for _ in range(2):
-        gc.collect()
+        release()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
 
 
 def freed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """f for mapInArrow, giving a worker's free memory back to the system when its task ends: workers serve later tasks of
-    quite other stages, beside a heap that has grown by then."""
+    """f for mapInArrow, releasing memory when a worker's task ends: workers serve later tasks of quite other stages, beside
+    a heap that has grown by then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-            if trim:
-                trim(0)
+            release()
 
     return run
 

@@ -296,7 +296,9 @@ def _near_within(groups: DataFrame, nodes: DataFrame, r: float) -> DataFrame:
 def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int) -> DataFrame:
     """(x, p, linked, d) of near pairs; d is exact."""
     near = ws.put(near, "near")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}"))
+    # only the sets that a side asks for travel
+    asked = lambda c: near.select(F.col(c).alias("node")).distinct()
+    side = lambda c: nodes.join(asked(c), "node", "left_semi").select(F.col("node").alias(c), F.col("members").alias(f"members_{c}"))
     both = F.size(F.array_intersect("members_x", "members_p"))
     full = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", "n_x", "n_p", both.cast("long").alias("both"))
     union = F.col("n_x") + F.col("n_p") - F.col("both")
@@ -332,9 +334,10 @@ def link_groups(members: DataFrame, ws: Workspace, measure: Callable, measure_wi
     pivoted = members.join(pivots, "g").filter("x <> p")
     links = [measure(pivoted.select("x", "p").distinct(), r).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
     members, depth = pivoted.select("g", "x"), 0
+    roots = None
     while True:
-        found = links[0]
-        for more in links[1:]:
+        found = links[0] if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        for more in links[1:] if roots is None else links:
             found = found.unionAll(more)
         roots = ws.put(components(found, ws), "roots")
         groups = _unsettled(members, roots, ws)
@@ -350,8 +353,8 @@ def link_groups(members: DataFrame, ws: Workspace, measure: Callable, measure_wi
         new = []
         new.append(measure_within(groups.filter(f"size <= {most}"), r))
         if sizes <= most:
-            links.append(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
-            found = found.unionAll(links[-1])
+            found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = found.unionAll(new[0].filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
             return ws.put(components(found, ws), "roots")
         large = groups.filter(f"size > {most}").select("g", "x", "root")
         # members of a group's small components first: once all but one component have been pivots, it is settled
@@ -373,7 +376,7 @@ def link_groups(members: DataFrame, ws: Workspace, measure: Callable, measure_wi
         wide = regions.groupBy("g").agg((F.sum(F.size("qs")) > SPREAD * F.count("*")).alias("wide"))
         split = F.when(F.col("wide"), F.array(F.lit(-2).cast("long"))).otherwise(F.col("qs"))
         members = regions.join(wide, "g").select("x", F.col("g").alias("g0"), F.explode(split).alias("q")).select(F.xxhash64("g0", "q", F.lit(depth)).alias("g"), "x").distinct()
-        links += [n.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")) for n in new]
+        links = [n.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")) for n in new]
 
 
 def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, DataFrame]:
@@ -383,8 +386,8 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     ws = Workspace(spark)
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("__id"), F.xxhash64(doc_id, text).alias("__key"), text.alias("__text"))
-    top = keyed.select("__text").mapInArrow(freed(lambda b: _frequent(b, k)), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
-    order = Order(top["value"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64))
+    top = keyed.select("__text").mapInArrow(freed(lambda b: _frequent(b, k)), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toArrow()
+    order = Order(top["value"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64))
     rows = ws.put(keyed.mapInArrow(freed(lambda b: _rows(b, order, k, per_hundred)), ROWS), "rows")
     marks = ["f1", "f2", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"), F.col("row_key").alias("row_key")))
