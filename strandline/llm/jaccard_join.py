@@ -53,6 +53,8 @@ PIVOTS, TASK_PIVOTS = 64, 8
 SPREAD = 1.5
 CAP = 0.3
 BUCKETS = 128
+#: Pairs whose ids, of 8 bytes, may be broadcast.
+BROADCAST_IDS = 1 << 20
 #: Shingles told apart as frequent; they only decide which shingles come last in the order.
 FREQUENT = 1 << 16
 
@@ -296,8 +298,9 @@ def _near_within(groups: DataFrame, nodes: DataFrame, r: float) -> DataFrame:
 def _measure(near: DataFrame, nodes: DataFrame, ws: Workspace, per_hundred: int) -> DataFrame:
     """(x, p, linked, d) of near pairs; d is exact."""
     near = ws.put(near, "near")
-    # only the sets that a side asks for travel
-    asked = lambda c: near.select(F.col(c).alias("node")).distinct()
+    # only the sets that a side asks for travel; up to BROADCAST_IDS ids are sent to them, more meet them in a shuffle
+    sent = F.broadcast if near.count() <= BROADCAST_IDS else (lambda ids: ids)
+    asked = lambda c: sent(near.select(F.col(c).alias("node")).distinct())
     side = lambda c: nodes.join(asked(c), "node", "left_semi").select(F.col("node").alias(c), F.col("members").alias(f"members_{c}"))
     both = F.size(F.array_intersect("members_x", "members_p"))
     full = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", "n_x", "n_p", both.cast("long").alias("both"))
