@@ -11,7 +11,7 @@ from .common import Workspace
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -23,13 +23,13 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """(node, root) for every node of links (a, b: long); root is the component's least node.
 
-    Alternating large-star and small-star passes, two of each written to the shared folder at a time. Minima are combined before the
+    Alternating large-star and small-star passes, each written to the shared folder. Minima are combined before the
     shuffle and hubs meet their minimum in a join that can be split, so no component is ever gathered in one task.
     """
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     edges, mark = ws.put(edges, "links"), None
     while True:
-        new = ws.put(_small_star(_large_star(_small_star(_large_star(edges)))), "links")
+        new = ws.put(_small_star(_large_star(edges)), "links")
         ws.drop(edges)
         edges = new
         r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
