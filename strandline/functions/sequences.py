@@ -18,24 +18,26 @@ def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGTacgt", "TGCAtgca"))
 
 
+def codons(s: Column) -> Column:
+    """The whole codons of s, cut in one pass: a substring by position would be searched from the start of s each time."""
+    return F.regexp_extract_all(s, F.lit("(?s)(...)"), F.lit(1))
+
+
 def translate_codons(s: Column) -> Column:
     """Protein of the whole codons of s; unknown codons are X."""
     table = F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-    n = F.floor(F.length(s) / 3).cast("int")
-    at = lambda i: F.coalesce(F.try_element_at(table, F.upper(F.substring(s, i * 3 + 1, F.lit(3)))), F.lit("X"))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), "")).when(s.isNotNull(), F.lit(""))
+    return F.array_join(F.transform(codons(F.upper(s)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 
 
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order; an empty array for shorter strings."""
-    n = F.length(s) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def base_fraction(s: Column, bases: str, total: str) -> Column:
     """Share of `bases` among `total` characters; null when there are none."""
-    n = F.length(F.regexp_replace(s, f"[^{total}]", ""))
-    return F.when(n > 0, F.length(F.regexp_replace(s, f"[^{bases}]", "")) / n)
+    count = lambda those: F.length(s) - F.length(F.translate(s, those, ""))
+    return count(bases) / F.nullif(count(total), F.lit(0))
 
 
 def percent(p: Column, digits: int = 2) -> Column:
@@ -51,9 +53,15 @@ def masked_window(s: Column, pos: Column, flank: int, width: int) -> Column:
 
 def common_prefix_length(a: Column, b: Column) -> Column:
     """How many leading characters a and b share."""
-    n = F.least(F.length(a), F.length(b))
-    same = lambda i: F.when((i > 0) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)), i).otherwise(0)
-    return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(0), n), same)), F.lit(0))
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differs = F.array_position(same, F.lit(False))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.when(differs > 0, differs - 1).otherwise(F.length(a))).cast("int")
+
+
+def differing_positions(a: Column, b: Column) -> Column:
+    """0-based positions at which two strings of one length differ."""
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y)
+    return F.filter(F.transform(pairs, lambda d, i: F.when(d, i).otherwise(-1)), lambda i: i >= 0)
 
 
 def trim_alleles(ref: Column, alt: Column, pos: Column) -> Column:
@@ -119,10 +127,10 @@ STOPS = ("TAA", "TAG", "TGA")
 def first_orf(s: Column) -> Column:
     """struct(start, stop) of the first ATG, both 0-based and -1 for none; stop begins the first stop codon in frame."""
     start = F.instr(s, "ATG") - 1
-    count = F.floor((F.length(s) - start) / 3).cast("int")
-    codon = lambda i: F.substring(s, start + i * 3 + 1, F.lit(3))
-    found = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: codon(i).isin(*STOPS))
-    stop = F.when((start >= 0) & (F.size(found) > 0), start + F.get(found, F.lit(0)) * 3).otherwise(F.lit(-1))
+    # the lambda's variable holds the codons, so that they are cut once for all three stops
+    frame = F.array(codons(F.substring(s, start + 1, F.length(s))))
+    first = F.get(F.transform(frame, lambda f: F.least(*[F.nullif(F.array_position(f, F.lit(c)), F.lit(0)) for c in STOPS])), F.lit(0))
+    stop = F.when((start >= 0) & first.isNotNull(), start + (first - 1) * 3).otherwise(F.lit(-1)).cast("int")
     return F.struct(start.alias("start"), stop.alias("stop"))
 
 

@@ -12,20 +12,40 @@ def bins(begin: Column, end: Column, width: float) -> Column:
     return F.sequence(first, F.greatest(first, F.ceil(end / width) - 1))
 
 
+#: How many bins of one level a region may touch; a wider one uses bins this many times as wide, and so on.
+BINS_A_REGION = 16
+
+
 def point_in_region(points: DataFrame, regions: DataFrame, point: str, begin: str, end: str, width: float, on: list[str] | None = None, how: str = "inner") -> DataFrame:
-    """points joined with the regions that hold them: an equi-join on bins, then the range."""
+    """points joined with the regions that hold them: an equi-join on bins, then the range. how: inner, left_semi or left_anti.
+
+    A region of any width touches at most BINS_A_REGION + 1 bins of its level, so an open-ended one costs no more than others.
+    """
     keys = on or []
-    spread = regions.withColumn("__bin", F.explode(bins(F.col(begin), F.col(end), width)))
-    located = points.withColumn("__bin", F.floor(F.col(point) / width))
-    p, r = located.alias("p"), spread.alias("r")
-    cond = (F.col("p.__bin") == F.col("r.__bin")) & (F.col(f"p.{point}") >= F.col(f"r.{begin}")) & (F.col(f"p.{point}") < F.col(f"r.{end}"))
-    for k in keys:
-        cond &= F.col(f"p.{k}") == F.col(f"r.{k}")
-    joined = p.join(r, cond, how)
-    cols = [F.col(f"p.{c}") for c in points.columns]
-    if how not in ("left_semi", "left_anti"):
-        cols += [F.col(f"r.{c}") for c in regions.columns if c not in keys]
-    return joined.select(*cols)
+    wide = F.greatest((F.col(end) - F.col(begin)) / (width * BINS_A_REGION), F.lit(1.0))
+    levelled = regions.withColumn("__level", F.ceil(F.log(float(BINS_A_REGION), wide)).cast("int"))
+    levels = sorted(r[0] for r in levelled.select("__level").distinct().collect() if r[0] is not None)
+    out = None if how == "inner" else points
+    chosen = points.limit(0)
+    for level in levels:
+        size = width * float(BINS_A_REGION) ** level
+        spread = levelled.filter(F.col("__level") == level).withColumn("__bin", F.explode(bins(F.col(begin), F.col(end), size)))
+        located = (points if how == "inner" else out).withColumn("__bin", F.floor(F.col(point) / size))
+        p, r = located.alias("p"), spread.alias("r")
+        cond = (F.col("p.__bin") == F.col("r.__bin")) & (F.col(f"p.{point}") >= F.col(f"r.{begin}")) & (F.col(f"p.{point}") < F.col(f"r.{end}"))
+        for k in keys:
+            cond &= F.col(f"p.{k}") == F.col(f"r.{k}")
+        cols = [F.col(f"p.{c}") for c in points.columns]
+        if how == "inner":
+            found = p.join(r, cond).select(*cols, *[F.col(f"r.{c}") for c in regions.columns if c not in keys])
+            out = found if out is None else out.unionByName(found)
+        else:
+            # what a level has decided leaves, so that no point is found twice
+            chosen = chosen.unionByName(p.join(r, cond, "left_semi").select(*cols))
+            out = p.join(r, cond, "left_anti").select(*cols)
+    if how == "inner" and out is None:
+        return points.join(regions, F.lit(False)) if not keys else points.join(regions, keys).limit(0)
+    return chosen if how == "left_semi" else out
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], ab: tuple[str, str], bb: tuple[str, str], width: float, contains: bool = False) -> DataFrame:

@@ -60,24 +60,60 @@ def backoff_score(df: DataFrame, ident: str, seq: Column, least: int) -> DataFra
     two = per.filter("before is not null").groupBy("before", "c").agg(F.sum("k").alias("n2"))
     two = two.withColumn("p2", F.col("n2") / F.sum("n2").over(Window.partitionBy("before")))
     one = per.groupBy("c").agg(F.sum("k").alias("n1"))
-    one = one.withColumn("p1", F.col("n1") / F.sum("n1").over(Window.partitionBy(F.lit(0)))).select("c", "p1")
-    scored = per.join(two, ["before", "c"], "left").join(F.broadcast(one), "c")
+    one = with_share(one, "n1", "p1").select("c", "p1")
+    scored = per.join(two, ["before", "c"], "left").join(one, "c")
     p = F.when(F.col("n2") >= least, F.col("p2")).otherwise(F.col("p1"))
     return scored.groupBy(ident).agg((F.sum(F.ln(p) * F.col("k")) / F.sum("k")).alias("score"))
 
 
+def with_share(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Adds n over its total: one aggregated row joined back, so that no window gathers all rows in one task."""
+    return df.crossJoin(F.broadcast(df.agg(F.sum(n).alias("__all")))).withColumn(name, F.col(n) / F.col("__all")).drop("__all")
+
+
 def relative_entropy(counts: DataFrame, group: str, a: str, b: str, pseudocount: float = 1.0) -> DataFrame:
     """Sum of p ln(p / q) over all k-mers that either group has, with pseudocounts."""
     wide = counts.filter(F.col(group).isin(a, b)).groupBy("kmer").agg(*[(F.coalesce(F.sum(F.when(F.col(group) == g, F.col("n"))), F.lit(0)) + pseudocount).alias(x) for x, g in (("x", a), ("y", b))])
-    w = Window.partitionBy(F.lit(0))
-    p, q = F.col("x") / F.sum("x").over(w), F.col("y") / F.sum("y").over(w)
+    wide = with_share(with_share(wide, "x", "p"), "y", "q")
+    p, q = F.col("p"), F.col("q")
     return wide.select((p * F.ln(p / q)).alias("t"), p.alias("p")).agg(F.sum("t").alias("relative_entropy"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """The contingency statistic of two label columns and its degrees of freedom."""
     joint = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-    ra, rb, n = F.sum("n").over(Window.partitionBy(a)), F.sum("n").over(Window.partitionBy(b)), F.sum("n").over(Window.partitionBy(F.lit(0)))
+    joint = joint.crossJoin(F.broadcast(joint.agg(F.sum("n").alias("all"))))  # one row
+    ra, rb, n = F.sum("n").over(Window.partitionBy(a)), F.sum("n").over(Window.partitionBy(b)), F.col("all")
     cells = joint.select(a, b, "n", (ra * rb / n).alias("e"), n.alias("total"))
     # cells never seen add their expectation; summed, all expectations make the total
     return cells.agg((F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")) + F.max("total") - F.sum("e")).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+
+
+def weight_array(df: DataFrame, seq: Column, width: int, pseudocount: float = 1.0, pooled: int = 0) -> DataFrame:
+    """(pos, before, c, logp): log probability of a character given the one before, per position of aligned sequences
+    (`before` is empty at the first). With `pooled`, positions up to that far off are counted too. Smoothed over the
+    characters seen anywhere."""
+    chars = df.select(F.posexplode(F.slice(sq.kmers(seq, 1), 1, width)).alias("pos", "c"), seq.alias("__s"))
+    pairs = chars.select("pos", F.when(F.col("pos") > 0, F.substring("__s", F.col("pos"), F.lit(1))).otherwise("").alias("before"), "c")
+    if pooled:
+        near = pairs.filter("pos > 0").select(F.explode(F.transform(F.sequence(F.lit(-pooled), F.lit(pooled)), lambda d: d + F.col("pos"))).alias("pos"), "before", "c")
+        pairs = pairs.filter("pos = 0").unionByName(near.filter((F.col("pos") > 0) & (F.col("pos") < width)))
+    counts = pairs.groupBy("pos", "before", "c").agg(F.count("*").alias("n"))
+    alphabet = F.count("*").over(Window.partitionBy("pos", "before"))
+    logp = F.ln((F.col("n") + pseudocount) / (F.sum("n").over(Window.partitionBy("pos", "before")) + pseudocount * alphabet))
+    return counts.select("pos", "before", "c", logp.alias("logp"))
+
+
+def weight_array_score(df: DataFrame, ident: str, seq: Column, width: int, model: DataFrame) -> DataFrame:
+    """(ident, score): the sum of a weight array's cells along each sequence; pairs without a cell add nothing."""
+    chars = df.select(ident, F.posexplode(F.slice(sq.kmers(seq, 1), 1, width)).alias("pos", "c"), seq.alias("__s"))
+    pairs = chars.select(ident, "pos", F.when(F.col("pos") > 0, F.substring("__s", F.col("pos"), F.lit(1))).otherwise("").alias("before"), "c")
+    return pairs.join(model, ["pos", "before", "c"], "left").groupBy(ident).agg(F.coalesce(F.sum("logp"), F.lit(0.0)).alias("score"))
+
+
+def periodic_chain(df: DataFrame, seq: Column, period: int = 3) -> DataFrame:
+    """(phase, before, c, logp) of a first-order chain with its own parameters in each phase."""
+    chars = df.select(F.posexplode(sq.kmers(seq, 2)).alias("pos", "k"))
+    pairs = chars.select(((F.col("pos") + 1) % period).alias("phase"), F.substring("k", 1, 1).alias("before"), F.substring("k", 2, 1).alias("c"))
+    counts = pairs.groupBy("phase", "before", "c").agg(F.count("*").alias("n"))
+    return counts.withColumn("logp", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("phase", "before")))).drop("n")

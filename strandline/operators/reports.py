@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import with_share
+
 OPERATORS = (">=", "<=", "!=", ">", "<", "=", "~")
 
 
@@ -49,9 +51,7 @@ def loss_of_function(broken: Column, nmd: Column, truncated: Column, changed: Co
 def normalised_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mutual information of two columns over the geometric mean of their entropies; 0 when that is no number."""
     joint = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-    n = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    # the joint table has one row per pair of labels
-    p = joint.select(a, b, (F.col("n") / n).alias("p"))
+    p = with_share(joint, "n", "p").select(a, b, "p")
     pa, pb = F.sum("p").over(Window.partitionBy(a)), F.sum("p").over(Window.partitionBy(b))
     q = p.withColumn("pa", pa).withColumn("pb", pb)
     terms = q.agg(F.sum(F.col("p") * F.log2(F.col("p") / (F.col("pa") * F.col("pb")))).alias("mi"), F.sum(-F.col("p") * F.log2("pa")).alias("ha"), F.sum(-F.col("p") * F.log2("pb")).alias("hb"))
@@ -64,6 +64,47 @@ def likelihood_histogram(df: DataFrame, value: str, positive: Column, bins: int)
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     at = F.least(F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))
     counts = df.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg((F.count_if(positive) + 0.01).alias("p"), (F.count("*") + 1.0).alias("q"))
-    w = Window.partitionBy(F.lit(0))
-    p, q = F.col("p") / F.sum("p").over(w), F.col("q") / F.sum("q").over(w)
-    return counts.select("bin", p.alias("p"), q.alias("q"), F.ln(p / q).alias("log_ratio"))
+    shares = with_share(with_share(counts, "p", "ps"), "q", "qs")
+    return shares.select("bin", F.col("ps").alias("p"), F.col("qs").alias("q"), F.ln(F.col("ps") / F.col("qs")).alias("log_ratio"))
+
+
+def of_gene(reports: DataFrame, gene: str, value: str) -> DataFrame:
+    """Reports of one gene (or substrate)."""
+    return reports.filter(F.col(gene) == value)
+
+
+def first_of_transcript(reports: DataFrame, transcript: str, order: str) -> DataFrame:
+    """One report of each transcript, the first by order; a struct minimum combines before the shuffle."""
+    rest = [c for c in reports.columns if c not in (transcript, order)]
+    first = F.min(F.struct(order, *rest)).alias("__first")
+    return reports.groupBy(transcript).agg(first).select(transcript, *[F.col("__first")[c].alias(c) for c in (order, *rest)]).select(*reports.columns)
+
+
+def without_errors(reports: DataFrame, bad: Column, errors: str, most: int) -> DataFrame:
+    """Reports whose annotation isn't bad and that list at most `most` errors; null counts are none."""
+    return reports.filter(~F.coalesce(bad, F.lit(False)) & (F.coalesce(F.col(errors), F.lit(0)) <= most))
+
+
+def descendants(tree: Column, tag: str) -> Column:
+    """How many nodes of a JSON tree, at any depth, have this name."""
+    return F.size(F.regexp_extract_all(tree, F.lit(f'("{tag}"\\s*:)'), F.lit(1)))
+
+
+def to_tsv(reports: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): tab-separated values, empty for nulls, with what would break a line replaced by blanks."""
+    plain = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\t\r\n]", " ") for c in columns]
+    return reports.select(F.concat_ws("\t", *plain).alias("line"))
+
+
+def to_gff(features: DataFrame, substrate: str, source: str, feature: str, begin: str, end: str, strand: str, attrs: dict[str, str]) -> DataFrame:
+    """(line): features as GFF, 1-based and closed, from 0-based half-open columns."""
+    extra = F.concat_ws(" ", *[F.concat(F.lit(f'{k} "'), F.coalesce(F.col(c).cast("string"), F.lit(".")), F.lit('";')) for k, c in attrs.items()])
+    fields = [F.col(substrate), F.lit(source), F.col(feature), (F.col(begin) + 1).cast("string"), F.col(end).cast("string"), F.lit("."), F.col(strand), F.lit("."), extra]
+    return features.select(F.concat_ws("\t", *fields).alias("line"))
+
+
+def to_xml(reports: DataFrame, tag: str, columns: list[str]) -> DataFrame:
+    """(line): one XML element per report; null columns are left out."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    nodes = [F.coalesce(F.concat(F.lit(f"<{c}>"), safe(c), F.lit(f"</{c}>")), F.lit("")) for c in columns]
+    return reports.select(F.concat(F.lit(f"<{tag}>"), *nodes, F.lit(f"</{tag}>")).alias("line"))

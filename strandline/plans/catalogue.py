@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, interval_queries, report_queries, score_queries, sequence_queries, transcript_queries  # noqa: F401
+from . import annotation_queries, graph_queries, interval_queries, report_queries, score_queries, sequence_queries, transcript_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -58,13 +58,16 @@ def two_hop(spark, sf):
 
 @query(
     "p17_reachable",
-    f"""
-WITH RECURSIVE e(src, dst) AS (VALUES {_DAG_SQL}), f(v) AS (SELECT 'L' UNION SELECT e.dst FROM f JOIN e ON e.src = f.v), b(v) AS (SELECT 'R' UNION SELECT e.src FROM b JOIN e ON e.dst = b.v)
-SELECT v FROM f WHERE v IN (SELECT v FROM b)
+    """
+WITH RECURSIVE e AS (SELECT CAST(c_custkey AS BIGINT) AS src, CAST(2 * c_custkey AS BIGINT) AS dst FROM customer UNION SELECT c_custkey, 2 * c_custkey + 1 FROM customer UNION SELECT c_custkey, c_custkey + c_nationkey FROM customer WHERE c_nationkey > 20),
+f(v) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.dst FROM f JOIN e ON e.src = f.v), b(v) AS (SELECT CAST(150 AS BIGINT) UNION SELECT e.src FROM b JOIN e ON e.dst = b.v)
+SELECT CAST(v AS VARCHAR) AS v FROM f WHERE v IN (SELECT v FROM b)
 """,
 )
 def reachable(spark, sf):
-    return splicing.reachable(spark.createDataFrame(DAG, "src string, dst string"), "L", "R")
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    to = F.explode(F.array_distinct(F.array(2 * k, 2 * k + 1, F.when(F.col("c_nationkey") > 20, k + F.col("c_nationkey")).otherwise(2 * k))))
+    return splicing.reachable(c.select(k.alias("src"), to.alias("dst")), "1", "150")
 
 
 @query(

@@ -177,7 +177,16 @@ def chi_square(spark, sf):
     return models.chi_square(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus").select(F.round("chi2", 4).alias("chi2"), "df")
 
 
-@query("f07_trim")
+@query(
+    "f07_trim",
+    """
+WITH t AS (SELECT p_partkey, p_name AS r, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS a FROM part),
+u AS (SELECT p_partkey, r, a, CAST(list_max(list_filter(range(0, least(length(r), length(a)) + 1), lambda i: right(r, i) = right(a, i))) AS INT) AS s FROM t WHERE a IS NOT NULL),
+v AS (SELECT p_partkey, left(r, length(r) - s) AS r, left(a, length(a) - s) AS a FROM u),
+w AS (SELECT *, CAST(list_max(list_filter(range(0, least(length(r), length(a)) + 1), lambda i: left(r, i) = left(a, i))) AS INT) AS p FROM v)
+SELECT p_partkey, substr(r, p + 1) AS ref, substr(a, p + 1) AS alt, CAST(p AS BIGINT) AS pos FROM w
+""",
+)
 def trim(spark, sf):
     """Common suffix, then common prefix of each part's name and the next part's."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")

@@ -182,7 +182,8 @@ def cigar_map(spark, sf):
 def log_odds(spark, sf):
     c = table(spark, sf, "part").groupBy("p_type", F.substring("p_name", 1, 1).alias("s")).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("p_type"))
-    q = F.sum("n").over(Window.partitionBy("s")) / F.sum("n").over(Window.partitionBy(F.lit(0)))
+    c = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all"))))  # one row
+    q = F.sum("n").over(Window.partitionBy("s")) / F.col("all")
     return c.select("p_type", "s", F.round(F.ln(p) - F.ln(q), 6).alias("log_odds"))
 
 
