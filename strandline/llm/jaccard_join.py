@@ -404,6 +404,13 @@ def _classes(docs: DataFrame, k: int, per_hundred: int) -> tuple[DataFrame, Data
     ws.drop(rows)
     rows = slim
     tidy(spark)
+    # a family of near copies meets at nearly every shingle of its prefixes; groups of the same members count once
+    same = members.groupBy("g").agg(F.count("*").alias("c"), F.min("x").alias("first"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("mark"))
+    one = same.groupBy("c", "first", "mark").agg(F.min("g").alias("g")).select("g")
+    fewer = ws.put(members.join(one, "g"), "members")
+    ws.drop(members)
+    members = fewer
+    tidy(spark)
     ring = F.floor(F.log("n") / (-math.log(per_hundred / 100) * (1 + 1e-9))).cast("int")
     rings = members.join(classes.select(F.col("row_id").alias("x"), ring.alias("ring")), "x").select("x", "g", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
     rings = rings.select(F.xxhash64("g", "ring").alias("g"), "x")
