@@ -117,3 +117,66 @@ def periodic_chain(df: DataFrame, seq: Column, period: int = 3) -> DataFrame:
     pairs = chars.select(((F.col("pos") + 1) % period).alias("phase"), F.substring("k", 1, 1).alias("before"), F.substring("k", 2, 1).alias("c"))
     counts = pairs.groupBy("phase", "before", "c").agg(F.count("*").alias("n"))
     return counts.withColumn("logp", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("phase", "before")))).drop("n")
+
+
+#: Observations of a history from which its own distribution stands alone, and the least confidence that counts (fixed values).
+ENOUGH, CONFIDENCE = 400, 0.5
+
+
+def interpolated_model(df: DataFrame, seq: Column, order: int, alphabet: str, least: int = 1) -> DataFrame:
+    """(history, c, logp) of an interpolated Markov model with histories of 0 to `order` characters.
+
+    Every n-gram starts at a count of 1. A history's log probabilities mix with those of the history one shorter: its own
+    count for all with ENOUGH observations, or by their share of ENOUGH times the confidence (1 - p of a chi-square fit
+    of its counts to the shorter one's rounded expectations) that both differ; a confidence below CONFIDENCE is none.
+    Histories of fewer than `least` observations are left out, as are those that extend them. Counting is distributed;
+    the model itself has alphabet ** (order + 1) rows.
+    """
+    letters = F.array(*[F.lit(x) for x in alphabet])
+    grid = df.sparkSession.range(1).select(F.lit("").alias("history"))
+    below = None
+    parts = []
+    for k in range(order + 1):
+        if k:
+            grid = grid.select(F.explode(F.transform(letters, lambda x: F.concat(F.col("history"), x))).alias("history"))
+        seen = kmer_counts(df, seq, k + 1)
+        cells = grid.select("history", F.explode(letters).alias("c")).withColumn("kmer", F.concat("history", "c"))
+        whole = F.sum("n").over(Window.partitionBy("history"))
+        counts = cells.join(seen, "kmer", "left").select("history", "c", (F.coalesce("n", F.lit(0)) + 1).alias("n")).withColumn("all", whole)
+        now = counts.filter(F.col("all") >= least).withColumn("own", F.ln(F.col("n") / F.col("all")))
+        if below is None:
+            below = now.select("history", "c", "n", F.col("all").alias("all"), F.col("own").alias("logp"))
+        else:
+            short = below.select(F.col("history").alias("shorter"), "c", F.col("n").alias("m"), F.col("all").alias("total"), F.col("logp").alias("before"))
+            both = now.withColumn("shorter", F.substring("history", 2, k)).join(short, ["shorter", "c"])
+            expected = F.floor(F.col("m") / F.col("total") * F.col("all") + 0.5)
+            fit = F.sum((F.col("n") - expected) ** 2 / F.nullif(expected, F.lit(0))).over(Window.partitionBy("history"))
+            sure = chi_square_confidence(F.coalesce(fit, F.lit(0.0)), len(alphabet) - 1)
+            weight = F.when(F.col("all") >= ENOUGH, 1.0).otherwise(F.when(sure < CONFIDENCE, 0.0).otherwise(sure) * F.col("all") / ENOUGH)
+            mixed = weight * F.col("own") + (1 - weight) * F.col("before")
+            below = both.select("history", "c", "n", "all", mixed.alias("logp"))
+        parts.append(below.select("history", "c", "logp"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def chi_square_confidence(x: Column, df: int) -> Column:
+    """P(chi-square of df degrees <= x), by the finite sums for whole degrees; the normal integral is by its series."""
+    half = x / 2
+    if df % 2 == 0:
+        terms = [F.lit(1.0)]
+        for k in range(1, df // 2):
+            terms.append(terms[-1] * half / k)
+        return 1 - F.exp(-half) * sum(terms[1:], terms[0])
+    # erf(sqrt(half)) = 2 / sqrt(pi) * exp(-half) * sqrt(half) * sum of (2 half)^k / (1 * 3 * ... (2 k + 1)); 1 from 60 on
+    steps = F.sequence(F.lit(1), F.lit(300))
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    series = F.aggregate(steps, zero, lambda a, k: F.struct((a["t"] * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    scale = 2 / F.sqrt(F.pi()) * F.exp(-half) * F.sqrt(half)
+    erf, tail, term = scale * series, F.lit(0.0), F.lit(1.0)
+    for k in range(df // 2):
+        tail = tail + term
+        term = term * x / (2 * k + 3)
+    return F.when(x <= 0, 0.0).when(x > 120, 1.0).otherwise(erf - scale * tail)
