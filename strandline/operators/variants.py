@@ -9,11 +9,15 @@ from ..functions import sequences as sq
 from . import intervals
 
 
+def is_dna(alleles: Column) -> Column:
+    """Whether the reference and every alternative are plain DNA."""
+    return F.forall(alleles, lambda a: a.rlike("^[ACGTacgt]+$"))
+
+
 def usable_site(alleles: Column, flt: Column, fmt: Column, strict: bool = False) -> Column:
     """PASS (or no filter, unless strict), genotypes alone, and plain DNA alleles; strict sites have one alternative."""
-    dna = F.forall(alleles, lambda a: a.rlike("^[ACGTacgt]+$"))
     passed = flt == "PASS" if strict else flt.isin("PASS", ".")
-    return passed & (fmt == "GT") & dna & ((F.size(alleles) == 2) if strict else F.lit(True))
+    return passed & (fmt == "GT") & is_dna(alleles) & ((F.size(alleles) == 2) if strict else F.lit(True))
 
 
 def is_snp(alleles: Column) -> Column:

@@ -92,6 +92,37 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_vcf(df: DataFrame, path: str, samples: list[str]) -> None:
+    """A table like read_vcf's as VCF, in range-sorted parts: in the order of their names they make one sorted file, whose
+    header comes first. Genotypes are written in the order of `samples`; a sample that a site lacks is `.`."""
+    gt = F.map_from_entries("genotypes")
+    calls = [F.coalesce(F.try_element_at(gt, F.lit(s)), F.lit(".")) for s in samples]
+    alts = F.array_join(F.slice("alleles", 2, 1 << 20), ",")
+    line = F.concat_ws("\t", "chr", (F.col("ref_pos") + 1).cast("string"), "id", F.get("alleles", F.lit(0)), F.when(alts == "", ".").otherwise(alts), F.lit("."), F.coalesce("filter", F.lit(".")), F.lit("."), "format", *calls)
+    body = df.select(F.lit(1).alias("k"), F.col("chr").alias("c"), F.col("ref_pos").cast("long").alias("p"), line.alias("value"))
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])
+    lines = df.sparkSession.createDataFrame([(0, "", -1, "##fileformat=VCFv4.2"), (0, "", 0, head)], "k int, c string, p long, value string")
+    lines.unionByName(body).orderBy("k", "c", "p").select("value").write.text(path)
+
+
+def write_indexed(df: DataFrame, path: str, chrom: str, pos: str, width: int) -> None:
+    """Parquet in folders by sequence and bin of `width` positions; a bin's rows are sorted by position."""
+    binned = df.withColumns({"__chr": F.col(chrom), "__bin": F.floor(F.col(pos) / width)})
+    binned.withColumn("__pos", F.col(pos)).repartition("__chr", "__bin").sortWithinPartitions("__chr", "__bin", "__pos").write.partitionBy("__chr", "__bin").parquet(path)
+
+
+def read_indexed(spark: SparkSession, path: str, chrom: str, begin: float, end: float, width: int) -> DataFrame:
+    """The rows of [begin, end) of one sequence; other folders aren't read."""
+    df = spark.read.parquet(path)
+    bins = F.col("__bin").between(int(begin // width), int(end // width))
+    return df.filter((F.col("__chr") == chrom) & bins & (F.col("__pos") >= begin) & (F.col("__pos") < end)).drop("__chr", "__bin", "__pos")
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    """id, seq, qual as reads of four lines; no read is split between files."""
+    df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """id, seq, qual: every four lines of a file are a read. A quality line may begin with any character, so only the
     count of lines tells reads apart and a file is read by one task; many files are read at once."""
