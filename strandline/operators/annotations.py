@@ -55,6 +55,33 @@ def tile(parts: DataFrame, by: str, begin: str, end: str) -> DataFrame:
     return exons.unionByName(introns)
 
 
+#: Length of a start or stop codon and of a splice site's consensus (fixed values).
+CODON, SITE = 3, 2
+
+
+def flanking_signals(exons: DataFrame, keep: list[str], kind: str, begin: str, end: str, strand: str, offsets: dict[str, int] | None = None) -> DataFrame:
+    """(keep, signal, pos, window): the two signals that bound each coding exon.
+
+    kind: initial-exon, internal-exon, final-exon or single-exon; other kinds make none. On the reverse strand signals are
+    named NEG_ and the exon's ends change roles. window is where a sensor's context begins that has its consensus
+    offsets[signal] bases on (0 where not given).
+    """
+    forward = F.col(strand) == "+"
+    starts, stops = F.col(kind).isin("initial-exon", "single-exon"), F.col(kind).isin("final-exon", "single-exon")
+    b, e = F.col(begin), F.col(end)
+    opens = F.when(forward, F.when(starts, "ATG").otherwise("AG")).otherwise(F.when(stops, "NEG_TAG").otherwise("NEG_GT"))
+    closes = F.when(forward, F.when(stops, "TAG").otherwise("GT")).otherwise(F.when(starts, "NEG_ATG").otherwise("NEG_AG"))
+    # codons belong to the exon, splice sites to the intron beside it
+    left = F.struct(opens.alias("signal"), F.when(opens.isin("ATG", "NEG_TAG"), b).otherwise(b - SITE).alias("pos"))
+    right = F.struct(closes.alias("signal"), F.when(closes.isin("TAG", "NEG_ATG"), e - CODON).otherwise(e).alias("pos"))
+    known = exons.filter(F.col(kind).isin("initial-exon", "internal-exon", "final-exon", "single-exon"))
+    rows = known.select(*keep, F.inline(F.array(left, right)))
+    shift = F.lit(0)
+    for name, by in (offsets or {}).items():
+        shift = F.when(F.col("signal") == name, by).otherwise(shift)
+    return rows.withColumn("window", F.col("pos") - shift)
+
+
 def linkage(first: DataFrame, second: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
     """n, d and r2 of two genes' alleles (0 or 1) that share an individual and a haplotype."""
     both = first.select(*on, F.col(a).cast("double").alias("a")).join(second.select(*on, F.col(b).cast("double").alias("b")), on)

@@ -240,3 +240,14 @@ def mapped_labels(labels: DataFrame, segments: DataFrame, by: str) -> DataFrame:
     s = segments.select(by, F.col("ref").cast("long").alias("r0"), (F.col("ref") + F.col("n")).cast("long").alias("r1"), (F.col("alt") - F.col("ref")).alias("moved"))
     met = intervals.overlap_join(labels, s, [by], ("begin", "end"), ("r0", "r1"), 1024.0)
     return met.select(by, "label", (F.greatest("begin", "r0") + F.col("moved")).alias("begin"), (F.least("end", "r1") + F.col("moved")).alias("end"))
+
+
+def composite_score(window: Column, first: Column, first_width: int, second: Column, second_width: int) -> Column:
+    """The score of two matrices (maps) side by side, as of a branch point and the acceptor that follows it."""
+    return sq.weight_matrix_score(window, first, first_width) + sq.weight_matrix_score(F.substring(window, F.lit(first_width + 1), F.lit(second_width)), second, second_width)
+
+
+def split_by_symbols(df: DataFrame, seq: str, index: int, symbols: str) -> DataFrame:
+    """Adds side: left where the character at an index is one of the symbols, else right (also past the end)."""
+    there = F.substring(seq, index + 1, 1)
+    return df.withColumn("side", F.when(there.isin(*symbols), "left").otherwise("right"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch
@@ -37,6 +37,17 @@ def skip_edges(edges: DataFrame) -> DataFrame:
     return a.join(b, "via").filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("ways"))
 
 
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables, edges and vertices."""
+    vertices.write.parquet(f"{path}/vertices")
+    edges.write.parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a stored graph."""
+    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
+
+
 def reachable(edges: DataFrame, source: str, sink: str) -> DataFrame:
     """Vertices on some path from source to sink, of any length, through cycles too.
 

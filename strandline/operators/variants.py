@@ -84,3 +84,16 @@ def map_exons(transcripts: DataFrame, cigar: str) -> DataFrame:
     df = transcripts.withColumn("__s", sq.cigar_segments(F.col(cigar)))
     mapped = F.transform("exons", lambda e: F.struct((sq.map_position(F.col("__s"), e["begin"] - 2) + 2).alias("begin"), sq.map_position(F.col("__s"), e["end"]).alias("end")))
     return df.withColumn("mapped", mapped).drop("__s")
+
+
+def major_genomes(regions: DataFrame, genotypes: DataFrame, populations: DataFrame) -> DataFrame:
+    """Per population the regions (chr, seq) with its major alleles in place: chr, population, hap_seq, cigar, applied, mismatched.
+
+    genotypes as of long_genotypes. A population whose major alleles are all the reference's gets the sequence as it is.
+    """
+    major = major_alleles(genotypes, populations)
+    sites = genotypes.groupBy("chr", "ref_pos", "id").agg(F.first("alleles").alias("alleles"))
+    edits = major.filter("major > 0").join(sites, ["chr", "ref_pos", "id"])
+    edits = edits.select("chr", "population", "ref_pos", F.get("alleles", F.lit(0)).alias("ref"), F.get("alleles", F.col("major")).alias("alt"))
+    each = regions.join(major.select("chr", "population").distinct(), "chr")
+    return build_haplotypes(each, edits, ["chr", "population"])

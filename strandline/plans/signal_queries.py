@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import models, signals
+from ..operators import annotations, intervals, models, signals, splicing, variants
 from .registry import query, table
 from .sequence_queries import _DNA, _dna
 
@@ -227,3 +227,86 @@ SELECT h AS history, c, round(l * own + (1 - l) * before, 6) AS logp FROM o UNIO
 )
 def interpolated(spark, sf):
     return models.interpolated_model(_dna(spark, sf), F.col("dna"), 1, "ACGT").withColumn("logp", F.round("logp", 6))
+
+
+@query(
+    "s04_flanking_signals",
+    f"""WITH {_EXONS}, x AS (SELECT t, b, e, t % 2 = 0 AS fw, row_number() OVER (PARTITION BY t ORDER BY b, e) AS i, count(*) OVER (PARTITION BY t) AS n FROM e),
+k AS (SELECT *, n = 1 OR i = 1 AS starts, n = 1 OR i = n AS stops FROM x),
+l AS (SELECT t, CASE WHEN fw THEN CASE WHEN starts THEN 'ATG' ELSE 'AG' END ELSE CASE WHEN stops THEN 'NEG_TAG' ELSE 'NEG_GT' END END AS signal, b, e, true AS l FROM k
+UNION ALL SELECT t, CASE WHEN fw THEN CASE WHEN stops THEN 'TAG' ELSE 'GT' END ELSE CASE WHEN starts THEN 'NEG_ATG' ELSE 'NEG_AG' END END, b, e, false FROM k),
+p AS (SELECT t, signal, CAST(CASE WHEN l THEN b - CASE WHEN signal IN ('AG', 'NEG_GT') THEN 2 ELSE 0 END ELSE e - CASE WHEN signal IN ('TAG', 'NEG_ATG') THEN 3 ELSE 0 END END AS BIGINT) AS pos FROM l)
+SELECT t, signal, pos, pos - CASE signal WHEN 'GT' THEN 4 WHEN 'AG' THEN 20 ELSE 0 END AS "window" FROM p""",
+)
+def flanking_signals(spark, sf):
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    begin = (F.col("l_linenumber") * 100).cast("long")
+    kinds = annotations.tile(l.select(F.col("l_orderkey").alias("t"), begin.alias("b"), (begin + F.col("q")).cast("long").alias("e")), "t", "b", "e")
+    return annotations.flanking_signals(kinds.withColumn("strand", F.when(F.col("t") % 2 == 0, "+").otherwise("-")), ["t"], "kind", "begin", "end", "strand", {"GT": 4, "AG": 20})
+
+
+@query(
+    "m06_branch_acceptor",
+    f"WITH {_D}, {_matrix_sql('m', 4)}, {_matrix_sql('k', 5)}, w AS (SELECT p_partkey, substr(dna, 1, 4) AS x, substr(dna, 5, 5) AS y FROM d) SELECT p_partkey, round({_score_sql('x', 'm')} + {_score_sql('y', 'k')}, 6) AS score FROM w WHERE length(y) = 5",
+)
+def branch_acceptor(spark, sf):
+    dna = _dna(spark, sf)
+    both = dna.filter("length(dna) >= 9").crossJoin(F.broadcast(_matrix(dna, 4).withColumnRenamed("matrix", "a"))).crossJoin(F.broadcast(_matrix(dna, 5).withColumnRenamed("matrix", "b")))  # one row each
+    return both.select("p_partkey", F.round(signals.composite_score(F.col("dna"), F.col("a"), 4, F.col("b"), 5), 6).alias("score"))
+
+
+@query("r06_symbol_split", f"WITH {_D} SELECT p_partkey, CASE WHEN substr(dna, 4, 1) IN ('A', 'G') THEN 'left' ELSE 'right' END AS side FROM d")
+def symbol_split(spark, sf):
+    return signals.split_by_symbols(_dna(spark, sf), "dna", 3, "AG").select("p_partkey", "side")
+
+
+@query("s19_graph", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def graph(spark, sf):
+    """A graph of orders, customers and nations, stored and read back; paths of two edges by their vertices' names."""
+    from .source_queries import _path
+
+    path = _path(spark, "graph")
+    c, n, o = (table(spark, sf, t) for t in ("customer", "nation", "orders"))
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    vertices = c.select(name("c", "c_custkey").alias("vertex"), F.col("c_name").alias("label")).unionByName(n.select(name("n", "n_nationkey").alias("vertex"), F.col("n_name").alias("label")))
+    edges = o.select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst")).unionByName(c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
+    splicing.write_graph(vertices, edges, path)
+    v, e = splicing.read_graph(spark, path)
+    first, second = e.select("src", F.col("dst").alias("via")), e.select(F.col("src").alias("via"), "dst")
+    label = lambda k, a: v.select(F.col("vertex").alias(k), F.col("label").alias(a))
+    walked = first.join(second, "via").filter(F.startswith("src", F.lit("o"))).join(label("via", "c_name"), "via").join(label("dst", "n_name"), "dst")
+    return walked.select(F.substring("src", 2, 30).cast("long").alias("o_orderkey"), "c_name", "n_name")
+
+
+@query(
+    "j07_segment_mask",
+    """
+WITH f AS (SELECT p_brand AS s, p_partkey % 97 * 10 AS b, p_partkey % 97 * 10 + p_size AS e FROM part UNION ALL SELECT concat('Brand#', c_nationkey), c_custkey % 997, c_custkey % 997 + 1 FROM customer),
+o AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY s ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM f),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY s ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT s, CAST(min(b) AS BIGINT) AS "begin", CAST(max(e) AS BIGINT) AS "end", count(*) AS members FROM g GROUP BY s, k
+""",
+)
+def segment_mask(spark, sf):
+    """What features and variants of a sequence cover together."""
+    at = F.col("p_partkey") % 97 * 10
+    features = table(spark, sf, "part").select(F.col("p_brand").alias("s"), at.alias("b"), (at + F.col("p_size")).alias("e"))
+    spots = table(spark, sf, "customer").select(F.concat(F.lit("Brand#"), "c_nationkey").alias("s"), (F.col("c_custkey") % 997).alias("b"), (F.col("c_custkey") % 997 + 1).alias("e"))
+    return intervals.islands(features.unionByName(spots), ["s"], "b", "e", "b").select("s", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "members")
+
+
+@query(
+    "g04_major_genomes",
+    """
+WITH c AS (SELECT l_linenumber * 5 AS pos, l_returnflag AS population, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY ALL),
+p AS (SELECT DISTINCT population FROM c)
+SELECT p.population, string_agg(CASE WHEN 2 * f > n THEN 'GG' ELSE 'A' END, '' ORDER BY i) AS hap_seq, CAST(count(*) FILTER (2 * f > n) AS INT) AS applied FROM p CROSS JOIN unnest(generate_series(0, 59)) u(i) LEFT JOIN c ON c.population = p.population AND c.pos = i GROUP BY 1
+""",
+)
+def major_genomes(spark, sf):
+    l = table(spark, sf, "lineitem")
+    letters = F.array(F.lit("A"), F.lit("GG"))
+    g = l.select(F.lit("chr1").alias("chr"), (F.col("l_linenumber") * 5).cast("int").alias("ref_pos"), F.col("l_linenumber").cast("string").alias("id"), letters.alias("alleles"), F.col("l_returnflag").alias("sample"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("allele"))
+    people = l.select(F.col("l_returnflag").alias("sample"), F.col("l_returnflag").alias("population")).distinct()
+    regions = spark.range(1).select(F.lit("chr1").alias("chr"), F.lit("A" * 60).alias("seq"))
+    return variants.major_genomes(regions, g, people).select("population", "hap_seq", "applied")
