@@ -4,7 +4,8 @@ import math
 import random
 
 from pyspark.sql import functions as F
-from strandline.operators import models, signals
+from strandline.operators import annotations, models, signals
+from strandline.sources import genomic
 
 CELLS = {(p, c): -0.5 - ((p * 3 + "ACGT".index(c) * 5) % 7) / 3 for p in range(6) for c in "ACGT"}
 SITE = signals.Sensor(width=6, offset=2, consensus=("GT", "AG"), cutoff=-12.0)
@@ -99,3 +100,50 @@ def test_chi_square_confidence(spark):
         for x, p in pairs:
             got = spark.createDataFrame([(x,)], "x double").select(models.chi_square_confidence(F.col("x"), k).alias("p")).first().p
             assert abs(got - p) < 2e-4, (k, x)
+
+
+def test_start_codons(spark):
+    long = {(p, c): CELLS[p % 6, c] for p in range(8) for c in "ACGT"}
+    as_matrix = lambda cells: models.matrix_map(spark.createDataFrame([(p, c, v) for (p, c), v in cells.items()], "pos int, symbol string, log_p double"))
+    short = {(p, c): v for (p, c), v in CELLS.items() if p < 3}
+    rows = [(k, dna(k, 5 + k * 3), k % 4) for k in range(12)] + [(50, "", 0), (51, None, 0)]
+
+    def start(s, pos, cutoff):
+        at = pos
+        while at - 3 + 8 < len(s):
+            near = at == pos or at < 3
+            cells, w = (short, s[at : at + 3]) if near else (long, s[at - 3 : at + 5])
+            whole = len(w) == (3 if near else 8)
+            if whole and sum(cells[p, c] for p, c in enumerate(w)) >= cutoff:
+                return at
+            at += 1
+        return -1
+
+    for cut in (-8.0, -4.0, -2.5):
+        tried = signals.Sensor(8, 3, ("ATG",), cut)
+        df = spark.createDataFrame(rows, "id int, s string, pos int")
+        got = {r.id: r.start for r in signals.start_codons(df, "id", "s", "pos", as_matrix(long), tried, as_matrix(short), 3).collect()}
+        assert got == {k: start(s or "", pos, cut) for k, s, pos in rows}, cut
+
+
+def test_flanking_signals(spark):
+    df = spark.createDataFrame([(1, "initial-exon", 10, 20, "+"), (2, "final-exon", 10, 20, "-"), (3, "intron", 0, 5, "+"), (4, "internal-exon", 10, 20, "-")], "id int, k string, b int, e int, s string")
+    got = {tuple(r) for r in annotations.flanking_signals(df, ["id"], "k", "b", "e", "s", {"GT": 5}).collect()}
+    assert got == {(1, "ATG", 10, 10), (1, "GT", 20, 15), (2, "NEG_TAG", 10, 10), (2, "NEG_AG", 20, 20), (4, "NEG_GT", 8, 8), (4, "NEG_AG", 20, 20)}
+
+
+def test_vcf_written_sorted_with_header_first(spark, tmp_path):
+    rows = [("chr2", 5, "b", ["A", "G"], None, "GT", [("y", "0|1")]), ("chr1", 9, "a", ["A"], "PASS", "GT", [("y", "0|0"), ("x", "1|1")])]
+    df = spark.createDataFrame(rows, "chr string, ref_pos int, id string, alleles array<string>, filter string, format string, genotypes array<struct<sample:string,gt:string>>")
+    genomic.write_vcf(df, str(tmp_path / "v"), ["x", "y"])
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "v").glob("part-*"))).split("\n")
+    assert [x.split("\t")[0] for x in lines[:4]] == ["##fileformat=VCFv4.2", "#CHROM", "chr1", "chr2"]
+    assert lines[3] == "chr2\t6\tb\tA\tG\t.\t.\t.\tGT\t.\t0|1"
+    back = {r.id: (r.ref_pos, [(g.sample, g.gt) for g in r.genotypes]) for r in genomic.read_vcf(spark, str(tmp_path / "v")).collect()}
+    assert back == {"a": (9, [("x", "1|1"), ("y", "0|0")]), "b": (5, [("x", "."), ("y", "0|1")])}
+
+
+def test_indexed_regions(spark, tmp_path):
+    df = spark.createDataFrame([("a", float(p)) for p in range(0, 100, 7)] + [("b", 50.0)], "c string, p double")
+    genomic.write_indexed(df, str(tmp_path / "i"), "c", "p", 10)
+    assert sorted(r.p for r in genomic.read_indexed(spark, str(tmp_path / "i"), "a", 14, 42, 10).collect()) == [14.0, 21.0, 28.0, 35.0]
