@@ -15,6 +15,7 @@ _MODULES = {
     "op8_license_scan": "license_scan",
     "op9_suffix_array_dedup": "suffix_dedup",
     "op10_exact_dedup": "exact_dedup",
+    "op11_cross_tokenizer_alignment": "cross_tokenizer",
 }
 
 
