@@ -16,6 +16,8 @@ _MODULES = {
     "op9_suffix_array_dedup": "suffix_dedup",
     "op10_exact_dedup": "exact_dedup",
     "op11_cross_tokenizer_alignment": "cross_tokenizer",
+    "op12_document_fingerprints": "fingerprints",
+    "op13_centroid_clustering": "centroid_clustering",
 }
 
 
