@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +88,24 @@ def without_errors(reports: DataFrame, bad: Column, errors: str, most: int) -> D
     return reports.filter(~F.coalesce(bad, F.lit(False)) & (F.coalesce(F.col(errors), F.lit(0)) <= most))
 
 
+def _quoted(text: str) -> str:
+    """A JSON string as a regular expression."""
+    return re.escape(json.dumps(text))
+
+
 def descendants(tree: Column, tag: str) -> Column:
-    """How many nodes of a JSON tree, at any depth, have this name."""
-    return F.size(F.regexp_extract_all(tree, F.lit(f'("{tag}"\\s*:)'), F.lit(1)))
+    """How many nodes of a JSON tree, at any depth and the root included, have this name.
+
+    A node is an array that begins with its name, as read_reports gives, or a member of an object. Quotes inside strings are
+    escaped in JSON, so neither form is found within one.
+    """
+    return F.size(F.regexp_extract_all(tree, F.lit(rf"(\[\s*{_quoted(tag)}\s*[,\]]|{_quoted(tag)}\s*:)"), F.lit(1)))
+
+
+def values_of(tree: Column, tag: str) -> Column:
+    """array<string>: of all nodes [tag, value, ...] in order, the value, where it is a string."""
+    found = F.regexp_extract_all(tree, F.lit(rf'\[\s*{_quoted(tag)}\s*,\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    return F.transform(found, lambda v: F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0)))
 
 
 def to_tsv(reports: DataFrame, columns: list[str]) -> DataFrame:

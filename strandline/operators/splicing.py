@@ -1,12 +1,10 @@
-"""Splice analysis: consequences as column logic, graphs as edge tables, and the N best paths of a layered graph."""
+"""Splice analysis: consequences as column logic, and graphs as edge tables."""
 
 from __future__ import annotations
 
-import heapq
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,34 +76,6 @@ def reachable(edges: DataFrame, source: str, sink: str) -> DataFrame:
     return met.filter("end = 'source'").select("v").join(met.filter("end = 'sink'").select("v"), "v", "left_semi")
 
 
-def n_best_paths(edges: DataFrame, by: list[str], n: int) -> DataFrame:
-    """The n best-scoring source-to-sink paths of each group's layered graph, by edge scores alone.
-
-    edges: by, layer (int, ascending along edges), src, dst, score. Vertices of layer 0 are sources; vertices without a
-    way on are sinks of the last layer. Each vertex keeps min(n, QUEUE) partial paths; ties go to the smaller path text.
-    """
-    keep = min(n, QUEUE)
-    fields = [f for f in edges.schema.fields if f.name in by]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", path string, score double, rank int"
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = {c: pdf[c].iloc[0] for c in by}
-        held: dict[str, list[tuple[float, str]]] = {}
-        last = pdf["layer"].max()
-        for layer, part in pdf.sort_values(["layer", "src", "dst"]).groupby("layer", sort=True):
-            new: dict[str, list[tuple[float, str]]] = {}
-            for src, dst, score in zip(part["src"], part["dst"], part["score"], strict=True):
-                for s, path in held.get(src, [(0.0, src)] if layer == 0 else []):
-                    new.setdefault(dst, []).append((s - score, f"{path}>{dst}"))
-            held = {v: heapq.nsmallest(keep, paths) for v, paths in new.items()}
-            if layer == last:
-                break
-        paths = heapq.nsmallest(n, (p for v in held.values() for p in v))
-        return pd.DataFrame([{**key, "path": path, "score": -s, "rank": k + 1} for k, (s, path) in enumerate(paths)], columns=[*by, "path", "score", "rank"])
-
-    return edges.groupBy(*by).applyInPandas(best, schema)
-
-
 def trees(lines: Iterator[str]) -> Iterator[list]:
     """Nested lists of parenthesised records: (tag child ...)."""
     stack: list[list] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import splicing
+from ..operators import splice_graph, splicing
 from .registry import query, table
 
 #: A small splice graph with dead ends (fixed values).
@@ -81,6 +81,7 @@ SELECT path, round(score, 6) AS score FROM p ORDER BY round(score, 9) DESC, path
 )
 def nbest(spark, sf):
     s = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    layer = lambda k, a, b: s.groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.ln(F.count("*")).alias("score")).withColumn("layer", F.lit(k)).withColumn("g", F.lit(0))
-    edges = layer(0, "o_orderstatus", "o_orderpriority").unionByName(layer(1, "o_orderpriority", "c_mktsegment"))
-    return splicing.n_best_paths(edges, ["g"], 10).select("path", F.round("score", 6).alias("score"))
+    layer = lambda a, b: s.groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.ln(F.count("*")).alias("score"))
+    edges = layer("o_orderstatus", "o_orderpriority").unionByName(layer("o_orderpriority", "c_mktsegment"))
+    paths = splice_graph.best_paths(edges.withColumns({"g": F.lit(0), "annotated": F.lit(True)}), "g", 10)  # one graph, of as many edges as pairs of classes
+    return paths.select("path", F.round("score", 6).alias("score"))

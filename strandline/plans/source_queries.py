@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import variants
+from ..operators import reports, variants
 from ..sources import genomic
 from ..sources.tables import scratch
 from .registry import query, table
@@ -173,3 +173,52 @@ def coding_change(spark, sf):
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     change = sq.coding_change(F.when(c % 4 == 0, -1).otherwise(30), 20 + k % 60, F.when(c % 3 == 0, -1).otherwise(c % 7), F.when(k % 5 == 0, -1).otherwise(2))
     return table(spark, sf, "orders").select("o_orderkey", change.alias("change"))
+
+
+@query("s03_gff_repeated_keys", """SELECT concat('t', p_partkey) AS transcript_id, p_brand AS first_tag, CASE WHEN p_size % 3 = 0 THEN [p_brand] ELSE [p_brand, p_type, 'basic'] END AS tags FROM part""")
+def gff_repeated_keys(spark, sf):
+    """Features with a repeated tag attribute, written and read back."""
+    path = _path(spark, "gff")
+    tag = lambda c: F.concat(F.lit(' tag "'), c, F.lit('";'))
+    extra = F.concat(F.lit('gene_id "g"; transcript_id "t'), F.col("p_partkey").cast("string"), F.lit('";'), tag(F.col("p_brand")), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(tag(F.col("p_type")), tag(F.lit("basic")))))
+    fields = [F.lit("chr1"), F.lit("x"), F.lit("transcript"), F.lit(1), F.lit(9), F.lit("."), F.lit("+"), F.lit("."), extra]
+    table(spark, sf, "part").select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
+    return genomic.read_gff(spark, path).select("transcript_id", F.col("attrs")["tag"].alias("first_tag"), F.col("attr_lists")["tag"].alias("tags"))
+
+
+@query("s09_vcf_two_files", "SELECT concat('rs', p_partkey) AS id, concat('x', p_size % 2) AS sample, concat(p_size % 3, '|', p_size % 2) AS gt FROM part UNION ALL SELECT concat('rs', p_partkey), concat('y', p_size % 2), '0|1' FROM part WHERE p_size % 2 = 1")
+def vcf_two_files(spark, sf):
+    """A folder of two files with headers of their own: one sample, and two."""
+    folder, z = _path(spark, "vcf"), F.col("p_size")
+    p = table(spark, sf, "part")
+    call = lambda name, gt: F.struct(F.lit(name).alias("sample"), gt.alias("gt"))
+    for k, sample in ((0, ["x0"]), (1, ["y1", "x1"])):
+        first = F.concat((z % 3).cast("string"), F.lit(f"|{k}"))
+        calls = F.array(call("x0", first)) if k == 0 else F.array(call("y1", F.lit("0|1")), call("x1", first))
+        rows = p.filter(z % 2 == k).select(F.lit("chr1").alias("chr"), F.col("p_partkey").alias("ref_pos"), F.concat(F.lit("rs"), "p_partkey").alias("id"), F.array(F.lit("A"), F.lit("C")).alias("alleles"), F.lit("PASS").alias("filter"), F.lit("GT").alias("format"), calls.alias("genotypes"))
+        genomic.write_vcf(rows.coalesce(1), f"{folder}/{k}", sample)
+    return genomic.read_vcf(spark, f"{folder}/*").select("id", F.inline("genotypes").alias("sample", "gt"))
+
+
+def _reports(spark, sf):
+    """A report an order, with a node for each line; lines that came back have a node of their own."""
+    path = _path(spark, "reports")
+    node = genomic.report_node
+    line = node("line", node("part", F.col("l_partkey").cast("string")), F.when(F.col("l_returnflag") == "R", node("returned", F.col("l_linestatus"))))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), " ").alias("lines"))
+    reports_ = lines.select(node("report", node("order", F.col("l_orderkey").cast("string")), node("lines", F.col("lines"))).alias("report"))
+    genomic.write_reports(reports_, path, "report")
+    return genomic.read_reports(spark, path).withColumn("l_orderkey", F.get(reports.values_of(F.col("tree"), "order"), F.lit(0)).cast("long"))
+
+
+@query("a28_report_descendants", "SELECT l_orderkey, count(*)::INT AS lines, (count(*) FILTER (l_returnflag = 'R'))::INT AS returned, list(CAST(l_partkey AS VARCHAR) ORDER BY CAST(l_partkey AS VARCHAR)) AS parts FROM lineitem GROUP BY 1")
+def report_descendants(spark, sf):
+    """Counts of nodes of written reports, and the values of one kind of node."""
+    t = F.col("tree")
+    return _reports(spark, sf).select("l_orderkey", reports.descendants(t, "line").alias("lines"), reports.descendants(t, "returned").alias("returned"), F.sort_array(reports.values_of(t, "part")).alias("parts"))
+
+
+@query("f17_report_query", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') > 0")
+def report_query(spark, sf):
+    """Reports that hold a node of one name at any depth."""
+    return _reports(spark, sf).filter(reports.descendants(F.col("tree"), "returned") > 0).select("l_orderkey")

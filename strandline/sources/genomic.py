@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 
 
 def attributes(text: Column, pattern: str) -> Column:
-    """map<string,string> of all (key)(value) matches of a pattern with two groups."""
-    keys, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.map_from_arrays(keys, values)
+    """map<string,string> of all (key)(value) matches of a pattern with two groups; a repeated key keeps its first value."""
+    return F.transform_values(attribute_lists(text, pattern), lambda _, v: F.get(v, F.lit(0)))
+
+
+def attribute_lists(text: Column, pattern: str) -> Column:
+    """map<string,array<string>> of all (key)(value) matches of a pattern with two groups, values in order."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
+    # the lambda's variable holds the matches, so that the text is searched once
+    return F.get(F.transform(F.array(pairs), _grouped), F.lit(0))
+
+
+def _grouped(pairs: Column) -> Column:
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +46,11 @@ GFF = "substrate string, source string, feature string, begin int, end int, scor
 
 
 def read_gff(spark: SparkSession, path: str, gff3: bool = False) -> DataFrame:
-    """One feature per row, begin 0-based; attributes as a map; GFF3's ID and Parent as transcript_id and gene_id."""
-    raw = spark.read.schema(GFF).csv(path, sep="\t", comment="#")
-    attrs = attributes(F.col("extra"), r"([^=;\s]+)=([^;]*)" if gff3 else r'([^\s;]+)\s+"?([^";]*)"?\s*;?')
-    df = raw.withColumn("attrs", attrs).withColumn("begin", F.col("begin") - 1).drop("extra")
+    """One feature per row, begin 0-based; attributes as a map, of a repeated key (GENCODE's tag) the first, and as a map of
+    lists; GFF3's ID and Parent as transcript_id and gene_id."""
+    raw = spark.read.schema(GFF).csv(path, sep="\t", comment="#", quote="")  # quotes belong to the attributes
+    lists = attribute_lists(F.col("extra"), r"([^=;\s]+)=([^;]*)" if gff3 else r'([^\s;]+)\s+"?([^";]*)"?\s*;?')
+    df = raw.withColumn("attr_lists", lists).withColumn("attrs", F.transform_values("attr_lists", lambda _, v: F.get(v, F.lit(0)))).withColumn("begin", F.col("begin") - 1).drop("extra")
     up = F.coalesce(F.try_element_at("attrs", F.lit("Parent")), F.try_element_at("attrs", F.lit("gene_id")))
     if gff3:
         own = F.coalesce(F.try_element_at("attrs", F.lit("ID")), F.try_element_at("attrs", F.lit("transcript_id")))
@@ -76,17 +88,24 @@ def write_bed(df: DataFrame, path: str) -> None:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """chr, ref_pos (0-based), id, alleles, filter, format and genotypes: array<struct<sample, gt>> in header order."""
-    raw = spark.read.text(path)
-    header = raw.filter(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), 10, 1 << 20).alias("samples"))
-    body = raw.filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 10)
+    """chr, ref_pos (0-based), id, alleles, filter, format and genotypes: array<struct<sample, gt>> in header order.
+
+    A file's sites carry the samples of its own header. A part without one, as write_vcf leaves, takes the header that all
+    others of the folder agree on; if they don't, reading such a part is an error.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"))
+    own = raw.filter(F.col("value").startswith("#CHROM")).groupBy("__file").agg(F.first(F.slice(F.split("value", "\t"), 10, 1 << 20)).alias("own"))
+    # one row for the folder: the least header, and whether it is the only one
+    common = own.agg(F.min("own").alias("least"), (F.min("own") == F.max("own")).alias("only"))
+    rows = raw.filter(~F.col("value").startswith("#")).select("__file", F.split("value", "\t").alias("f")).filter(F.size("f") >= 10)
+    told = F.raise_error(F.concat(F.lit("no header of its own, and others differ: "), "__file")).cast("array<string>")
+    body = rows.join(own, "__file", "left").crossJoin(F.broadcast(common)).withColumn("samples", F.coalesce("own", F.when(F.col("only"), F.col("least")), told))
     at = lambda k: F.get("f", F.lit(k))
     chrom = F.when(at(0).startswith("chr"), at(0)).otherwise(F.concat(F.lit("chr"), at(0)))
     pos = at(1).cast("int") - 1
     name = F.when(at(2) == ".", F.concat(chrom, F.lit("@"), (pos + 1).cast("string"))).otherwise(at(2))
     calls = F.zip_with("samples", F.slice("f", 10, 1 << 20), lambda s, g: F.struct(s.alias("sample"), g.alias("gt")))
-    # the header is one line of sample names
-    return body.crossJoin(F.broadcast(header)).select(
+    return body.select(
         chrom.alias("chr"), pos.alias("ref_pos"), name.alias("id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"),
         at(6).alias("filter"), at(8).alias("format"), calls.alias("genotypes"),
     )
@@ -152,6 +171,16 @@ def read_junctions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "begin int, end int, depth float, strand string")
 
 
+def report_node(tag: str | Column, *children: Column) -> Column:
+    """(tag child ...) as text, from children that are text already; null children are left out."""
+    return F.concat(F.lit("("), F.concat_ws(" ", F.lit(tag) if isinstance(tag, str) else tag, *children), F.lit(")"))
+
+
+def write_reports(df: DataFrame, path: str, report: str) -> None:
+    """One report a line and record, as read_reports takes them."""
+    df.select(F.concat(F.lit("#====\n"), F.col(report)).alias("value")).write.text(path)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """One parenthesised report a row, as JSON of nested arrays [tag, child, ...]."""
     import json

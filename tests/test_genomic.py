@@ -131,17 +131,6 @@ def test_reachable_has_no_depth_limit(spark):
     assert sorted(got) == sorted(chain)
 
 
-def test_n_best_equals_all_paths(spark):
-    rng = random.Random(5)
-    layers = [["s"], list("abc"), list("de"), ["t"]]
-    edges = [(1, k, a, b, rng.random()) for k in range(3) for a in layers[k] for b in layers[k + 1]]
-    score = {(a, b): s for _, _, a, b, s in edges}
-    paths = sorted(((score["s", x] + score[x, y] + score[y, "t"], f"s>{x}>{y}>t") for x in "abc" for y in "de"), reverse=True)
-    df = spark.createDataFrame(edges, "g int, layer int, src string, dst string, score double")
-    got = [(r.score, r.path) for r in splicing.n_best_paths(df, ["g"], 4).orderBy("rank").collect()]
-    assert [p for _, p in got] == [p for _, p in paths[:4]]
-
-
 def test_islands_touch_and_nest(spark):
     df = spark.createDataFrame([(1, 0, 10, 1), (1, 2, 3, 2), (1, 10, 12, 3), (1, 20, 21, 4)], "g int, b int, e int, i int")
     assert {(r.begin, r.end, r.members) for r in intervals.islands(df, ["g"], "b", "e", "i").collect()} == {(0, 12, 3), (20, 21, 1)}
@@ -162,3 +151,38 @@ def test_alignment():
 def test_first_orf(spark):
     for s, want in (("CCATGAAATAAG", (2, 8)), ("ATGAA", (0, -1)), ("CCC", (-1, -1)), ("", (-1, -1))):
         assert tuple(one(spark, sq.first_orf(F.col("s")), s=s)) == want
+
+
+def test_vcf_files_keep_their_own_samples(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    site = lambda i, gt: f"1\t{i}\trs{i}\tA\tC\t.\tPASS\t.\tGT\t{gt}\n"
+    (tmp_path / "a.vcf").write_text(head + "s1\n" + site(5, "0|1") + site(6, "1|1"))
+    (tmp_path / "b.vcf").write_text(head + "s2\ts3\n" + site(7, "0|0\t1|0"))
+    got = {(r.ref_pos, tuple((g.sample, g.gt) for g in r.genotypes)) for r in genomic.read_vcf(spark, str(tmp_path)).collect()}
+    assert got == {(4, (("s1", "0|1"),)), (5, (("s1", "1|1"),)), (6, (("s2", "0|0"), ("s3", "1|0")))}
+    (tmp_path / "c.vcf").write_text(site(9, "0|1"))
+    with pytest.raises(Exception, match="no header of its own"):
+        genomic.read_vcf(spark, str(tmp_path)).collect()
+    (tmp_path / "b.vcf").unlink()
+    assert {r.ref_pos for r in genomic.read_vcf(spark, str(tmp_path)).collect()} == {4, 5, 8}
+
+
+def test_gff_with_repeated_keys(spark, tmp_path):
+    line = 'chr1\tHAVANA\texon\t11\t20\t.\t+\t.\tgene_id "g"; transcript_id "t"; tag "basic"; tag "CCDS"; level 2;\n'
+    (tmp_path / "g.gtf").write_text("##comment\n" + line)
+    (tmp_path / "g.gff3").write_text("chr1\tx\texon\t1\t2\t.\t+\t.\tID=e1;Parent=t1;Parent=t2;tag=a\n")
+    r = genomic.read_gff(spark, str(tmp_path / "g.gtf")).first()
+    assert (r.transcript_id, r.gene_id, r.attrs["tag"], r.attr_lists["tag"], r.attrs["level"], r.begin) == ("t", "g", "basic", ["basic", "CCDS"], "2", 10)
+    r = genomic.read_gff(spark, str(tmp_path / "g.gff3"), gff3=True).first()
+    assert (r.transcript_id, r.attr_lists["Parent"]) == ("t1", ["t1", "t2"])
+
+
+def test_descendants_of_reports(spark, tmp_path):
+    from strandline.operators import reports
+
+    (tmp_path / "r").write_text("#====\n(report (transcript (exon 1) (exon 2 (exon 3))) (note exon [exon))\n#====\n(exon (x))\n")
+    trees = genomic.read_reports(spark, str(tmp_path / "r"))
+    got = {(r.n, r.m, tuple(r.v)) for r in trees.select(reports.descendants(F.col("tree"), "exon").alias("n"), reports.descendants(F.col("tree"), "ex.n").alias("m"), reports.values_of(F.col("tree"), "exon").alias("v")).collect()}
+    assert got == {(3, 0, ("1", "2", "3")), (1, 0, ())}
+    tricky = '["a", "[\\"exon\\", 1]", "x[", "exon", ["exon"], {"exon" : 2, "y": "exon"}]'
+    assert one(spark, reports.descendants(F.col("t"), "exon"), t=tricky) == 2
