@@ -124,6 +124,27 @@ def splice(seq: Column, exons: Column) -> Column:
 STOPS = ("TAA", "TAG", "TGA")
 
 
+def stop_positions(s: Column) -> Column:
+    """array of three arrays: where the stop codons of each frame begin, in order."""
+    frame = lambda f: F.filter(F.transform(codons(F.substring(s, F.lit(f + 1), F.length(s))), lambda c, i: F.when(c.isin(*STOPS), i * 3 + f)), lambda p: p.isNotNull())
+    return F.array(*[frame(f) for f in range(3)])
+
+
+def spliced_position(exons: Column, pos: Column) -> Column:
+    """A genomic position in the spliced exons, -1 outside them; exons: array<struct<begin, end>> in order."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("found"))
+    step = lambda s, e: F.struct((s["at"] + e["end"] - e["begin"]).alias("at"), F.when((pos >= e["begin"]) & (pos < e["end"]), s["at"] + pos - e["begin"]).otherwise(s["found"]).alias("found"))
+    return F.aggregate(exons, start, lambda s, e: step(s, e).cast("struct<at:int,found:int>"), lambda s: s["found"])
+
+
+def genomic_position(exons: Column, pos: Column) -> Column:
+    """A position of the spliced exons in the genome, -1 beyond them."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("found"))
+    inside = lambda s, e: (pos >= s["at"]) & (pos < s["at"] + e["end"] - e["begin"])
+    step = lambda s, e: F.struct((s["at"] + e["end"] - e["begin"]).alias("at"), F.when(inside(s, e), e["begin"] + pos - s["at"]).otherwise(s["found"]).alias("found"))
+    return F.aggregate(exons, start, lambda s, e: step(s, e).cast("struct<at:int,found:int>"), lambda s: s["found"])
+
+
 def first_orf(s: Column) -> Column:
     """struct(start, stop) of the first ATG, both 0-based and -1 for none; stop begins the first stop codon in frame."""
     start = F.instr(s, "ATG") - 1

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 
 def bins(begin: Column, end: Column, width: float) -> Column:
     """The bins that [begin, end) touches."""
@@ -113,3 +118,51 @@ def apply_edits(df: DataFrame, by: list[str], pos: str, ref: str, alt: str) -> D
     order = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     delta = F.coalesce(F.sum(F.length(ref) - F.length(alt)).over(order), F.lit(0))
     return df.withColumn("delta", delta).withColumn("alt_pos", F.col(pos) - F.col("delta"))
+
+
+def segments(masked: DataFrame, lengths: DataFrame, on: str, begin: str, end: str, length: str, size: int) -> DataFrame:
+    """(on, begin, end): each sequence cut into pieces of `size`, a cut that would fall on a masked base moved on to the next
+    free one, so that a piece's end depends on the one before. The last piece ends with the sequence.
+
+    masked: half-open intervals, in any order and overlapping as they may; sequences without any are cut evenly. A sequence's
+    intervals stream through one task in order, which holds the last cut alone.
+    """
+    ship(masked.sparkSession)
+    marks = masked.select(on, F.lit(None).cast("long").alias("l"), F.col(begin).cast("long").alias("b"), F.col(end).cast("long").alias("e")).filter("e > b")
+    marks = marks.join(lengths.select(on), on, "left_semi")
+    heads = lengths.select(on, F.col(length).cast("long").alias("l"), F.lit(-1).cast("long").alias("b"), F.lit(-1).cast("long").alias("e"))
+    ordered = heads.unionByName(marks).repartition(on).sortWithinPartitions(on, "b", "e")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, at, ahead = None, 0, 0, 0
+        out: list[tuple] = []
+
+        def upto(limit: int) -> None:
+            """All cuts before `limit`: what is masked from there on can't move them."""
+            nonlocal at, ahead
+            while ahead < limit and at < n:
+                out.append((last, at, min(ahead, n)))
+                at, ahead = min(ahead, n), min(ahead, n) + size
+
+        for batch in batches:
+            for key, new, b, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new is not None:
+                    upto(n + size + 1)
+                    last, n, at, ahead = key, new, 0, size
+                else:
+                    upto(min(b, n))
+                    if b <= ahead < min(e, n):
+                        ahead = min(e, n)
+            if out:
+                yield _rows(out, batch.schema.field(0), on)
+                out.clear()
+        upto(n + size + 1)
+        if out:
+            yield _rows(out, batch.schema.field(0), on)
+
+    return ordered.mapInArrow(cut, f"{on} {lengths.schema[on].dataType.simpleString()}, begin long, end long")
+
+
+def _rows(found: list[tuple], key: pa.Field, on: str) -> pa.RecordBatch:
+    names, b, e = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(names, key.type), pa.array(b, pa.int64()), pa.array(e, pa.int64())], names=[on, "begin", "end"])

@@ -251,3 +251,68 @@ def split_by_symbols(df: DataFrame, seq: str, index: int, symbols: str) -> DataF
     """Adds side: left where the character at an index is one of the symbols, else right (also past the end)."""
     there = F.substring(seq, index + 1, 1)
     return df.withColumn("side", F.when(there.isin(*symbols), "left").otherwise("right"))
+
+
+def paired_sites(df: DataFrame, ident: str, seq: str, first: DataFrame, width: int, offset: int, consensus: str, second: DataFrame, ratio: DataFrame, size: int, background: DataFrame, least: int, most: int) -> DataFrame:
+    """(ident, pos, strand, spacing, score): windows of one model each followed by the best window of another.
+
+    A site is a window of `width` with the consensus at its offset, in a context that holds the longest spacing and the second
+    window of `size`. Of the spacings least..most those count whose second window has a C at its second base, then A or T, and
+    no G at its fourth; of them the one the ratio matrix scores highest is taken, the nearest on ties (on the other strand
+    the farthest). Score: both models' windows, and the background (symbol, log_p) of all other bases of the context. A context
+    with a base that a model doesn't know, or without such a spacing, is no site. pos is where the context begins on the
+    forward strand.
+    """
+    whole = width + most + size
+    found = _windows(df, [ident, F.length(seq).alias("__n")], seq, whole, ("at", "plus"))
+    strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("plus").alias("w")), F.struct(F.lit("-").alias("strand"), sq.reverse_complement(F.col("plus")).alias("w"))))
+    sites = found.select(ident, F.col("at").alias("pos"), strands.alias("s")).select(ident, "pos", "s.strand", "s.w").filter(F.substring("w", offset + 1, len(consensus)) == consensus)
+    table = background.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "log_p"))).alias("b"))
+    named = [first.select(F.col("matrix").alias("m1")), second.select(F.col("matrix").alias("m2")), ratio.select(F.col("matrix").alias("m3")), table]
+    both = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), named, sites)  # four rows, as small as the models
+    part = lambda d: F.substring("w", F.lit(width + 1) + d, F.lit(size))
+    letter = lambda s, k: F.substring(s, k, 1)
+    open_ = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda d: (letter(part(d), 2) == "C") & letter(part(d), 3).isin("A", "T") & (letter(part(d), 4) != "G"))
+    near = F.when(F.col("strand") == "+", -1).otherwise(1)
+    ranked = F.transform(open_, lambda d: F.struct(F.round(sq.weight_matrix_score(part(d), F.col("m3"), size), 9).alias("r"), (d * near).alias("near"), d.alias("d")))
+    chosen = both.withColumn("spacing", F.array_max(F.filter(ranked, lambda x: x["r"].isNotNull()))["d"]).filter("spacing is not null")
+    plain = F.concat(F.substring("w", F.lit(width + 1), F.col("spacing")), F.substring("w", F.lit(width + size + 1) + F.col("spacing"), F.lit(whole)))
+    rest = F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc + F.try_element_at(F.col("b"), c))
+    score = sq.weight_matrix_score(F.col("w"), F.col("m1"), width) + sq.weight_matrix_score(part(F.col("spacing")), F.col("m2"), size) + rest
+    return chosen.select(ident, "pos", "strand", "spacing", score.alias("score")).filter("score is not null")
+
+
+def _start_score(rna: Column, at: Column, long: Column, sensor: Sensor, short: Column, width: int) -> Column:
+    """Log score of a start codon at a place of a transcript: by the long model where its window fits, else by the short one,
+    which begins at the codon; null where there is no start codon or no model fits."""
+    codon = F.substring(rna, at + 1, F.lit(len(sensor.consensus[0])))
+    begin = at - sensor.offset
+    fits = (begin >= 0) & (begin + sensor.width <= F.length(rna))
+    far = sq.weight_matrix_score(F.substring(rna, begin + 1, F.lit(sensor.width)), long, sensor.width)
+    near = F.when(at + width <= F.length(rna), sq.weight_matrix_score(F.substring(rna, at + 1, F.lit(width)), short, width))
+    return F.when((at >= 0) & codon.isin(*sensor.consensus), F.when(fits, far).otherwise(near))
+
+
+def lost_upstream_orfs(df: DataFrame, ident: str, ref: str, alt: str, ref_exons: str, alt_exons: str, cigar: str, cds: str, long: DataFrame, sensor: Sensor, short: DataFrame, short_width: int) -> DataFrame:
+    """(ident, ref_pos, alt_pos, ref_score, alt_score, length): start codons before the coding start that the variants undo.
+
+    ref, alt: sequences; exons: array<struct<begin, end>> in order; cigar aligns ref to alt; cds: genomic begin of the coding
+    sequence in ref. Every start codon of the spliced reference that scores the cutoff and lies before it is mapped to the
+    genome, through the alignment (in a deletion to the base before) and back into the spliced alternative; it is lost if it is
+    intronic there (alt_score null), no start codon any more, or scores below the cutoff. length runs to the end of the first
+    stop codon in frame, or of the last whole codon. Stops are found once for each frame, so a transcript costs its length.
+    """
+    rows = df.select(ident, F.upper(ref).alias("__r"), F.upper(alt).alias("__a"), F.col(ref_exons).alias("rx"), F.col(alt_exons).alias("ax"), F.col(cds).alias("cds"), sq.cigar_segments(F.col(cigar)).alias("seg"))
+    rows = rows.withColumn("rr", sq.splice(F.col("__r"), F.col("rx"))).withColumn("ar", sq.splice(F.col("__a"), F.col("ax"))).drop("__r", "__a")
+    stops = sq.stop_positions(F.col("rr"))
+    main = sq.spliced_position(F.col("rx"), F.col("cds"))
+    found = rows.withColumn("stops", stops).withColumn("main", main).select("*", F.posexplode(sq.kmers(F.col("rr"), len(sensor.consensus[0]))).alias("at", "codon"))
+    tried = found.filter(F.col("codon").isin(*sensor.consensus) & (F.col("at") < F.col("main")))
+    both = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [long.select(F.col("matrix").alias("m1")), short.select(F.col("matrix").alias("m2"))], tried)
+    scored = both.withColumn("ref_score", _start_score(F.col("rr"), F.col("at"), F.col("m1"), sensor, F.col("m2"), short_width)).filter(F.col("ref_score") >= sensor.cutoff)
+    placed = scored.withColumn("ref_pos", sq.genomic_position(F.col("rx"), F.col("at"))).withColumn("alt_pos", sq.map_position(F.col("seg"), F.col("ref_pos")))
+    there = placed.withColumn("to", sq.spliced_position(F.col("ax"), F.col("alt_pos")))
+    new = there.withColumn("alt_score", _start_score(F.col("ar"), F.col("to"), F.col("m1"), sensor, F.col("m2"), short_width))
+    end = F.array_min(F.filter(F.get("stops", (F.col("at") % 3).cast("int")), lambda s: s > F.col("at")))
+    length = F.coalesce(end + 3 - F.col("at"), F.floor((F.length("rr") - F.col("at")) / 3).cast("int") * 3)
+    return new.filter(F.coalesce(F.col("alt_score") < sensor.cutoff, F.lit(True))).select(ident, "ref_pos", "alt_pos", "ref_score", "alt_score", length.cast("int").alias("length"))

@@ -141,6 +141,7 @@ def prefix_tracks(df: DataFrame, key: str, values: str, track: str) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out), mask=arrays.is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, track])
 
+    ship(df.sparkSession)
     return df.select(key, F.col(values).cast("array<double>")).mapInArrow(sums, f"{key} {df.schema[key].dataType.simpleString()}, {track} array<double>")
 
 
