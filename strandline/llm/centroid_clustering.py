@@ -186,12 +186,12 @@ def _members(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, inertia:
         yield from (rows.slice(at, 4096) for at in range(0, rows.num_rows, 4096))
 
 
-def integers(rows: DataFrame, size: int, scale: int) -> DataFrame:
-    """(vec_id, x: array<long>) of the vectors that take part, dealt out evenly."""
-    spark = rows.sparkSession
-    raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    kept = raw.filter((F.size("x") == size) & F.forall("x", lambda v: F.coalesce(F.abs(v) < RANGE, F.lit(False))))
-    return kept.repartition(shuffle_width(spark)).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"))
+def integers(rows: DataFrame, size: int, scale: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, x: array<long>) of the vectors that take part: where they lie, and dealt out evenly."""
+    fit = F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < RANGE, F.lit(False)))
+    kept = rows.filter((F.size("embedding") == size) & fit).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    whole = [F.col("vec_id"), F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x")]
+    return kept.select(*whole), kept.repartition(shuffle_width(rows.sparkSession)).select(*whole)
 
 
 def starts(vectors: DataFrame, k: int, prefix: str) -> np.ndarray:
@@ -205,11 +205,11 @@ def cluster(rows: DataFrame, k: int = 8, rounds: int = 10, size: int = 64, scale
     spark = rows.sparkSession
     prepare(spark)
     ws = Workspace(spark)
-    vectors = integers(rows, size, scale)
-    centroids = starts(vectors, k, prefix)
+    lying, dealt = integers(rows, size, scale)
+    centroids = starts(lying, k, prefix)
     if not len(centroids):
         return spark.createDataFrame([], _RESULT)
-    trees = ws.put(vectors.mapInArrow(freed(lambda b: _plant(b, size)), "tree binary"), "trees")
+    trees = ws.put(dealt.mapInArrow(freed(lambda b: _plant(b, size)), "tree binary"), "trees")
     for _ in range(rounds):
         at = centroids
         parts = trees.mapInArrow(freed(lambda b, c=at: _moments(b, c)), "cluster long, dim long, n long, total long")
