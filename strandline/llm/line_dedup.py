@@ -86,6 +86,22 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("p"), "p").filter(agree >= AGREE).select("x", "p")
 
 
+def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the wanted nodes."""
+    wanted = signed.select("h1", "h2", "node").join(nodes, "node")
+    return _lines(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
+
+
+def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, p, linked, d) of pairs of nodes; d is exact. Lines travel, not their sets, which are ten times as large."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+    sets = pairs.join(side("x"), "x").join(side("p"), "p").select("x", "p", strings_of("line_x").alias("of_x"), strings_of("line_p").alias("of_p"))
+    both = F.size(F.array_intersect("of_x", "of_p")).alias("both")
+    full = sets.select("x", "p", both, (F.size("of_x") + F.size("of_p")).alias("sizes"))
+    union = F.col("sizes") - F.col("both")
+    return full.select("x", "p", (100 * F.col("both") >= PER_HUNDRED * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
+
+
 def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept for every line of docs (doc_id, text) that isn't blank."""
     spark = docs.sparkSession
@@ -98,33 +114,23 @@ def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
     members = ws.put(members.join(often, "g").select("g", "x", "size"), "members")
     tidy(spark)
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        """(x, p, linked, d) of the pairs that agree; d is exact."""
-        near = ws.put(alike(pairs, signed), "near")
-        wanted = near.select(F.explode(F.array("x", "p")).alias("node")).distinct()
-        wanted = signed.select("h1", "h2", "node").join(wanted, "node")
-        texts = _lines(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
-        texts = ws.put(texts, "texts")
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
-        # lines travel, not their sets, which are ten times as large
-        sets = near.join(side("x"), "x").join(side("p"), "p").select("x", "p", strings_of("line_x").alias("of_x"), strings_of("line_p").alias("of_p"))
-        both = F.size(F.array_intersect("of_x", "of_p")).alias("both")
-        full = sets.select("x", "p", both, (F.size("of_x") + F.size("of_p")).alias("sizes"))
-        union = F.col("sizes") - F.col("both")
-        out = ws.put(full.select("x", "p", (100 * F.col("both") >= PER_HUNDRED * union).alias("linked"), (1 - F.col("both") / union).alias("d")), "distances")
-        ws.drop(near, texts)
-        tidy(spark)
-        return out
-
     def within(groups: DataFrame) -> DataFrame:
         other = groups.select("g", F.col("x").alias("p"), F.col("root").alias("root_p"))
         return groups.join(other, "g").filter("x < p and root <> root_p").select("x", "p").distinct()
 
-    links = measure(within(members.filter(f"size <= {MOST}").withColumn("root", F.col("x")))).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    near = ws.put(alike(within(members.filter(f"size <= {MOST}").withColumn("root", F.col("x"))), signed), "near")
     large = members.filter(f"size > {MOST}").select("g", "x")
+    # the texts are searched once, for all lines that will ever be compared
+    wanted = near.select(F.explode(F.array("x", "p")).alias("node")).unionAll(large.select("x")).distinct()
+    texts = ws.put(texts_of(docs, signed, wanted), "texts")
+    tidy(spark)
+    links = ws.put(distances(near, texts).filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")), "links")
+    ws.drop(near)
     if not large.isEmpty():
+        measure = lambda pairs: ws.put(distances(alike(pairs, signed), texts), "distances")
         of_large = link_groups(large, ws, lambda pairs, cap: measure(pairs), lambda groups, r: measure(within(groups)), PER_HUNDRED, MOST)
         links = links.unionAll(of_large.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    ws.drop(texts)
     roots = ws.put(components(links, ws), "roots")
     ws.drop(members)
 
