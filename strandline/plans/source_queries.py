@@ -222,3 +222,11 @@ def report_descendants(spark, sf):
 def report_query(spark, sf):
     """Reports that hold a node of one name at any depth."""
     return _reports(spark, sf).filter(reports.descendants(F.col("tree"), "returned") > 0).select("l_orderkey")
+
+
+@query("s11_tvf", f"""WITH {_SITES} SELECT 's0' AS sample, chr, pos AS ref_pos, id, alleles, CASE WHEN z % 2 = 0 THEN '0|1' ELSE '1|1' END AS gt FROM s UNION ALL SELECT 's1', chr, pos, id, alleles, CASE WHEN z % 7 = 0 THEN '.|.' ELSE '0|0' END FROM s""")
+def tvf(spark, sf):
+    """Variants by sample, written from a VCF and read back."""
+    path = _path(spark, "tvf")
+    genomic.write_tvf(_vcf(spark, sf), path)
+    return genomic.read_tvf(spark, path)

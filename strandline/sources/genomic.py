@@ -124,6 +124,41 @@ def write_vcf(df: DataFrame, path: str, samples: list[str]) -> None:
     lines.unionByName(body).orderBy("k", "c", "p").select("value").write.text(path)
 
 
+def write_tvf(df: DataFrame, path: str) -> None:
+    """A table like read_vcf's, turned: a line of all sites `id:chr:pos:ref:alt...` in order, then one of genotypes a sample.
+
+    The format has all of a file's sites in one line, so a file holds a region. A sample without a site has `.` there.
+    """
+    place = [F.col("chr"), F.col("ref_pos").cast("long").alias("ref_pos"), F.col("id")]
+    sites = df.select(*place, "alleles").distinct().agg(F.array_sort(F.collect_list(F.struct("chr", "ref_pos", "id", "alleles"))).alias("sites"))
+    named = F.transform("sites", lambda v: F.concat_ws(":", v["id"], v["chr"], v["ref_pos"].cast("string"), F.array_join(v["alleles"], ":")))
+    head = sites.select(F.lit(0).alias("k"), F.lit("").alias("sample"), F.array_join(named, "\t").alias("value"))
+    calls = df.select(F.struct(*place).alias("v"), F.inline("genotypes").alias("sample", "gt"))
+    by_sample = calls.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("v", "gt"))).alias("own"))
+    own = F.transform("sites", lambda v: F.coalesce(F.try_element_at("own", F.struct(v["chr"].alias("chr"), v["ref_pos"].alias("ref_pos"), v["id"].alias("id"))), F.lit(".")))
+    rows = by_sample.crossJoin(F.broadcast(sites)).select(F.lit(1).alias("k"), "sample", F.concat_ws("\t", "sample", own).alias("value"))  # one row of sites
+    head.unionByName(rows).orderBy("k", "sample").select("value").write.text(path)
+
+
+def read_tvf(spark: SparkSession, path: str) -> DataFrame:
+    """sample, chr, ref_pos, id, alleles, gt: one row for each sample and site of one file, which may be in parts.
+
+    Sites that aren't in order within a sequence, and lines with more or fewer genotypes than there are sites, are errors.
+    """
+    raw = spark.read.text(path).filter("value <> ''")
+    head = F.col("value").rlike(r"^[^:\t]*:[^:\t]+:\d+:")
+    fields = F.transform(F.split("value", "\t"), lambda f: F.split(f, ":"))
+    site = F.transform(fields, lambda f: F.struct(F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).alias("chr"), F.get(f, F.lit(2)).cast("long").alias("ref_pos"), F.slice(f, F.lit(4), F.size(f)).alias("alleles")))
+    of = lambda v, c: F.transform(F.filter(v, lambda x: x["chr"] == c), lambda x: x["ref_pos"])
+    ordered = F.forall(F.array_distinct(F.transform("sites", lambda v: v["chr"])), lambda c: of(F.col("sites"), c) == F.array_sort(of(F.col("sites"), c)))
+    sites = raw.filter(head).select(site.alias("sites")).withColumn("sites", F.when(ordered, F.col("sites")).otherwise(F.raise_error(F.lit("sites are not sorted")).cast("array<struct<id:string,chr:string,ref_pos:bigint,alleles:array<string>>>")))
+    lines = raw.filter(~head).select(F.split("value", "\t").alias("f"))
+    calls = lines.select(F.get("f", F.lit(0)).alias("sample"), F.slice("f", F.lit(2), F.size("f")).alias("gts")).crossJoin(F.broadcast(sites))  # the one line of sites
+    whole = F.when(F.size("gts") == F.size("sites"), F.arrays_zip("sites", "gts")).otherwise(F.raise_error(F.concat(F.lit("not a genotype a site: "), "sample")))
+    each = calls.select("sample", F.explode(whole).alias("c"))
+    return each.select("sample", "c.sites.chr", "c.sites.ref_pos", "c.sites.id", "c.sites.alleles", F.col("c.gts").alias("gt"))
+
+
 def write_indexed(df: DataFrame, path: str, chrom: str, pos: str, width: int) -> None:
     """Parquet in folders by sequence and bin of `width` positions; a bin's rows are sorted by position."""
     binned = df.withColumns({"__chr": F.col(chrom), "__bin": F.floor(F.col(pos) / width)})

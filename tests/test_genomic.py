@@ -186,3 +186,18 @@ def test_descendants_of_reports(spark, tmp_path):
     assert got == {(3, 0, ("1", "2", "3")), (1, 0, ())}
     tricky = '["a", "[\\"exon\\", 1]", "x[", "exon", ["exon"], {"exon" : 2, "y": "exon"}]'
     assert one(spark, reports.descendants(F.col("t"), "exon"), t=tricky) == 2
+
+
+def test_tvf_refuses_unsorted_sites_and_short_lines(spark, tmp_path):
+    rows = [("chr2", 5, "b", ["A", "C"], [("s1", "0|1")]), ("chr1", 9, "a", ["A", "<DEL>"], [("s1", "1|1"), ("s2", "0|0")]), ("chr1", 2, "c", ["G", "T", "C"], [("s2", "2|1")])]
+    df = spark.createDataFrame(rows, "chr string, ref_pos int, id string, alleles array<string>, genotypes array<struct<sample:string,gt:string>>")
+    genomic.write_tvf(df, f"{tmp_path}/good")
+    got = {(r.sample, r.chr, r.ref_pos, r.id, tuple(r.alleles), r.gt) for r in genomic.read_tvf(spark, f"{tmp_path}/good").collect()}
+    a, b, c = ("chr1", 9, "a", ("A", "<DEL>")), ("chr2", 5, "b", ("A", "C")), ("chr1", 2, "c", ("G", "T", "C"))
+    assert got == {("s1", *a, "1|1"), ("s2", *a, "0|0"), ("s1", *b, "0|1"), ("s2", *b, "."), ("s1", *c, "."), ("s2", *c, "2|1")}
+    (tmp_path / "bad").write_text("a:chr1:9:A:C\tx:chr2:1:A:C\tb:chr1:2:A:C\ns1\t0|1\t0|0\t0|0\n")
+    with pytest.raises(Exception, match="not sorted"):
+        genomic.read_tvf(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "short").write_text("a:chr1:9:A:C\tx:chr2:1:A:C\ns1\t0|1\n")
+    with pytest.raises(Exception, match="not a genotype a site"):
+        genomic.read_tvf(spark, str(tmp_path / "short")).collect()
