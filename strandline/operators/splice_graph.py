@@ -412,18 +412,32 @@ def likely_paths(paths: DataFrame, key: str, least: float) -> DataFrame:
     return kept.join(alone, key).withColumn("mapped", F.col("alone") & F.col("annotated")).drop("alone")
 
 
+def exons_of(path: Column) -> Column:
+    """array<struct<begin, end>> of the exons along a path."""
+    steps = F.split(path, ">")
+    spot = lambda v: F.regexp_extract(v, r"@(\d+)$", 1).cast("int")
+    kind = lambda v: F.regexp_extract(v, "^([A-Z]+)@", 1)
+    pair = F.zip_with(F.slice(steps, F.lit(1), F.size(steps) - 1), F.slice(steps, F.lit(2), F.size(steps) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    begin = lambda v: spot(v) + F.when(kind(v) == "AG", SITE).otherwise(0)
+    return F.transform(F.filter(pair, lambda p: kind(p["a"]).isin("TSS", "AG")), lambda p: F.struct(begin(p["a"]).alias("begin"), spot(p["b"]).alias("end")))
+
+
+def structures(edges: DataFrame, broken: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, exons): the different structures of each transcript that use no broken vertex (key, v), at most `most` (100 or fewer)
+    of them in the order of their paths' text. Edges that replace broken sites, skip exons or retain introns are in `edges`."""
+    gone = broken.select(key, "v").distinct()
+    whole = edges.join(gone.withColumnRenamed("v", "src"), [key, "src"], "left_anti").join(gone.withColumnRenamed("v", "dst"), [key, "dst"], "left_anti")
+    paths = best_paths(pruned_edges(whole.select(*edges.columns), key).withColumn("score", F.lit(0.0)), key, most)
+    return paths.select(key, exons_of(F.col("path")).alias("exons")).distinct()
+
+
 def translations(paths: DataFrame, sequences: DataFrame, key: str, seq: str, starts: str) -> DataFrame:
     """Each path with start (of its spliced transcript, -1 if none), stop and protein: one translation of a path.
 
     starts: array<int> of genomic start positions in order of preference; the first that lies in an exon of the path counts.
     stop is where the first stop codon in frame begins, -1 if there is none; the protein then runs to the last whole codon.
     """
-    steps = F.split("path", ">")
-    spot = lambda v: F.regexp_extract(v, r"@(\d+)$", 1).cast("int")
-    kind = lambda v: F.regexp_extract(v, "^([A-Z]+)@", 1)
-    pair = F.zip_with(F.slice(steps, F.lit(1), F.size(steps) - 1), F.slice(steps, F.lit(2), F.size(steps) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    begin = lambda v: spot(v) + F.when(kind(v) == "AG", SITE).otherwise(0)
-    exons = F.transform(F.filter(pair, lambda p: kind(p["a"]).isin("TSS", "AG")), lambda p: F.struct(begin(p["a"]).alias("begin"), spot(p["b"]).alias("end")))
+    exons = exons_of(F.col("path"))
     rows = paths.withColumn("exons", exons).join(sequences.select(key, F.upper(seq).alias("__seq"), F.col(starts).alias("__starts")), key)
     inside = lambda p, x: F.aggregate(x, F.struct(F.lit(0).alias("at"), F.lit(-1).alias("found")), lambda s, e: F.struct(
         (s["at"] + e["end"] - e["begin"]).alias("at"), F.when((p >= e["begin"]) & (p < e["end"]), s["at"] + p - e["begin"]).otherwise(s["found"]).alias("found")), lambda s: s["found"])

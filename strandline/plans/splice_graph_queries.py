@@ -254,3 +254,17 @@ def phased_paths(spark, sf):
     scores = F.array(*[((F.lit(p * 5) + F.col("t") + F.col("begin")) % 9 - 4) / F.lit(2.0) for p in range(3)])
     edges = _edited(_exons(spark, sf)).withColumn("scores", scores).withColumns({"src": coding("src"), "dst": coding("dst")})
     return sg.best_paths(edges, "t", 4, phased=True).select("t", "path", "score", "rank")
+
+
+@query(
+    "p10_structures",
+    f"""WITH RECURSIVE {_EXONS}, {_CHAIN}, {_BROKEN}, {_GRAPH}, z AS (SELECT t, concat('GT@', e) AS v FROM x WHERE k % 4 = 0 UNION SELECT t, concat('AG@', b - 2) FROM x WHERE k % 5 = 0),
+h AS (SELECT * FROM g WHERE (t, src) NOT IN (SELECT t, v FROM z) AND (t, dst) NOT IN (SELECT t, v FROM z)),
+w(t, v, exons) AS (SELECT DISTINCT t, src, '' FROM h WHERE src = 'LT@0' UNION ALL SELECT h.t, h.dst, concat(exons, CASE WHEN kind = 'exon' THEN concat("begin", '-', "end", ' ') ELSE '' END) FROM w JOIN h ON h.t = w.t AND h.src = w.v)
+SELECT DISTINCT t, trim(exons) AS exons FROM w WHERE starts_with(v, 'RT@')""",
+)
+def structures(spark, sf):
+    """Every structure of a transcript that does without its broken sites."""
+    x = _exons(spark, sf)
+    found = sg.structures(_edited(x), _broken(x), "t", 100)
+    return found.select("t", F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["begin"].cast("string"), e["end"].cast("string"))), " ").alias("exons"))

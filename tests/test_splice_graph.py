@@ -223,3 +223,13 @@ def test_mapped_needs_one_annotated_path(spark):
     df = spark.createDataFrame(rows, "t int, path string, score double, annotated boolean")
     got = {(r["t"], r["path"]): r["mapped"] for r in sg.likely_paths(df, "t", 0.1).collect()}
     assert got == {(1, "a"): True, (2, "a"): False, (2, "b"): False, (3, "a"): False, (4, "a"): True}
+
+
+def test_structures_without_broken_sites(spark):
+    _, edges = chain(spark)
+    lost = broken(spark, "GT@360")
+    every = edges.unionByName(sg.skipping_edges(edges, lost, "t")).unionByName(sg.retention_edges(edges, lost, "t", 1000))
+    got = {tuple((e.begin, e.end) for e in r.exons) for r in sg.structures(every, lost, "t", 100).collect()}
+    assert got == {((100, 150), (500, 540)), ((100, 150), (300, 540))}
+    assert sg.structures(edges, lost, "t", 100).count() == 0
+    assert [tuple((e.begin, e.end) for e in r.exons) for r in sg.structures(edges, broken(spark, "GT@1"), "t", 100).collect()] == [((100, 150), (300, 360), (500, 540))]
