@@ -61,22 +61,28 @@ def build_haplotypes(regions: DataFrame, edits: DataFrame, by: list[str]) -> Dat
     picked = chosen_variants(edits, by)
     listed = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ref_pos", "ref", "alt"))).alias("edits"))
     base = regions.join(listed, by, "left").withColumn("edits", F.coalesce("edits", F.array().cast("array<struct<ref_pos:int,ref:string,alt:string>>")))
-    fits = lambda e: F.substring("seq", e["ref_pos"] + 1, F.length(e["ref"])) == e["ref"]
+    # in bytes a piece is cut where it lies; in text it would be searched from the start for each edit
+    base = base.withColumn("__b", F.col("seq").cast("binary"))
+    cut = lambda at, n: F.substring(F.col("__b"), at + 1, n).cast("string")
+    fits = lambda e: cut(e["ref_pos"], F.length(e["ref"])) == e["ref"]
     base = base.withColumn("ok", F.filter("edits", fits)).withColumn("mismatched", F.size("edits") - F.size("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit("").alias("cigar"))
+    done = base.withColumn("at", F.concat(F.array(F.lit(0)), F.transform("ok", lambda e: e["ref_pos"] + F.length(e["ref"]))))
 
     def op(n: Column, letter: str) -> Column:
         return F.when(n > 0, F.concat(n.cast("string"), F.lit(letter))).otherwise("")
 
-    def step(s: Column, e: Column) -> Column:
-        r, a, gap = F.length(e["ref"]), F.length(e["alt"]), e["ref_pos"] - s["at"]
+    def letters(e: Column, at: Column) -> Column:
+        r, a = F.length(e["ref"]), F.length(e["alt"])
         both = F.least(r, a)
-        cigar = F.concat(s["cigar"], op(gap, "M"), op(both, "M"), op(a - both, "I"), op(r - both, "D"))
-        return F.struct((e["ref_pos"] + r).alias("at"), F.concat(s["out"], F.substring("seq", s["at"] + 1, gap), e["alt"]).alias("out"), cigar.alias("cigar"))
+        return F.concat(op(e["ref_pos"] - at, "M"), op(both, "M"), op(a - both, "I"), op(r - both, "D"))
 
-    done = base.withColumn("s", F.aggregate("ok", start, step))
-    rest = F.length("seq") - F.col("s.at")
-    return done.select(*by, F.concat("s.out", F.substring("seq", F.col("s.at") + 1, F.greatest(rest, F.lit(0)))).alias("hap_seq"), F.concat("s.cigar", op(rest, "M")).alias("cigar"), F.size("ok").alias("applied"), "mismatched")
+    # every edit makes its own piece, joined once at the end; `at` has one value more, where the rest begins
+    ends, last = F.slice("at", F.lit(1), F.size("ok")), F.element_at("at", -1)
+    pieces = F.zip_with("ok", ends, lambda e, at: F.concat(cut(at, e["ref_pos"] - at), e["alt"]))
+    rest = F.length("__b") - last
+    whole = F.concat(F.array_join(pieces, ""), cut(last, F.greatest(rest, F.lit(0))))
+    cigar = F.concat(F.array_join(F.zip_with("ok", ends, letters), ""), op(rest, "M"))
+    return done.select(*by, whole.alias("hap_seq"), cigar.alias("cigar"), F.size("ok").alias("applied"), "mismatched")
 
 
 def map_exons(transcripts: DataFrame, cigar: str) -> DataFrame:
@@ -97,3 +103,25 @@ def major_genomes(regions: DataFrame, genotypes: DataFrame, populations: DataFra
     edits = edits.select("chr", "population", "ref_pos", F.get("alleles", F.lit(0)).alias("ref"), F.get("alleles", F.col("major")).alias("alt"))
     each = regions.join(major.select("chr", "population").distinct(), "chr")
     return build_haplotypes(each, edits, ["chr", "population"])
+
+
+def individual_genomes(genes: DataFrame, sequences: DataFrame, genotypes: DataFrame, margin: int, width: float = 4096.0) -> DataFrame:
+    """gene, sample, hap, chr, begin, end, hap_seq, cigar, applied, mismatched: each gene with `margin` bases around it, as each haplotype
+    of each individual has it.
+
+    genes: gene, chr, begin, end; sequences: chr, seq; genotypes as of long_genotypes. Stretches end where their chromosome does.
+    An edit counts where all of its reference bases lie in the stretch. An individual with genotypes on the chromosome but
+    none in the stretch has the sequence as it is; genes on chromosomes without a sequence are left out.
+    """
+    # lengths first, so that sequences join once, when the stretches are known
+    known = genes.join(sequences.select("chr", F.length("seq").cast("long").alias("__n")), "chr")
+    spans = known.select("gene", "chr", F.greatest(F.col("begin") - margin, F.lit(0)).cast("long").alias("__begin"), F.least(F.col("end") + margin, F.col("__n")).cast("long").alias("__end"))
+    stretch = F.substring(F.col("seq"), (F.col("__begin") + 1).cast("int"), (F.col("__end") - F.col("__begin")).cast("int"))
+    cut = spans.join(sequences.select("chr", "seq"), "chr").select("gene", "chr", "__begin", "__end", stretch.alias("seq"))
+    people = genotypes.select("chr", "sample", "hap").distinct()
+    by = ["gene", "sample", "hap"]
+    changed = genotypes.filter("allele > 0").select("chr", F.col("ref_pos").cast("long").alias("ref_pos"), "sample", "hap", F.get("alleles", F.lit(0)).alias("ref"), F.get("alleles", F.col("allele")).alias("alt"))
+    found = intervals.point_in_region(changed, spans, "ref_pos", "__begin", "__end", width, ["chr"])
+    edits = found.filter(F.col("ref_pos") + F.length("ref") <= F.col("__end")).select(*by, (F.col("ref_pos") - F.col("__begin")).cast("int").alias("ref_pos"), "ref", "alt")
+    made = build_haplotypes(cut.join(people, "chr").select(*by, "seq"), edits, by)
+    return made.join(spans, "gene").select(*by, "chr", F.col("__begin").alias("begin"), F.col("__end").alias("end"), "hap_seq", "cigar", "applied", "mismatched")

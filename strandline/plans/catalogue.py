@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotation_queries, graph_queries, interval_queries, report_queries, score_queries, sequence_queries, signal_queries, source_queries, splice_graph_queries, training_queries, transcript_queries  # noqa: F401
+from . import annotation_queries, graph_queries, interval_queries, model_file_queries, report_queries, score_queries, sequence_queries, signal_queries, source_queries, splice_graph_queries, training_queries, transcript_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
