@@ -100,9 +100,10 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the wanted nodes."""
+    """(node, line) of the wanted nodes. Copies of a line meet where the join has put them, so that lines move once."""
     wanted = signed.select("h1", "h2", "node").join(nodes, "node")
-    return _lines(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
+    found = _lines(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"])
+    return found.groupBy("h1", "h2").agg(F.first("node").alias("node"), F.first("line").alias("line")).select("node", "line")
 
 
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
