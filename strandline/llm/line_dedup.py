@@ -123,8 +123,9 @@ def fuzzy_line_dedup(docs: DataFrame) -> DataFrame:
     signed = ws.put(packed(signatures(_lines(docs))), "signatures")
     tidy(spark)
     groups = F.explode(F.array(*[F.xxhash64(F.lit(b), *[_byte(F.col(f"s{k // 8}"), k) for k in bins]) for b, bins in enumerate(_bands())]))
-    members = signed.select(groups.alias("g"), F.col("node").alias("x"))
-    often = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    # one shuffle serves the counts and the join: both sides read the same columns of it
+    members = signed.select(groups.alias("g"), F.col("node").alias("x")).repartition("g")
+    often = members.groupBy("g").agg(F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high").select("g", "size")
     members = ws.put(members.join(often, "g").select("g", "x", "size"), "members")
     tidy(spark)
 
