@@ -188,7 +188,7 @@ def gff_repeated_keys(spark, sf):
 
 @query("s09_vcf_two_files", "SELECT concat('rs', p_partkey) AS id, concat('x', p_size % 2) AS sample, concat(p_size % 3, '|', p_size % 2) AS gt FROM part UNION ALL SELECT concat('rs', p_partkey), concat('y', p_size % 2), '0|1' FROM part WHERE p_size % 2 = 1")
 def vcf_two_files(spark, sf):
-    """A folder of two files with headers of their own: one sample, and two."""
+    """Two folders with headers of their own: one sample, and two."""
     folder, z = _path(spark, "vcf"), F.col("p_size")
     p = table(spark, sf, "part")
     call = lambda name, gt: F.struct(F.lit(name).alias("sample"), gt.alias("gt"))
@@ -196,7 +196,7 @@ def vcf_two_files(spark, sf):
         first = F.concat((z % 3).cast("string"), F.lit(f"|{k}"))
         calls = F.array(call("x0", first)) if k == 0 else F.array(call("y1", F.lit("0|1")), call("x1", first))
         rows = p.filter(z % 2 == k).select(F.lit("chr1").alias("chr"), F.col("p_partkey").alias("ref_pos"), F.concat(F.lit("rs"), "p_partkey").alias("id"), F.array(F.lit("A"), F.lit("C")).alias("alleles"), F.lit("PASS").alias("filter"), F.lit("GT").alias("format"), calls.alias("genotypes"))
-        genomic.write_vcf(rows.coalesce(1), f"{folder}/{k}", sample)
+        genomic.write_vcf(rows, f"{folder}/{k}", sample)
     return genomic.read_vcf(spark, f"{folder}/*").select("id", F.inline("genotypes").alias("sample", "gt"))
 
 

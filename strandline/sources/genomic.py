@@ -91,15 +91,16 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """chr, ref_pos (0-based), id, alleles, filter, format and genotypes: array<struct<sample, gt>> in header order.
 
     A file's sites carry the samples of its own header. A part without one, as write_vcf leaves, takes the header that all
-    others of the folder agree on; if they don't, reading such a part is an error.
+    others of its folder agree on; if they don't, reading such a part is an error.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"))
     own = raw.filter(F.col("value").startswith("#CHROM")).groupBy("__file").agg(F.first(F.slice(F.split("value", "\t"), 10, 1 << 20)).alias("own"))
-    # one row for the folder: the least header, and whether it is the only one
-    common = own.agg(F.min("own").alias("least"), (F.min("own") == F.max("own")).alias("only"))
-    rows = raw.filter(~F.col("value").startswith("#")).select("__file", F.split("value", "\t").alias("f")).filter(F.size("f") >= 10)
+    # one row a folder: the least header, and whether it is the only one
+    folder = F.regexp_replace("__file", "/[^/]*$", "").alias("__folder")
+    common = own.select(folder, "own").groupBy("__folder").agg(F.min("own").alias("least"), (F.min("own") == F.max("own")).alias("only"))
+    rows = raw.filter(~F.col("value").startswith("#")).select("__file", folder, F.split("value", "\t").alias("f")).filter(F.size("f") >= 10)
     told = F.raise_error(F.concat(F.lit("no header of its own, and others differ: "), "__file")).cast("array<string>")
-    body = rows.join(own, "__file", "left").crossJoin(F.broadcast(common)).withColumn("samples", F.coalesce("own", F.when(F.col("only"), F.col("least")), told))
+    body = rows.join(own, "__file", "left").join(common, "__folder", "left").withColumn("samples", F.coalesce("own", F.when(F.col("only"), F.col("least")), told))
     at = lambda k: F.get("f", F.lit(k))
     chrom = F.when(at(0).startswith("chr"), at(0)).otherwise(F.concat(F.lit("chr"), at(0)))
     pos = at(1).cast("int") - 1
@@ -124,37 +125,48 @@ def write_vcf(df: DataFrame, path: str, samples: list[str]) -> None:
     lines.unionByName(body).orderBy("k", "c", "p").select("value").write.text(path)
 
 
+#: Positions of a sequence whose sites are in one file of a folder of TVF.
+REGION = 1 << 18
+
+
 def write_tvf(df: DataFrame, path: str) -> None:
     """A table like read_vcf's, turned: a line of all sites `id:chr:pos:ref:alt...` in order, then one of genotypes a sample.
 
-    The format has all of a file's sites in one line, so a file holds a region. A sample without a site has `.` there.
+    The format has all of a file's sites in one line, so a file holds a region: REGION positions of one sequence. A sample
+    without a site has `.` there, also where it has none in a region; one with two genotypes at a site is an error.
     """
     place = [F.col("chr"), F.col("ref_pos").cast("long").alias("ref_pos"), F.col("id")]
-    sites = df.select(*place, "alleles").distinct().agg(F.array_sort(F.collect_list(F.struct("chr", "ref_pos", "id", "alleles"))).alias("sites"))
-    named = F.transform("sites", lambda v: F.concat_ws(":", v["id"], v["chr"], v["ref_pos"].cast("string"), F.array_join(v["alleles"], ":")))
-    head = sites.select(F.lit(0).alias("k"), F.lit("").alias("sample"), F.array_join(named, "\t").alias("value"))
-    calls = df.select(F.struct(*place).alias("v"), F.inline("genotypes").alias("sample", "gt"))
-    by_sample = calls.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("v", "gt"))).alias("own"))
-    own = F.transform("sites", lambda v: F.coalesce(F.try_element_at("own", F.struct(v["chr"].alias("chr"), v["ref_pos"].alias("ref_pos"), v["id"].alias("id"))), F.lit(".")))
-    rows = by_sample.crossJoin(F.broadcast(sites)).select(F.lit(1).alias("k"), "sample", F.concat_ws("\t", "sample", own).alias("value"))  # one row of sites
-    head.unionByName(rows).orderBy("k", "sample").select("value").write.text(path)
+    by = ["chr", F.floor(F.col("ref_pos") / REGION).alias("bin")]
+    sites = df.select(*place, "alleles").distinct()
+    calls = df.select(*place, F.inline("genotypes").alias("sample", "gt")).groupBy("chr", "ref_pos", "id", "sample").agg(F.first("gt").alias("gt"), F.count("*").alias("n"))
+    one = F.when(F.col("n") == 1, F.col("gt")).when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two genotypes at a site: "), "id", F.lit(" "), "sample")).cast("string"))
+    named = F.concat_ws(":", "id", "chr", F.col("ref_pos").cast("string"), F.array_join("alleles", ":"))
+    line = lambda text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ref_pos", "id", "alleles", text.alias("text")))), lambda v: v["text"]), "\t")
+    head = sites.groupBy(*by).agg(line(named).alias("value")).select("chr", "bin", F.lit(0).alias("k"), F.lit("").alias("sample"), "value")
+    # every sample has a line in every file, so this is no larger than what is written
+    each = sites.crossJoin(calls.select("sample").distinct()).join(calls, ["chr", "ref_pos", "id", "sample"], "left")
+    rows = each.groupBy(*by, "sample").agg(line(F.coalesce(one, F.lit("."))).alias("value")).select("chr", "bin", F.lit(1).alias("k"), "sample", F.concat_ws("\t", "sample", "value").alias("value"))
+    lines = head.unionByName(rows).select(F.concat_ws("-", "chr", F.col("bin").cast("string")).alias("region"), "k", "sample", "value")
+    lines.repartition("region").sortWithinPartitions("region", "k", "sample").select("region", "value").write.partitionBy("region").text(path)
 
 
 def read_tvf(spark: SparkSession, path: str) -> DataFrame:
-    """sample, chr, ref_pos, id, alleles, gt: one row for each sample and site of one file, which may be in parts.
+    """sample, chr, ref_pos, id, alleles, gt: one row for each sample and site of each file.
 
-    Sites that aren't in order within a sequence, and lines with more or fewer genotypes than there are sites, are errors.
+    Sites that aren't in order within a sequence, lines with more or fewer genotypes than there are sites, and files without a
+    line of sites are errors.
     """
-    raw = spark.read.text(path).filter("value <> ''")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file")).filter("value <> ''")
     head = F.col("value").rlike(r"^[^:\t]*:[^:\t]+:\d+:")
     fields = F.transform(F.split("value", "\t"), lambda f: F.split(f, ":"))
     site = F.transform(fields, lambda f: F.struct(F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).alias("chr"), F.get(f, F.lit(2)).cast("long").alias("ref_pos"), F.slice(f, F.lit(4), F.size(f)).alias("alleles")))
     of = lambda v, c: F.transform(F.filter(v, lambda x: x["chr"] == c), lambda x: x["ref_pos"])
     ordered = F.forall(F.array_distinct(F.transform("sites", lambda v: v["chr"])), lambda c: of(F.col("sites"), c) == F.array_sort(of(F.col("sites"), c)))
-    sites = raw.filter(head).select(site.alias("sites")).withColumn("sites", F.when(ordered, F.col("sites")).otherwise(F.raise_error(F.lit("sites are not sorted")).cast("array<struct<id:string,chr:string,ref_pos:bigint,alleles:array<string>>>")))
-    lines = raw.filter(~head).select(F.split("value", "\t").alias("f"))
-    calls = lines.select(F.get("f", F.lit(0)).alias("sample"), F.slice("f", F.lit(2), F.size("f")).alias("gts")).crossJoin(F.broadcast(sites))  # the one line of sites
-    whole = F.when(F.size("gts") == F.size("sites"), F.arrays_zip("sites", "gts")).otherwise(F.raise_error(F.concat(F.lit("not a genotype a site: "), "sample")))
+    sites = raw.filter(head).select("__file", site.alias("sites")).withColumn("sites", F.when(ordered, F.col("sites")).otherwise(F.raise_error(F.lit("sites are not sorted")).cast("array<struct<id:string,chr:string,ref_pos:bigint,alleles:array<string>>>")))
+    lines = raw.filter(~head).select("__file", F.split("value", "\t").alias("f"))
+    calls = lines.select("__file", F.get("f", F.lit(0)).alias("sample"), F.slice("f", F.lit(2), F.size("f")).alias("gts")).join(sites, "__file", "left")
+    told = F.when(F.col("sites").isNull(), F.concat(F.lit("no line of sites: "), "__file")).otherwise(F.concat(F.lit("not a genotype a site: "), "sample"))
+    whole = F.when(F.size("gts") == F.size("sites"), F.arrays_zip("sites", "gts")).otherwise(F.raise_error(told))
     each = calls.select("sample", F.explode(whole).alias("c"))
     return each.select("sample", "c.sites.chr", "c.sites.ref_pos", "c.sites.id", "c.sites.alleles", F.col("c.gts").alias("gt"))
 
