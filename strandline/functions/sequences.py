@@ -34,6 +34,18 @@ def kmers(s: Column, k: int) -> Column:
     return F.coalesce(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def windows_at(s: Column, pattern: str, shifts: list[int], width: int) -> Column:
+    """array<struct<pos, window>> of the windows of `width` that begin shifts[k] before a match of a pattern of fixed length, each
+    once; matches may overlap. All other windows, nearly all of them, are never cut."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    # a split before every match; only the first piece may begin without one
+    begins = lambda t: F.aggregate(F.split(t, f"(?={pattern})"), start, step, lambda a: F.filter(a["out"], lambda b: (b > 0) | t.rlike(f"^(?:{pattern})")))
+    fit = lambda t: F.filter(F.array_distinct(F.flatten(F.transform(begins(t), lambda b: F.array(*[b - k for k in shifts])))), lambda b: (b >= 0) & (b + width <= F.length(t)))
+    cut = lambda t: F.transform(fit(t), lambda b: F.struct(b.alias("pos"), F.substring(t, b + 1, F.lit(width)).alias("window")))
+    return F.get(F.transform(F.array(s), cut), F.lit(0))  # the lambda's variable holds s, so that it is worked out once
+
+
 def base_fraction(s: Column, bases: str, total: str) -> Column:
     """Share of `bases` among `total` characters; null when there are none."""
     count = lambda those: F.length(s) - F.length(F.translate(s, those, ""))

@@ -6,6 +6,7 @@ a Sensor with its fixed numbers. Windows are cut in one pass over a sequence and
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -264,9 +265,14 @@ def paired_sites(df: DataFrame, ident: str, seq: str, first: DataFrame, width: i
     forward strand.
     """
     whole = width + most + size
-    found = _windows(df, [ident, F.length(seq).alias("__n")], seq, whole, ("at", "plus"))
+    # only contexts with the consensus on one of the strands are cut
+    ahead = lambda w: F.substring(w, offset + 1, len(consensus)) == consensus
+    behind = str.translate(consensus, str.maketrans("ACGTacgt", "TGCAtgca"))[::-1]
+    placed = sq.windows_at(F.upper(seq), "|".join({re.escape(consensus), re.escape(behind)}), [offset, whole - offset - len(consensus)], whole)
+    # outer, since Spark would else work out every array twice, once to see whether it is empty
+    found = df.select(ident, F.inline_outer(placed).alias("pos", "plus")).filter("pos is not null")
     strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("plus").alias("w")), F.struct(F.lit("-").alias("strand"), sq.reverse_complement(F.col("plus")).alias("w"))))
-    sites = found.select(ident, F.col("at").alias("pos"), strands.alias("s")).select(ident, "pos", "s.strand", "s.w").filter(F.substring("w", offset + 1, len(consensus)) == consensus)
+    sites = found.select(ident, "pos", strands.alias("s")).select(ident, "pos", "s.strand", "s.w").filter(ahead(F.col("w")))
     table = background.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "log_p"))).alias("b"))
     named = [first.select(F.col("matrix").alias("m1")), second.select(F.col("matrix").alias("m2")), ratio.select(F.col("matrix").alias("m3")), table]
     both = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), named, sites)  # four rows, as small as the models

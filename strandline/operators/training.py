@@ -6,6 +6,8 @@ Every pass over the sequences is an aggregation; what the driver loops over is a
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..sources.tables import scratch
 from . import models
 
 #: Chi-square of three degrees of freedom beyond which two positions depend on each other, at 0.05 (fixed value).
@@ -137,25 +140,37 @@ def tree_score(df: DataFrame, seq: str, width: int, splits: list[Split], leaves:
     return placed.withColumn("log_p", F.col("branch_log_p") + sq.weight_matrix_score(F.col(seq), F.col("matrix"), width)).drop("branch_log_p", "matrix")
 
 
-def best_windows(margins: DataFrame, ident: str, seq: str, matrix: dict[str, float], width: int, offset: int, consensus: list[str]) -> DataFrame:
-    """(ident, pos, window, score): the best window of each margin among those with an allowed consensus; ties go to the last.
+def allowed_windows(margins: DataFrame, ident: str, seq: str, width: int, offset: int, consensus: list[str]) -> DataFrame:
+    """(ident, pos, window) of the windows with an allowed consensus. As the model was defined, a margin's very last window is
+    never tried."""
+    found = sq.windows_at(F.upper(seq), "|".join(re.escape(c) for c in consensus), [offset], width)
+    # outer, since Spark would else work out every array twice, once to see whether it is empty
+    return margins.select(ident, F.length(seq).alias("__n"), F.inline_outer(found)).filter(F.col("pos") < F.col("__n") - width).drop("__n")
 
-    As the model was defined, a margin's very last window is never tried.
-    """
-    found = margins.select(ident, F.posexplode(sq.kmers(F.upper(seq), width)).alias("pos", "window"), F.length(seq).alias("__n")).filter(F.col("pos") < F.col("__n") - width)
-    allowed = found.filter(F.substring("window", offset + 1, len(consensus[0])).isin(*consensus))
+
+def _best(allowed: DataFrame, ident: str, matrix: dict[str, float], width: int) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in matrix.items() for x in kv])
     scored = allowed.withColumn("score", F.round(sq.weight_matrix_score(F.col("window"), table, width), 9)).filter("score is not null")
     return scored.groupBy(ident).agg(F.max(F.struct("score", "pos", "window")).alias("b")).select(ident, "b.pos", "b.window", "b.score")
 
 
+def best_windows(margins: DataFrame, ident: str, seq: str, matrix: dict[str, float], width: int, offset: int, consensus: list[str]) -> DataFrame:
+    """(ident, pos, window, score): the best window of each margin among those with an allowed consensus; ties go to the last."""
+    return _best(allowed_windows(margins, ident, seq, width, offset, consensus), ident, matrix, width)
+
+
 def refine(margins: DataFrame, ident: str, seq: str, matrix: DataFrame, width: int, offset: int, consensus: list[str], fraction: float, rounds: int) -> DataFrame:
     """The matrix (pos, symbol, log_p) after rounds of: the best window of each margin, the top fraction of those by score
-    (rounded down, ties to the smaller ident), a matrix trained on them. Stops early once a round changes nothing."""
+    (rounded down, ties to the smaller ident), a matrix trained on them. Stops early once a round changes nothing.
+
+    Margins are searched once; the windows found, few of all, are written to the shared folder for the rounds."""
     spark = margins.sparkSession
     own = {f"{r['pos']}:{r['symbol']}": r["log_p"] for r in matrix.collect()}  # width x alphabet cells
+    path = f"{scratch(spark)}/windows-{uuid.uuid4().hex}"
+    allowed_windows(margins, ident, seq, width, offset, consensus).write.parquet(path)
+    allowed = spark.read.parquet(path)
     for _ in range(rounds):
-        best = best_windows(margins, ident, seq, own, width, offset, consensus)
+        best = _best(allowed, ident, own, width)
         keep = int(fraction * best.count())
         top = best.orderBy(F.desc("score"), ident).limit(keep)
         new = {f"{r['pos']}:{r['symbol']}": r["log_p"] for r in models.train_weight_matrix(top, F.col("window"), width, "ACGT").collect()}

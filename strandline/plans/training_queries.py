@@ -14,7 +14,9 @@ _SEQ = "d AS (SELECT p_partkey AS id, translate(array_to_string(list_transform(r
 
 def _seq(spark, sf):
     text = F.expr("translate(array_join(transform(sequence(0, 9), j -> md5(concat(p_partkey, ':', j))), ''), '0123456789abcdef', 'ACGTACGTACGTACGT')")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alias("s"))
+    # keys are dealt out before they unfold: their file is small enough for one task, their sequences aren't
+    parts = table(spark, sf, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("id"), text.alias("s"))
 
 
 def _rule(a: int, b: int):
