@@ -2,7 +2,7 @@
 
 import random
 
-from strandline.llm import jaccard_join
+from strandline.llm import jaccard_join, line_dedup
 from strandline.llm.common import Workspace
 
 
@@ -38,3 +38,13 @@ def test_jaccard_pairs_are_measured_in_parts(spark, monkeypatch):
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     assert got == set(enumerate(root))
+
+
+def test_sets_of_lines_are_built_once_a_pair(spark):
+    """A filter on measured pairs reads what was written; it used to move below the sets, which were then built for each use."""
+    ws = Workspace(spark)
+    texts = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghij!"), (3, "abcdez")], "node long, line string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "x long, p long")
+    got = line_dedup.distances(pairs, texts, ws).filter("linked")
+    assert [(r.x, r.p, round(r.d, 6)) for r in got.collect()] == [(1, 2, round(1 / 7, 6))]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
