@@ -31,6 +31,15 @@ WEAKER, STRONGER = 0.5, 2.0
 OFFSET = 6
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key once. What is grouped or joined by key and more then stays where it is: the setting lets joins use
+    rows that are dealt out by some of their keys alone. The number of parts is given, since all later work is done on these
+    few bytes, and parts that are merged for their size would leave it to a few tasks."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), key)
+
+
 def name(kind: Column, begin: Column) -> Column:
     return F.concat(kind, F.lit("@"), begin.cast("string"))
 
@@ -69,26 +78,35 @@ def _named(edges: DataFrame, key: str, prefix: str, where: str) -> DataFrame:
     return edges.filter(where).select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("src", "dst", "begin", "end")])
 
 
-def _around(edges: DataFrame, broken: DataFrame, key: str, middle: str, outer: str) -> tuple[DataFrame, DataFrame]:
-    """(broken at the right end of an annotated `middle` edge, at its left end): columns l_, m_, r_ of three edges in a row, of
-    which the one beyond the broken vertex is annotated too and the other one any."""
-    m = _named(edges, key, "m", f"annotated and kind = '{middle}'")
-    any_in, any_out = _named(edges, key, "l", outer), _named(edges, key, "r", outer)
-    own_in, own_out = _named(edges, key, "l", f"annotated and {outer}"), _named(edges, key, "r", f"annotated and {outer}")
-    meet = lambda left, x, right: x.join(left.withColumnRenamed("l_dst", "m_src"), [key, "m_src"]).join(right.withColumnRenamed("r_src", "m_dst"), [key, "m_dst"])
-    at = lambda end: m.join(broken.select(key, F.col("v").alias(end)), [key, end], "left_semi")
-    return meet(any_in, at("m_dst"), own_out), meet(own_in, at("m_src"), any_out)
+def _around(edges: DataFrame, broken: DataFrame, key: str, middle: str, outer: str) -> DataFrame:
+    """Annotated `middle` edges with a broken vertex at an end, and their neighbours of kind `outer`: columns l_, m_, r_ of three
+    edges in a row, of which the one beyond the broken vertex is annotated too and the other one any.
+
+    A transcript's edges and broken vertices meet in arrays by one grouping; nothing is joined or sorted.
+    """
+    one = F.struct("src", "dst", "kind", "begin", "end", "annotated")
+    own = edges.filter(F.col("kind").isin(middle, outer)).select(key, one.alias("e"), F.lit(None).cast("string").alias("v"))
+    both = own.unionByName(broken.select(key, F.lit(None).cast(own.schema["e"].dataType).alias("e"), "v"))
+    graphs = both.groupBy(key).agg(F.collect_list("e").alias("all"), F.collect_set("v").alias("lost")).filter(F.size("lost") > 0)
+    lost = lambda v: F.array_contains("lost", v)
+    ways = lambda there: F.explode(F.filter("all", lambda e: (e["kind"] == outer) & there(e)))
+    hit = graphs.select(key, "all", "lost", F.explode(F.filter("all", lambda e: e["annotated"] & (e["kind"] == middle))).alias("m"))
+    hit = hit.select(key, "all", "m", lost(F.col("m.src")).alias("left"), lost(F.col("m.dst")).alias("right")).filter("left or right")
+    met = hit.select(key, "all", "m", "left", "right", ways(lambda e: (e["dst"] == F.col("m.src")) & (F.col("right") | e["annotated"])).alias("l"))
+    met = met.select(key, "m", "l", "left", "right", ways(lambda e: (e["src"] == F.col("m.dst")) & (F.col("left") | e["annotated"])).alias("r"))
+    met = met.filter("(right and r.annotated) or (left and l.annotated)")
+    return met.select(key, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "lmr" for c in ("src", "dst", "begin", "end")])
 
 
 def skipping_edges(edges: DataFrame, broken: DataFrame, key: str) -> DataFrame:
     """Introns across each exon one of whose sites is broken (key, v). The intron beyond the broken site is the annotated one;
     on the exon's other side every intron of the graph is joined."""
-    return _made(_bridge(*_around(edges, broken, key, "exon", "kind = 'intron'")), key, "l_src", "r_dst", "intron", "l_begin", "r_end", "exon-skipping")
+    return _made(_around(edges, broken, key, "exon", "intron"), key, "l_src", "r_dst", "intron", "l_begin", "r_end", "exon-skipping")
 
 
 def retention_edges(edges: DataFrame, broken: DataFrame, key: str, most: int) -> DataFrame:
     """Exons across each intron one of whose sites is broken, of at most `most` bases."""
-    across = _bridge(*_around(edges, broken, key, "intron", "kind = 'exon'")).filter(F.col("r_end") - F.col("l_begin") <= most)
+    across = _around(edges, broken, key, "intron", "exon").filter(F.col("r_end") - F.col("l_begin") <= most)
     return _made(across, key, "l_src", "r_dst", "exon", "l_begin", "r_end", "intron-retention")
 
 
@@ -125,26 +143,66 @@ def cryptic_exons(vertices: DataFrame, edges: DataFrame, new: DataFrame, sites:
     )
 
 
+def _prefix(arrays: pa.Array) -> tuple:
+    """(prefix sums of each list, where each list's begin, its size)."""
+    import numpy as np
+
+    flat = arrays.flatten().to_numpy(zero_copy_only=False)
+    size = arrays.value_lengths().fill_null(0).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.zeros(starts[-1])
+    for lo, n, at in zip((np.cumsum(size) - size).tolist(), size.tolist(), starts.tolist(), strict=False):
+        np.cumsum(flat[lo : lo + n], out=out[at + 1 : at + 1 + n])
+    return out, starts, size
+
+
 def prefix_tracks(df: DataFrame, key: str, values: str, track: str) -> DataFrame:
     """key and track: prefix sums of values (array<double>), one longer and 0 at first; a null array has none."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
-            arrays, flat = batch.column(1), batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            size = arrays.value_lengths().fill_null(0).to_numpy()
-            starts = np.concatenate([[0], np.cumsum(size + 1)])
-            out = np.zeros(starts[-1])
-            for lo, n, at in zip((np.cumsum(size) - size).tolist(), size.tolist(), starts.tolist(), strict=False):
-                np.cumsum(flat[lo : lo + n], out=out[at + 1 : at + 1 + n])
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out), mask=arrays.is_null())
+            out, starts, _ = _prefix(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out), mask=batch.column(1).is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, track])
 
     ship(df.sparkSession)
     return df.select(key, F.col(values).cast("array<double>")).mapInArrow(sums, f"{key} {df.schema[key].dataType.simpleString()}, {track} array<double>")
 
 
+def sums_by_graph(windows: DataFrame, sequences: DataFrame, key: str, begin: str, end: str, tracks: dict[str, Column]) -> DataFrame:
+    """key and rows: array of the structs of windows (every column but key) with, by name of the track, the sum over [begin, end).
+
+    tracks: array<double> of values by position, made from columns of sequences (a row a key). Windows meet their sequence
+    as one row, and tracks are made beside it, so that no track is ever shuffled or sorted. Null where a track doesn't reach.
+    """
+    fields = [c for c in windows.columns if c != key]
+    grouped = windows.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    wide = grouped.join(sequences, key).select(key, "rows", *[v.cast("array<double>").alias(t) for t, v in tracks.items()])
+    names = [*fields, *tracks]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            own, rows = batch.column(1), batch.column(1).flatten()
+            count = own.value_lengths().to_numpy()
+            graph = np.repeat(np.arange(len(count)), count)
+            b, e = (rows.field(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in (begin, end))
+            found = []
+            for k in range(len(names) - len(fields)):
+                out, starts, size = _prefix(batch.column(2 + k))
+                there = (b >= 0) & (e >= 0) & (b <= size[graph]) & (e <= size[graph]) & ~batch.column(2 + k).is_null().to_numpy(zero_copy_only=False)[graph]
+                at = lambda p: out[np.where(there, starts[graph] + p, 0)]  # noqa: B023, E731
+                found.append(pa.array(at(e) - at(b), mask=~there))
+            structs = pa.StructArray.from_arrays([*rows.flatten(), *found], names=names)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "rows"])
+
+    ship(windows.sparkSession)
+    kinds = ",".join([f"`{c}`:{windows.schema[c].dataType.simpleString()}" for c in fields] + [f"`{t}`:double" for t in tracks])
+    return wide.mapInArrow(sums, f"{key} {windows.schema[key].dataType.simpleString()}, rows array<struct<{kinds}>>")
+
+
 def interval_score(track: Column, begin: Column, end: Column) -> Column:
     """The sum over [begin, end) from prefix sums; null where the track doesn't reach."""
     at = lambda p: F.when(p >= 0, F.get(track, p))
@@ -171,9 +229,13 @@ class Regulation:
 
     sites: (key, kind, begin) candidates that score their cutoff. shift: how far an end may move; most: the longest cryptic
     exon; least_intron: the shortest intron; least_ratio: the least exon track sum of a cryptic exon.
+
+    values: ref and alt, values by position made from columns of tracks (a row a key), where positions don't differ; else tracks
+    holds prefix sums under these names.
     """
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame, variants: DataFrame, sites: DataFrame, tracks: DataFrame, key: str, shift: int, cigar: str | None = None):
+    def __init__(self, vertices: DataFrame, edges: DataFrame, variants: DataFrame, sites: DataFrame, tracks: DataFrame, key: str, shift: int, cigar: str | None = None, values: dict[str, Column] | None = None):
+        self.values = values
         self.vertices, self.edges, self.tracks, self.key, self.shift, self.cigar = vertices, edges, tracks, key, shift, cigar
         self.sites = _fresh(sites, vertices, key)
         self.variants = variants.select(key, F.col("vb").cast("int").alias("vb"), F.col("ve").cast("int").alias("ve")).distinct()
@@ -181,6 +243,9 @@ class Regulation:
 
     def _judged(self, windows: DataFrame, wb: Column, we: Column, keep: Column) -> DataFrame:
         framed = windows.withColumn("wb", wb).withColumn("we", we).filter("we > wb")
+        if self.values:
+            summed = sums_by_graph(framed, self.tracks, self.key, "wb", "we", self.values).select(self.key, F.inline("rows"))
+            return summed.withColumn("ratio", F.exp(F.col("alt") / (F.col("we") - F.col("wb")) - F.col("ref") / (F.col("we") - F.col("wb")))).drop("ref", "alt").filter(keep)
         return definition_change(framed, self.tracks, self.key, "wb", "we", self.cigar).filter(keep)
 
     def _inside(self) -> DataFrame:
@@ -255,7 +320,11 @@ class Regulation:
         side = lambda kind, p: self.sites.filter(c("kind") == kind).select(k, c("v").alias(p), c("begin").alias(f"{p}b"), c("end").alias(f"{p}e"))
         open_ = strong.join(side("AG", "a"), k).filter((c("ab") >= c("vb") - most) & (c("ab") < c("vb")))
         both = open_.join(side("GT", "d"), k).filter((c("db") >= c("ve")) & (c("db") < c("ve") + most) & (c("db") - c("ae") <= most) & (c("db") >= c("ae")))
-        scored = both.join(self.tracks.select(k, "alt"), k).filter(interval_score(c("alt"), c("ae"), c("db")) >= least_ratio)
+        if self.values:
+            found = sums_by_graph(both, self.tracks, k, "ae", "db", {"alt": self.values["alt"]}).select(k, F.inline("rows"))
+            scored = found.filter(c("alt") >= least_ratio)
+        else:
+            scored = both.join(self.tracks.select(k, "alt"), k).filter(interval_score(c("alt"), c("ae"), c("db")) >= least_ratio)
         exons = scored.select(k, "a", "ab", "ae", "d", "db", "de", "i_begin", "i_end").distinct()
         own = lambda kind, p: self.vertices.filter(c("kind") == kind).select(k, name(c("kind"), c("begin")).alias(p), c("begin").alias(f"{p}b"), c("end").alias(f"{p}e"))
         before = exons.join(own("GT", "g"), k).filter((c("ge") >= c("i_begin")) & (c("gb") <= c("i_end")) & (c("ab") - c("ge") >= least_intron))
@@ -278,10 +347,43 @@ def scored_edges(edges: DataFrame, tracks: DataFrame, key: str, scale: float = 1
     return summed.filter(possible & kept)
 
 
+def scored_graphs(edges: DataFrame, sequences: DataFrame, key: str, tracks: dict[str, Column], scale: float = 1.0, least_retention: float = -math.inf, least_cryptic: float = -math.inf) -> DataFrame:
+    """scored_edges as one row a transcript: key and edges, an array. tracks: by kind of edge its values by position, made from
+    columns of sequences (a row a key)."""
+    fields = [c for c in edges.columns if c != key]
+    framed = edges.withColumn("from", F.least(F.col("begin") + OFFSET, "end"))
+    names = {f"of_{kind}": values for kind, values in tracks.items()}
+    rows = sums_by_graph(framed, sequences, key, "from", "end", names)
+
+    def score(e: Column) -> Column:
+        own = F.when(~e["kind"].isin(*tracks), F.lit(0.0))
+        for kind in tracks:
+            own = own.when(e["kind"] == kind, e[f"of_{kind}"] * scale)
+        return own
+
+    def possible(e: Column) -> Column:
+        ok = (e["end"] > e["begin"]) & e["score"].isNotNull() & ~F.isnan(e["score"]) & (F.abs(e["score"]) < math.inf)
+        return ok & ~((e["change"] == "intron-retention") & (e["score"] < least_retention)) & ~((e["change"] == "cryptic-exon") & (e["score"] < least_cryptic))
+
+    scored = F.transform("rows", lambda e: F.struct(*[e[c].alias(c) for c in fields], score(e).alias("score")))
+    return rows.select(key, F.filter(scored, possible).alias("edges"))
+
+
 def _by_graph(edges: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("edges"))
 
 
+def _dicts(lists: pa.Array) -> Iterator[list[dict]]:
+    """The structs of each list, a column at a time."""
+    flat = lists.flatten()
+    names = [f.name for f in flat.type]
+    rows = [dict(zip(names, v, strict=True)) for v in zip(*[c.to_pylist() for c in flat.flatten()], strict=True)]
+    at = 0
+    for n in lists.value_lengths().to_pylist():
+        yield rows[at : at + n]
+        at += n
+
+
 def _order(edges: list[dict]) -> tuple[list[str], dict[str, list[dict]], dict[str, list[dict]]]:
     """(vertices in topological order, edges out, edges in); what only cycles lead to isn't reached."""
     out: dict[str, list[dict]] = {}
@@ -325,8 +427,8 @@ def _connected(edges: list[dict], source: str, sink: str) -> list[dict]:
     return [e for e in edges if e["src"] in both and e["dst"] in both]
 
 
-def pruned_edges(edges: DataFrame, key: str, source: str = "LT", sink: str = "RT") -> DataFrame:
-    """The edges of each transcript that lie on a path from a vertex of kind source to one of kind sink, of any length."""
+def _pruned_graphs(edges: DataFrame, key: str, source: str, sink: str) -> DataFrame:
+    """pruned_edges as one row a transcript: key and edges, an array."""
     ship(edges.sparkSession)
     columns = [c for c in edges.columns if c != key]
     graphs = _by_graph(edges, key, columns)
@@ -334,10 +436,15 @@ def pruned_edges(edges: DataFrame, key: str, source: str = "LT", sink: str = "RT
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_connected(e, source, sink) for e in batch.column(1).to_pylist()]
+            kept = [_connected(e, source, sink) for e in _dicts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, kind)], names=[key, "edges"])
 
-    return graphs.mapInArrow(prune, graphs.schema).select(key, F.inline("edges")).select(*edges.columns)
+    return graphs.mapInArrow(prune, graphs.schema)
+
+
+def pruned_edges(edges: DataFrame, key: str, source: str = "LT", sink: str = "RT") -> DataFrame:
+    """The edges of each transcript that lie on a path from a vertex of kind source to one of kind sink, of any length."""
+    return _pruned_graphs(edges, key, source, sink).select(key, F.inline("edges")).select(*edges.columns)
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -390,15 +497,19 @@ def best_paths(edges: DataFrame, key: str, n: int, phased: bool = False) -> Data
     advances the phase by its length, an intron carries it on, what is intergenic starts anew in phase 0, and start and stop
     codons, vertices of kind ATG and TAG, end exons in phase 0 alone. Scores that aren't finite make no path.
     """
-    ship(edges.sparkSession)
     columns = ["src", "dst", "kind", "begin", "end", "scores", "annotated"] if phased else ["src", "dst", "score", "annotated"]
-    graphs = _by_graph(edges, key, columns)
+    return best_paths_of(_by_graph(edges, key, columns), key, n, phased)
+
+
+def best_paths_of(graphs: DataFrame, key: str, n: int, phased: bool = False) -> DataFrame:
+    """best_paths of graphs that are a row each: key and edges, an array of structs."""
+    ship(graphs.sparkSession)
     kind = pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64()), ("rank", pa.int32()), ("annotated", pa.bool_()), ("phase", pa.int32())]))
     head = f"{key} {graphs.schema[key].dataType.simpleString()}"
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_best(e, n, phased) for e in batch.column(1).to_pylist()]
+            found = [_best(e, n, phased) for e in _dicts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, "paths"])
 
     out = graphs.mapInArrow(best, f"{head}, paths array<struct<path:string,score:double,rank:int,annotated:boolean,phase:int>>")
@@ -427,7 +538,8 @@ def structures(edges: DataFrame, broken: DataFrame, key: str, most: int) -> Data
     of them in the order of their paths' text. Edges that replace broken sites, skip exons or retain introns are in `edges`."""
     gone = broken.select(key, "v").distinct()
     whole = edges.join(gone.withColumnRenamed("v", "src"), [key, "src"], "left_anti").join(gone.withColumnRenamed("v", "dst"), [key, "dst"], "left_anti")
-    paths = best_paths(pruned_edges(whole.select(*edges.columns), key).withColumn("score", F.lit(0.0)), key, most)
+    lean = whole.select(key, "src", "dst", F.lit(0.0).alias("score"), "annotated")
+    paths = best_paths_of(_pruned_graphs(lean, key, "LT", "RT"), key, most)
     return paths.select(key, exons_of(F.col("path")).alias("exons")).distinct()
 
 

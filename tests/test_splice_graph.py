@@ -233,3 +233,24 @@ def test_structures_without_broken_sites(spark):
     assert got == {((100, 150), (500, 540)), ((100, 150), (300, 540))}
     assert sg.structures(edges, lost, "t", 100).count() == 0
     assert [tuple((e.begin, e.end) for e in r.exons) for r in sg.structures(edges, broken(spark, "GT@1"), "t", 100).collect()] == [((100, 150), (300, 360), (500, 540))]
+
+
+def test_edits_deal_lines_out_once(spark):
+    """Chains, broken sites and edits of a transcript stay where its lines were sent (they used to be shuffled for each join)."""
+    from strandline.plans import catalogue
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["p13_graph_edits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ENSURE_REQUIREMENTS" not in plan and "SortMergeJoin" not in plan
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_sums_by_graph(spark):
+    """Sums are those of each transcript's own track, null where it doesn't reach."""
+    windows = spark.createDataFrame([(1, "a", 0, 2), (1, "b", 1, 3), (1, "c", 2, 4), (2, "d", 0, 1), (2, "e", -1, 1), (3, "f", 0, 1)], "t long, w string, b int, e int")
+    tracks = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [8.0]), (3, None)], "t long, v array<double>")
+    got = sg.sums_by_graph(windows, tracks, "t", "b", "e", {"s": F.col("v")}).select(F.inline("rows"))
+    assert {r["w"]: r["s"] for r in got.collect()} == {"a": 3.0, "b": 6.0, "c": None, "d": 8.0, "e": None, "f": None}
