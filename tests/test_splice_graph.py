@@ -254,3 +254,8 @@ def test_sums_by_graph(spark):
     tracks = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [8.0]), (3, None)], "t long, v array<double>")
     got = sg.sums_by_graph(windows, tracks, "t", "b", "e", {"s": F.col("v")}).select(F.inline("rows"))
     assert {r["w"]: r["s"] for r in got.collect()} == {"a": 3.0, "b": 6.0, "c": None, "d": 8.0, "e": None, "f": None}
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sg, "PART_ROWS", 10)
+    assert sg.together(spark.range(1000).withColumnRenamed("id", "t"), "t").rdd.getNumPartitions() == 100
