@@ -17,14 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..functions.dealing import dealt
 from ..functions.shipping import ship
 from .scores import posterior
 from .splicing import QUEUE
 
 #: Bases of a splice site's consensus (fixed value).
 SITE = 2
-#: Rows of a part that transcripts are dealt out to.
-PART_ROWS = 1 << 17
 #: Bases on either side of a variant within which exon definition is compared (fixed value).
 AROUND = 5
 #: Likelihood ratios below and above which exon definition is weakened and strengthened (fixed values).
@@ -36,12 +35,9 @@ OFFSET = 6
 def together(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key once. What is grouped or joined by key and more then stays where it is: the setting lets joins use
     rows that are dealt out by some of their keys alone. The number of parts is given, since all later work is done on these
-    few bytes, and parts that are merged for their size would leave it to a few tasks. It grows with the rows, counted first
-    (from the footers, where df is a table's columns), so that a task's memory doesn't."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism, math.ceil(df.count() / PART_ROWS))
-    return df.repartition(parts, key)
+    few bytes, and parts that are merged for their size would leave it to a few tasks. It grows with the rows."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return dealt(df, key)
 
 
 def name(kind: Column, begin: Column) -> Column:

@@ -1,11 +1,14 @@
 """What only shows on larger tables: several parts a folder, files by region, rows dealt out before they unfold."""
 
+import math
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import training
+from strandline.functions import dealing
+from strandline.operators import annotations, intervals, models, signals, training
 from strandline.plans import training_queries
 from strandline.sources import genomic
 
@@ -46,3 +49,10 @@ def test_refinement_keeps_only_windows_with_the_consensus(spark):
     df = spark.createDataFrame([(1, "GGAATAAACCGGATTAAACCG"), (2, "AAAATAAACC"), (3, None), (4, "CC")], "id int, s string")
     got = [tuple(r) for r in training.allowed_windows(df, "id", "s", 10, 2, ["AATAAA", "ATTAAA"]).orderBy(F.col("pos")).collect()]
     assert got == [(1, 0, "GGAATAAACC"), (1, 10, "GGATTAAACC")]
+
+
+def test_pairs_a_step_apart_meet_on_the_value_and_keep_repeated_rows(spark):
+    rows = [(k, "x" if k % 3 else "y", k % 9) for k in range(60)] + [(1, "x", 1), (99, "x", None), (98, None, 3)]
+    got = intervals.step_join(spark.createDataFrame(rows, "id int, g string, v int"), ["g"], "v", 1, 5, "id")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and None not in (a[2], b[2]) and 1 <= b[2] - a[2] <= 5)
+    assert sorted((r.earlier, r.later) for r in got.collect()) == want
