@@ -56,3 +56,14 @@ def test_pairs_a_step_apart_meet_on_the_value_and_keep_repeated_rows(spark):
     got = intervals.step_join(spark.createDataFrame(rows, "id int, g string, v int"), ["g"], "v", 1, 5, "id")
     want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and None not in (a[2], b[2]) and 1 <= b[2] - a[2] <= 5)
     assert sorted((r.earlier, r.later) for r in got.collect()) == want
+
+
+def test_few_regions_go_to_the_points(spark):
+    points = spark.createDataFrame([(k, float(k % 7)) for k in range(50)], "id int, at double")
+    regions = spark.createDataFrame([("a", 0.0, 3.0), ("b", 2.0, 1e6)], "name string, lo double, hi double")
+    got = intervals.point_in_region(points, regions, "at", "lo", "hi", 2.0)
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.id, r.name) for r in got.collect()) == sorted((k, n) for k in range(50) for n, lo, hi in (("a", 0, 3), ("b", 2, 1e6)) if lo <= k % 7 < hi)
+    outside = intervals.point_in_region(points, regions.filter("name = 'a'"), "at", "lo", "hi", 2.0, how="left_anti")
+    assert sorted(r.id for r in outside.collect()) == [k for k in range(50) if k % 7 >= 3]
