@@ -108,12 +108,17 @@ def de_novo_sites(df: DataFrame, ident: str, ref: str, alt: str, cigar: str, var
     """
     width = sensor.width
     spans = F.transform(F.col(variants), lambda v: F.when(v["end"] > v["begin"] - width + 1, F.sequence(F.greatest(v["begin"] - width + 1, F.lit(0)), F.greatest(v["end"] - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")))
-    spots = df.select(ident, F.explode(F.array_distinct(F.flatten(spans))).alias("at"))
-    there = _windows(df, [ident], alt, width, ("at", "w")).join(spots, [ident, "at"]).filter(_consensus_at(F.col("w"), sensor))
-    segments = df.select(ident, F.inline(F.filter(sq.cigar_segments(F.col(cigar)), lambda s: s["op"] == "M")).alias("op", "n", "r", "a"))
-    placed = there.join(segments, ident, "left").groupBy(ident, "at", "w").agg(F.max(F.when((F.col("at") >= F.col("a")) & (F.col("at") < F.col("a") + F.col("n")), F.col("r") + F.col("at") - F.col("a"))).alias("ref_at"))
-    before = _windows(df, [ident], ref, width, ("ref_at", "v")).filter(_consensus_at(F.col("v"), sensor))
-    both = _with(placed.join(before, [ident, "ref_at"], "left"), matrix)
+    spots = F.array_distinct(F.flatten(spans))
+    rows = df.select(ident, spots.alias("spots"), F.array(F.struct(sq.kmers(F.upper(alt), width).alias("a"), sq.kmers(F.upper(ref), width).alias("r"), F.filter(sq.cigar_segments(F.col(cigar)), lambda s: s["op"] == "M").alias("m"))).alias("own"))
+
+    def site(own: Column, at: Column) -> Column:
+        beside = F.filter(own["m"], lambda s: (s["alt"] <= at) & (at < s["alt"] + s["n"]))
+        was = F.array_max(F.transform(beside, lambda s: s["ref"] + at - s["alt"]))
+        return F.struct(at.alias("at"), F.get(own["a"], at).alias("w"), F.get(own["r"], was).alias("v"))
+
+    # the lambda's variable holds a row's windows and segments, so that they are cut once; nothing leaves its row
+    cut = F.flatten(F.transform("own", lambda own: F.filter(F.transform("spots", lambda at: site(own, at)), lambda x: x["w"].isNotNull() & _consensus_at(x["w"], sensor))))
+    both = _with(rows.select(ident, F.inline(cut)).withColumn("v", F.when(_consensus_at(F.col("v"), sensor), F.col("v"))), matrix)
     both = both.select(ident, "at", "v", sq.weight_matrix_score(F.col("w"), F.col("matrix"), width).alias("score"), sq.weight_matrix_score(F.col("v"), F.col("matrix"), width).alias("was"))
     fresh = F.col("v").isNull() | F.col("was").isNull() | ((F.col("was") < sensor.cutoff) & (F.col("score") - F.col("was") >= F.ln(F.lit(2.0))))
     return both.filter((F.col("score") >= F.lit(sensor.cutoff) + F.ln(F.lit(2.0))) & fresh).select(ident, (F.col("at") + sensor.offset).alias("pos"), "score")

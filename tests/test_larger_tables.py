@@ -67,3 +67,13 @@ def test_few_regions_go_to_the_points(spark):
     assert sorted((r.id, r.name) for r in got.collect()) == sorted((k, n) for k in range(50) for n, lo, hi in (("a", 0, 3), ("b", 2, 1e6)) if lo <= k % 7 < hi)
     outside = intervals.point_in_region(points, regions.filter("name = 'a'"), "at", "lo", "hi", 2.0, how="left_anti")
     assert sorted(r.id for r in outside.collect()) == [k for k in range(50) if k % 7 >= 3]
+
+
+def test_new_sites_stay_in_their_row(spark):
+    sensor = signals.Sensor(width=4, offset=1, consensus=("GT",), cutoff=-5.0)
+    matrix = spark.createDataFrame([(p, c, -1.0) for p in range(4) for c in "ACGT"], "pos int, symbol string, log_p double")
+    row = (7, "ACCTACCTAA", "ACGTACGTAA", "10M", [(2, 3), (6, 7)])
+    df = spark.createDataFrame([row, row], "id int, ref string, alt string, cigar string, v array<struct<begin:int,end:int>>")
+    got = signals.de_novo_sites(df, "id", "ref", "alt", "cigar", "v", models.matrix_map(matrix), sensor)
+    assert sorted((r.id, r.pos, r.score) for r in got.collect()) == [(7, 2, -4.0), (7, 2, -4.0), (7, 6, -4.0), (7, 6, -4.0)]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
