@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..functions.dealing import dealt, parts_for
 
 
 def kmer_counts(df: DataFrame, seq: Column, k: int, by: list[str] | None = None) -> DataFrame:
@@ -53,17 +54,24 @@ def matrix_map(matrix: DataFrame) -> DataFrame:
 
 def backoff_score(df: DataFrame, ident: str, seq: Column, least: int) -> DataFrame:
     """Mean log probability of each character given the one before; pairs seen less than `least` times back off to the
-    character alone. Trained on the same sequences."""
-    chars = df.select(ident, F.posexplode(sq.kmers(seq, 1)).alias("pos", "c"), seq.alias("__s"))
-    pairs = chars.select(ident, "c", F.when(F.col("pos") > 0, F.substring("__s", F.col("pos"), F.lit(1))).alias("before"))
-    per = pairs.groupBy(ident, "before", "c").agg(F.count("*").alias("k"))
-    two = per.filter("before is not null").groupBy("before", "c").agg(F.sum("k").alias("n2"))
-    two = two.withColumn("p2", F.col("n2") / F.sum("n2").over(Window.partitionBy("before")))
-    one = per.groupBy("c").agg(F.sum("k").alias("n1"))
-    one = with_share(one, "n1", "p1").select("c", "p1")
-    scored = per.join(two, ["before", "c"], "left").join(one, "c")
-    p = F.when(F.col("n2") >= least, F.col("p2")).otherwise(F.col("p1"))
-    return scored.groupBy(ident).agg((F.sum(F.ln(p) * F.col("k")) / F.sum("k")).alias("score"))
+    character alone. Trained on the same sequences.
+
+    Pairs are counted within tasks first; the model, at most the alphabet's square, goes to the sequences as one row, so that
+    these are summed a row at a time and only their sums are dealt out by ident.
+    """
+    chars = df.select(ident, sq.kmers(seq, 1).alias("__c"))
+    pairs = F.transform("__c", lambda c, i: F.struct(F.when(i > 0, F.get("__c", i - 1)).alias("before"), c.alias("c")))
+    n = chars.select(F.inline(pairs)).groupBy("before", "c").agg(F.count("*").alias("n2"))
+    one = with_share(n.groupBy("c").agg(F.sum("n2").alias("n1")), "n1", "p1").select("c", "p1")
+    two = n.filter("before is not null").withColumn("p2", F.col("n2") / F.sum("n2").over(Window.partitionBy("before")))
+    ln_p = F.ln(F.when(F.col("n2") >= least, F.col("p2")).otherwise(F.col("p1")))
+    cells = two.join(one, "c").select("before", "c", ln_p.alias("p")).unionByName(one.select(F.lit("").alias("before"), "c", F.ln("p1").alias("p")))
+    entries = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    model = cells.groupBy("before").agg(entries("c", "p").alias("m")).agg(entries("before", "m").alias("model"))
+    cost = lambda c, i: F.try_element_at(F.try_element_at("model", F.when(i > 0, F.get("__c", i - 1)).otherwise("")), c)
+    summed = F.aggregate(F.transform("__c", cost), F.lit(0.0), lambda acc, v: acc + v)
+    rows = chars.filter(F.size("__c") > 0).crossJoin(F.broadcast(model)).select(ident, summed.alias("s"), F.size("__c").alias("k"))
+    return rows.repartition(parts_for(df), ident).groupBy(ident).agg((F.sum("s") / F.sum("k")).alias("score"))
 
 
 def with_share(df: DataFrame, n: str, name: str) -> DataFrame:

@@ -77,3 +77,14 @@ def test_new_sites_stay_in_their_row(spark):
     got = signals.de_novo_sites(df, "id", "ref", "alt", "cigar", "v", models.matrix_map(matrix), sensor)
     assert sorted((r.id, r.pos, r.score) for r in got.collect()) == [(7, 2, -4.0), (7, 2, -4.0), (7, 6, -4.0), (7, 6, -4.0)]
     assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_sequences_are_scored_a_row_at_a_time(spark):
+    df = spark.createDataFrame([(1, "ABAB"), (2, "BBA"), (1, "C"), (3, ""), (4, None)], "id int, s string")
+    got = models.backoff_score(df, "id", F.col("s"), 2)
+    one = {"A": 3 / 8, "B": 4 / 8, "C": 1 / 8}
+    two = {("A", "B"): 1.0, ("B", "A"): 2 / 3}  # the pairs seen twice
+    cost = lambda s: [math.log(two.get((b, c), one[c])) for b, c in zip(" " + s, s, strict=False)]
+    scores = {1: cost("ABAB") + cost("C"), 2: cost("BBA")}
+    assert {r.id: round(r.score, 9) for r in got.collect()} == {k: round(sum(v) / len(v), 9) for k, v in scores.items()}
+    assert not re.search(r"hashpartitioning\(id#\d+L?, before", got._jdf.queryExecution().toString())
