@@ -14,11 +14,20 @@ def kmer_counts(df: DataFrame, seq: Column, k: int, by: list[str] | None = None)
     return df.select(*by, F.explode(sq.kmers(seq, k)).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
 
 
+#: k-mers with a weight up to which they are sent to the sequences, instead of every k-mer of these to its weight.
+SENT_KMERS = 1 << 18
+
+
 def mean_kmer_weight(df: DataFrame, ident: str, seq: Column, k: int, weights: DataFrame) -> DataFrame:
-    """Mean weight of a sequence's k-mers but for the last one: the sum over L - k of them."""
-    found = df.select(ident, F.explode(F.slice(sq.kmers(seq, k), 1, F.greatest(F.length(seq) - k, F.lit(0)))).alias("kmer"))
-    per = found.groupBy(ident, "kmer").agg(F.count("*").alias("n")).join(weights, "kmer", "left")
-    return per.groupBy(ident).agg((F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean_weight"))
+    """Mean weight of a sequence's k-mers but for the last one: the sum over L - k of them.
+
+    Sequences are dealt out by ident before they unfold, so that their k-mers are summed where they are cut.
+    """
+    rows = dealt(df.select(ident, seq.alias("__s")), ident)
+    found = rows.select(ident, F.explode(F.slice(sq.kmers(F.col("__s"), k), 1, F.greatest(F.length("__s") - k, F.lit(0)))).alias("kmer"))
+    few = weights.count() <= SENT_KMERS
+    per = found.join(F.broadcast(weights) if few else weights, "kmer", "left")
+    return per.groupBy(ident).agg((F.sum(F.coalesce("weight", F.lit(0.0))) / F.count("*")).alias("mean_weight"))
 
 
 def entropy_by_order(df: DataFrame, ident: list[str], seq: Column, order: int) -> DataFrame:

@@ -88,3 +88,11 @@ def test_sequences_are_scored_a_row_at_a_time(spark):
     scores = {1: cost("ABAB") + cost("C"), 2: cost("BBA")}
     assert {r.id: round(r.score, 9) for r in got.collect()} == {k: round(sum(v) / len(v), 9) for k, v in scores.items()}
     assert not re.search(r"hashpartitioning\(id#\d+L?, before", got._jdf.queryExecution().toString())
+
+
+def test_words_are_weighed_where_they_are_cut(spark):
+    weights = spark.createDataFrame([("AB", 1.0), ("BC", 4.0)], "kmer string, weight double")
+    got = models.mean_kmer_weight(spark.createDataFrame([(1, "ABCD"), (2, "ABAB"), (1, "ABC"), (3, "AB")], "id int, s string"), "id", F.col("s"), 2, weights)
+    assert {r.id: r.mean_weight for r in got.collect()} == {1: 2.0, 2: 0.5}
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
