@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..functions.dealing import dealt
 
 
 def of_biotypes(features: DataFrame, biotype: str, feature: str, kept: list[str], coding: str) -> DataFrame:
@@ -46,13 +47,15 @@ def differing_runs(df: DataFrame, ident: str, a: str, b: str) -> DataFrame:
 
 def tile(parts: DataFrame, by: str, begin: str, end: str) -> DataFrame:
     """(by, kind, begin, end): the parts of each transcript by ordinal (single, initial, internal, final) and the introns
-    between them, one contiguous row of regions."""
+    between them, one contiguous row of regions. Transcripts are dealt out once and sorted once."""
     order = Window.partitionBy(by).orderBy(begin, end)
-    numbered = parts.select(by, begin, end, F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"), F.lead(begin).over(order).alias("next"))
-    kind = F.when(F.col("n") == 1, "single-exon").when(F.col("i") == 1, "initial-exon").when(F.col("i") == F.col("n"), "final-exon").otherwise("internal-exon")
-    exons = numbered.select(by, kind.alias("kind"), F.col(begin).alias("begin"), F.col(end).alias("end"))
-    introns = numbered.filter(F.col("next") > F.col(end)).select(by, F.lit("intron").alias("kind"), F.col(end).alias("begin"), F.col("next").alias("end"))
-    return exons.unionByName(introns)
+    lines = dealt(parts.select(by, begin, end), by)
+    numbered = lines.select(by, begin, end, F.lag(F.lit(1)).over(order).alias("before"), F.lead(F.lit(1)).over(order).alias("after"), F.lead(begin).over(order).alias("next"))
+    first, last = F.col("before").isNull(), F.col("after").isNull()
+    kind = F.when(first & last, "single-exon").when(first, "initial-exon").when(last, "final-exon").otherwise("internal-exon")
+    exon = F.struct(kind.alias("kind"), F.col(begin).alias("begin"), F.col(end).alias("end"))
+    intron = F.when(F.col("next") > F.col(end), F.struct(F.lit("intron").alias("kind"), F.col(end).alias("begin"), F.col("next").alias("end")))
+    return numbered.select(by, F.inline(F.array_compact(F.array(exon, intron))))
 
 
 #: Length of a start or stop codon and of a splice site's consensus (fixed values).

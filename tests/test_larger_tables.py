@@ -96,3 +96,13 @@ def test_words_are_weighed_where_they_are_cut(spark):
     assert {r.id: r.mean_weight for r in got.collect()} == {1: 2.0, 2: 0.5}
     plan = got._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_transcripts_are_tiled_in_parts_that_follow_their_lines(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "PART_ROWS", 5)
+    rows = [(t, 100 * i, 100 * i + 40 + 60 * (i % 2)) for t in range(100) for i in range(1 + t % 4)]
+    tiled = annotations.tile(spark.createDataFrame(rows, "t int, lo int, hi int"), "t", "lo", "hi")
+    assert tiled.rdd.getNumPartitions() == len(rows) // 5
+    got = sorted(tuple(r)[1:] for r in tiled.filter("t = 3").collect())
+    assert got == sorted([("initial-exon", 0, 40), ("intron", 40, 100), ("internal-exon", 100, 200), ("internal-exon", 200, 240), ("intron", 240, 300), ("final-exon", 300, 400)])
+    assert [tuple(r)[1:] for r in tiled.filter("t = 4").collect()] == [("single-exon", 0, 40)]
