@@ -1,6 +1,7 @@
 """What only shows on larger tables: several parts a folder, files by region, rows dealt out before they unfold."""
 
 import math
+import random
 import re
 from pathlib import Path
 
@@ -106,3 +107,23 @@ def test_transcripts_are_tiled_in_parts_that_follow_their_lines(spark, monkeypat
     got = sorted(tuple(r)[1:] for r in tiled.filter("t = 3").collect())
     assert got == sorted([("initial-exon", 0, 40), ("intron", 40, 100), ("internal-exon", 100, 200), ("internal-exon", 200, 240), ("intron", 240, 300), ("final-exon", 300, 400)])
     assert [tuple(r)[1:] for r in tiled.filter("t = 4").collect()] == [("single-exon", 0, 40)]
+
+
+def test_sequences_are_cut_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BLOCK_PIECES", 3)
+    rng = random.Random(5)
+    lengths = [("a", 400), ("b", 61), ("none", 100), ("short", 3), ("all", 90), ("zero", 0)]
+    masked = [(c, b, b + rng.choice([0, 1, 3, 9])) for c, n in lengths[:2] for b in rng.sample(range(n + 9), n // 4)] + [("a", 200, 275), ("all", 0, 200), ("short", 1, 9), ("gone", 1, 5)]
+    want = []
+    for c, n in lengths:
+        held = {p for k, b, e in masked if k == c for p in range(b, e)}
+        at = 0
+        while at < n:
+            then = at + 5
+            while then in held and then < n:
+                then += 1
+            want.append((c, at, min(then, n)))
+            at = min(then, n)
+    got = intervals.segments(spark.createDataFrame(masked, "c string, b long, e long"), spark.createDataFrame(lengths, "c string, n long"), "c", "b", "e", "n", 5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got.rdd.getNumPartitions() > len(lengths)
