@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..functions.dealing import dealt
+from ..functions.dealing import PART_ROWS, dealt
 from ..functions.shipping import ship
 from .scores import posterior
 from .splicing import QUEUE
@@ -37,7 +38,7 @@ def together(df: DataFrame, key: str) -> DataFrame:
     rows that are dealt out by some of their keys alone. The number of parts is given, since all later work is done on these
     few bytes, and parts that are merged for their size would leave it to a few tasks. It grows with the rows."""
     df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return dealt(df, key)
+    return dealt(df, key, rows=PART_ROWS)
 
 
 def name(kind: Column, begin: Column) -> Column:
@@ -74,10 +75,6 @@ def _made(df: DataFrame, key: str, src: str, dst: str, kind: str, begin: str, en
     return out.distinct().select("*", F.lit(change).alias("change"), F.lit(False).alias("annotated"))
 
 
-def _named(edges: DataFrame, key: str, prefix: str, where: str) -> DataFrame:
-    return edges.filter(where).select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("src", "dst", "begin", "end")])
-
-
 def _around(edges: DataFrame, broken: DataFrame, key: str, middle: str, outer: str) -> DataFrame:
     """Annotated `middle` edges with a broken vertex at an end, and their neighbours of kind `outer`: columns l_, m_, r_ of three
     edges in a row, of which the one beyond the broken vertex is annotated too and the other one any.
@@ -110,17 +107,48 @@ def retention_edges(edges: DataFrame, broken: DataFrame, key: str, most: int) ->
     return _made(across, key, "l_src", "r_dst", "exon", "l_begin", "r_end", "intron-retention")
 
 
-def _bridge(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _overlap(v: Column, x: Column) -> Column:
+    return (v["vb"] < x["end"]) & (v["ve"] > x["begin"])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body (an array) of a value that is worked out once: a lambda's variable holds it."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def _each(rows: Column, body: Callable[[Column], Column]) -> Column:
+    """The elements of body's arrays, by element of rows."""
+    return F.flatten(F.transform(rows, body))
+
+
+def _edge(src: Column, dst: Column, kind: str | Column, begin: Column, end: Column, change: str, side: str = "") -> Column:
+    named = {"src": src, "dst": dst, "kind": F.lit(kind) if isinstance(kind, str) else kind, "begin": begin, "end": end, "change": F.lit(change), "side": F.lit(side)}
+    return F.struct(*[v.alias(c) for c, v in named.items()])
+
+
+def _new_edges(graphs: DataFrame, key: str, made: Column) -> DataFrame:
+    """The edges of made (array of _edge) by transcript, each once a side; one that would run backwards is none. Outer, since
+    Spark would else work out every array twice, once to see whether it is empty."""
+    flat = graphs.select(key, F.inline_outer(made)).filter(F.col("begin") <= F.col("end"))
+    return flat.distinct().drop("side").select("*", F.lit(False).alias("annotated"))
 
 
-def _fresh(sites: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
-    """Sites (key, kind, begin) that aren't vertices yet, named v, with their end."""
-    new = sites.select(key, "kind", F.col("begin").cast("int").alias("begin")).distinct().join(vertices.select(key, "kind", "begin"), [key, "kind", "begin"], "left_anti")
-    return new.select(key, "kind", "begin", (F.col("begin") + SITE).alias("end"), name(F.col("kind"), F.col("begin")).alias("v"))
+def graph_rows(key: str, edges: DataFrame, vertices: DataFrame, sites: DataFrame, **more: DataFrame) -> DataFrame:
+    """One row a transcript: its edges and vertices, sites that aren't vertices yet (each once, named v, with their end), and by
+    name the rows of more, in arrays of structs of all their columns but key, each once.
+
+    All meet by one grouping, so that nothing is joined or sorted again for what is looked up along a transcript. Sites are
+    held against vertices one by one: a transcript costs their product.
+    """
+    of = lambda df, *columns: df.select(key, F.struct(*columns).alias("one"))
+    parts = {"edges": of(edges, "src", "dst", "kind", "begin", "end", "annotated"), "vertices": of(vertices, "kind", "begin", "end"), "sites": of(sites, "kind", F.col("begin").cast("int").alias("begin"))}
+    parts |= {n: of(df, *[c for c in df.columns if c != key]) for n, df in more.items()}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumnRenamed("one", n) for n, df in parts.items()])
+    lists = [(F.collect_list if n in ("edges", "vertices") else F.collect_set)(n).alias(n) for n in parts]
+    graphs = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*lists)
+    fresh = F.filter("sites", lambda s: ~F.exists("vertices", lambda v: (v["kind"] == s["kind"]) & (v["begin"] == s["begin"])))
+    named = F.transform(fresh, lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), (s["begin"] + SITE).alias("end"), name(s["kind"], s["begin"]).alias("v")))
+    return graphs.withColumn("sites", named)
 
 
 def cryptic_exons(vertices: DataFrame, edges: DataFrame, new: DataFrame, sites: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -130,17 +158,29 @@ def cryptic_exons(vertices: DataFrame, edges: DataFrame, new: DataFrame, sites:
     wholly within `most` bases of the new site. The mate is joined to the new site by the exon, and to the annotated site of the
     intron's far side by an intron. Sites that are vertices already are no mates. new, sites: key, kind, begin.
     """
-    intron = edges.filter("annotated and kind = 'intron'").select(key, F.col("src").alias("left"), F.col("dst").alias("right"), F.col("begin").alias("lo"), F.col("end").alias("hi"))
-    placed = new.select(key, "kind", F.col("begin").cast("int").alias("b")).distinct().join(intron, key).filter("b >= lo and b + 2 <= hi")
-    own = placed.select("*", name(F.col("kind"), F.col("b")).alias("site"), (F.col("b") + SITE).alias("e"))
-    mates = _fresh(sites, vertices, key)
-    before = own.filter("kind = 'GT'").drop("kind").join(mates.filter("kind = 'AG'").drop("kind"), key).filter((F.col("begin") >= F.greatest("lo", F.col("b") - most)) & (F.col("end") <= F.col("b")))
-    after = own.filter("kind = 'AG'").drop("kind").join(mates.filter("kind = 'GT'").drop("kind"), key).filter((F.col("begin") >= F.col("e")) & (F.col("end") <= F.least("hi", F.col("e") + most)))
-    found = before.select(key, F.lit("AG").alias("kind"), "begin", "end").unionByName(after.select(key, F.lit("GT").alias("kind"), "begin", "end")).distinct()
-    return found, _bridge(
-        _made(before, key, "v", "site", "exon", "end", "b", "cryptic-exon"), _made(before, key, "left", "v", "intron", "lo", "begin", ""),
-        _made(after, key, "site", "v", "exon", "e", "begin", "cryptic-exon"), _made(after, key, "v", "right", "intron", "end", "hi", ""),
-    )
+    graphs = graph_rows(key, edges, vertices, sites, new=new.select(key, "kind", F.col("begin").cast("int").alias("begin")))
+
+
+    def met(g: Column, side: str, build: Callable[[Column, Column, Column], Column]) -> Column:
+        """build of the new site, its intron and its mate, for all that meet; side: kind of the new site."""
+        end = lambda n: n["begin"] + SITE
+        near = {
+            "GT": lambda n, i, m: (m["kind"] == "AG") & (m["begin"] >= F.greatest(i["begin"], n["begin"] - most)) & (m["end"] <= n["begin"]),
+            "AG": lambda n, i, m: (m["kind"] == "GT") & (m["begin"] >= end(n)) & (m["end"] <= F.least(i["end"], end(n) + most)),
+        }[side]
+        inside = lambda n: F.filter(g["edges"], lambda i: i["annotated"] & (i["kind"] == "intron") & (n["begin"] >= i["begin"]) & (end(n) <= i["end"]))
+        own = F.filter(g["new"], lambda n: n["kind"] == side)
+        return _each(own, lambda n: _each(inside(n), lambda i: _each(F.filter(g["sites"], lambda m: near(n, i, m)), lambda m: build(n, i, m))))
+
+    site = lambda n: name(n["kind"], n["begin"])
+    mate = lambda n, i, m: F.array(F.struct(m["kind"].alias("kind"), m["begin"].alias("begin"), m["end"].alias("end")))
+    before = lambda g: met(g, "GT", lambda n, i, m: F.array(
+        _edge(m["v"], site(n), "exon", m["end"], n["begin"], "cryptic-exon", "before"), _edge(i["src"], m["v"], "intron", i["begin"], m["begin"], "", "before")))
+    after = lambda g: met(g, "AG", lambda n, i, m: F.array(
+        _edge(site(n), m["v"], "exon", n["begin"] + SITE, m["begin"], "cryptic-exon", "after"), _edge(m["v"], i["dst"], "intron", m["end"], i["end"], "", "after")))
+    row = F.struct("edges", "sites", "new")
+    found = graphs.select(key, F.inline_outer(_let(row, lambda g: F.array_distinct(F.concat(met(g, "GT", mate), met(g, "AG", mate))))))
+    return found.filter("begin is not null"), _new_edges(graphs, key, _let(row, lambda g: F.concat(before(g), after(g))))
 
 
 def _prefix(arrays: pa.Array) -> tuple:
@@ -231,79 +271,119 @@ class Regulation:
     exon; least_intron: the shortest intron; least_ratio: the least exon track sum of a cryptic exon.
 
     values: ref and alt, values by position made from columns of tracks (a row a key), where positions don't differ; else tracks
-    holds prefix sums under these names.
+    holds prefix sums under these names. Windows are as short as a variant or a cryptic exon, so values are summed as they are.
+    A transcript is one row (graph_rows), in which all of an edit is looked up; only new edges leave it.
     """
 
     def __init__(self, vertices: DataFrame, edges: DataFrame, variants: DataFrame, sites: DataFrame, tracks: DataFrame, key: str, shift: int, cigar: str | None = None, values: dict[str, Column] | None = None):
-        self.values = values
-        self.vertices, self.edges, self.tracks, self.key, self.shift, self.cigar = vertices, edges, tracks, key, shift, cigar
-        self.sites = _fresh(sites, vertices, key)
-        self.variants = variants.select(key, F.col("vb").cast("int").alias("vb"), F.col("ve").cast("int").alias("ve")).distinct()
-        self.exons = _named(edges, key, "x", "annotated and kind = 'exon'")
-
-    def _judged(self, windows: DataFrame, wb: Column, we: Column, keep: Column) -> DataFrame:
-        framed = windows.withColumn("wb", wb).withColumn("we", we).filter("we > wb")
-        if self.values:
-            summed = sums_by_graph(framed, self.tracks, self.key, "wb", "we", self.values).select(self.key, F.inline("rows"))
-            return summed.withColumn("ratio", F.exp(F.col("alt") / (F.col("we") - F.col("wb")) - F.col("ref") / (F.col("we") - F.col("wb")))).drop("ref", "alt").filter(keep)
-        return definition_change(framed, self.tracks, self.key, "wb", "we", self.cigar).filter(keep)
-
-    def _inside(self) -> DataFrame:
-        """Variants that weaken the exon they overlap, measured inside it."""
-        met = self.variants.join(self.exons, self.key).filter("vb < x_end and ve > x_begin")
-        return self._judged(met, F.greatest(F.col("vb") - AROUND, "x_begin"), F.least(F.col("ve") + AROUND, "x_end"), F.col("ratio") < WEAKER)
-
-    def _outside(self) -> DataFrame:
+        self.key, self.shift = key, shift
+        variants = variants.select(key, F.col("vb").cast("int").alias("vb"), F.col("ve").cast("int").alias("ve"))
+        graphs = graph_rows(key, edges, vertices, sites, variants=variants, tracks=tracks)
+        fields = [c for c in tracks.columns if c != key]
+        # a transcript without tracks has no change of exon definition
+        self.graphs = graphs.select(*[c for c in graphs.columns if c != "tracks"], F.inline("tracks").alias(*fields))
+        self.values, self.cigar = values, cigar
+
+    def _built(self, body: Callable[[Column], Column]) -> DataFrame:
+        """The edges that body makes of a graph, a struct of a row's arrays."""
+        annotated = lambda kind: F.filter("edges", lambda e: e["annotated"] & (e["kind"] == kind)).alias(f"{kind}s")
+        graph = F.struct("edges", "vertices", "sites", "variants", annotated("exon"), annotated("intron"))
+        return _new_edges(self.graphs, self.key, _let(graph, body))
+
+    def _judged(self, met: Column, window: Callable[[Column], tuple[Column, Column]], keep: Callable[[Column], Column], then: Callable[[Column, Column], Column]) -> Column:
+        """then of the tracks and of the elements of met whose ratio in their window is one to keep. Tracks are only made where
+        something is met."""
+        kept = lambda t, c: F.filter(c, lambda m: keep(self._ratio(t, *window(m))))
+        return _let(met, lambda c: F.when(F.size(c) > 0, _let(self._tracks(), lambda t: then(t, kept(t, c)))))
+
+    def _tracks(self) -> Column:
+        made = self.values or {c: F.col(c) for c in ("ref", "alt")}
+        columns = [made[c].cast("array<double>").alias(c) for c in ("ref", "alt")]
+        if self.cigar:
+            turned = F.transform(sq.cigar_segments(F.col(self.cigar)), lambda s: F.struct(s["op"].alias("op"), s["n"].alias("n"), s["alt"].alias("ref"), s["ref"].alias("alt")))
+            columns.append(turned.alias("turned"))
+        return F.struct(*columns)
+
+    def _sum(self, track: Column, begin: Column, end: Column) -> Column:
+        """The track's sum over [begin, end); null where it doesn't reach."""
+        if not self.values:
+            return interval_score(track, begin, end)
+        there = (begin >= 0) & (begin <= end) & (end <= F.size(track))
+        return F.when(there, F.aggregate(F.slice(track, begin + 1, end - begin), F.lit(0.0), lambda a, v: a + v))
+
+    def _ratio(self, t: Column, begin: Column, end: Column) -> Column:
+        """Exon definition per base in the altered sequence over that in the reference."""
+        rb, re = (sq.map_position(t["turned"], p) for p in (begin, end)) if self.cigar else (begin, end)
+        change = self._sum(t["alt"], begin, end) / F.nullif(end - begin, F.lit(0)) - self._sum(t["ref"], rb, re) / F.nullif(re - rb, F.lit(0))
+        return F.when(end > begin, F.exp(change))
+
+    def _inside(self, g: Column, only: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
+        """then of the variants v and the exons x that they overlap and weaken, measured inside them."""
+        met = _each(g["variants"], lambda v: F.transform(F.filter(g["exons"], lambda x: _overlap(v, x) & only(v, x)), lambda x: F.struct(v.alias("v"), x.alias("x"))))
+        window = lambda m: (F.greatest(m["v"]["vb"] - AROUND, m["x"]["begin"]), F.least(m["v"]["ve"] + AROUND, m["x"]["end"]))
+        return self._judged(met, window, lambda ratio: ratio < WEAKER, lambda t, kept: then(kept))
+
+    def _outside(self, g: Column) -> Column:
         """Variants that overlap no annotated exon."""
-        met = self.variants.join(self.exons, self.key).filter("vb < x_end and ve > x_begin").select(self.key, "vb", "ve")
-        return self.variants.join(met, [self.key, "vb", "ve"], "left_anti")
+        return F.filter(g["variants"], lambda v: ~F.exists(g["exons"], lambda x: _overlap(v, x)))
 
     def weakened(self) -> DataFrame:
         """Introns that skip a weakened exon between two splice sites: from every donor back to the annotated one before it, to
         every acceptor up to the annotated one after. A variant counts for the first exon it overlaps."""
-        k = self.key
-        hit = self._inside()
-        owner = self.variants.join(self.exons, k).filter("vb < x_end and ve > x_begin").groupBy(k, "vb", "ve").agg(F.min("x_begin").alias("x_begin"))
-        weak = hit.join(owner, [k, "vb", "ve", "x_begin"], "left_semi").select(k, "x_src", "x_dst", "x_begin", "x_end").distinct()
-        into, out = _named(self.edges, k, "l", "annotated and kind = 'intron'"), _named(self.edges, k, "r", "annotated and kind = 'intron'")
-        framed = weak.join(into.withColumnRenamed("l_dst", "x_src"), [k, "x_src"]).join(out.withColumnRenamed("r_src", "x_dst"), [k, "x_dst"])
-        side = lambda kind, p: self.vertices.filter(F.col("kind") == kind).select(k, F.col("begin").alias(f"{p}b"), F.col("end").alias(f"{p}e"), name(F.col("kind"), F.col("begin")).alias(p))
-        donors = framed.join(side("GT", "d"), k).filter("de >= l_begin and de <= x_begin")
-        return _made(donors.join(side("AG", "a"), k).filter("ab >= x_end and ab <= r_end"), k, "d", "a", "intron", "de", "ab", "exon-skipping")
-
-    def _moved(self, hits: DataFrame, left: bool) -> DataFrame:
-        """Edges that give an exon's left (or right) end another site: those of the old end, from or to the new one."""
-        k, end = self.key, "x_src" if left else "x_dst"
-        shifted = hits.select(k, F.col(end).alias("old"), "v", F.col("begin").alias("nb"), F.col("end").alias("ne")).distinct()
-        ways_out = shifted.join(self.edges.select(k, F.col("src").alias("old"), "dst", F.col("end").alias("to"), "kind"), [k, "old"]).filter("ne < to")
-        ways_in = shifted.join(self.edges.select(k, F.col("dst").alias("old"), "src", F.col("begin").alias("from"), "kind"), [k, "old"]).filter("from < nb")
-        parts = [_made(ways_out.filter(F.col("kind") == c), k, "v", "dst", c, "ne", "to", "regulatory") for c in ("exon", "intron")]
-        return _bridge(*parts, *[_made(ways_in.filter(F.col("kind") == c), k, "src", "v", c, "from", "nb", "regulatory") for c in ("exon", "intron")])
-
-    def _near(self, hits: DataFrame, kind: str, lo: Column, hi: Column) -> DataFrame:
-        return hits.join(self.sites.filter(F.col("kind") == kind).drop("kind"), self.key).filter((F.col("begin") >= lo) & (F.col("begin") < hi))
+        donors = lambda g, i, x: F.filter(g["vertices"], lambda d: (d["kind"] == "GT") & (d["end"] >= i["begin"]) & (d["end"] <= x["begin"]))
+        acceptors = lambda g, i, x: F.filter(g["vertices"], lambda a: (a["kind"] == "AG") & (a["begin"] >= x["end"]) & (a["begin"] <= i["end"]))
+        across = lambda d, a: _edge(name(d["kind"], d["begin"]), name(a["kind"], a["begin"]), "intron", d["end"], a["begin"], "exon-skipping")
+        first = lambda g, v, x: ~F.exists(g["exons"], lambda y: _overlap(v, y) & (y["begin"] < x["begin"]))
+
+        def skips(g: Column, x: Column) -> Column:
+            into, out = F.filter(g["introns"], lambda i: i["dst"] == x["src"]), F.filter(g["introns"], lambda i: i["src"] == x["dst"])
+            return _each(into, lambda i: _each(out, lambda o: _each(donors(g, i, x), lambda d: F.transform(acceptors(g, o, x), lambda a: across(d, a)))))
+
+        weak = lambda kept: F.array_distinct(F.transform(kept, lambda m: m["x"]))
+        return self._built(lambda g: self._inside(g, lambda v, x: first(g, v, x), lambda kept: _each(weak(kept), lambda x: skips(g, x))))
+
+    def _moved(self, g: Column, old: Column, to: Column) -> Column:
+        """Edges that give an exon's end another site: those of the old end, from or to the new one."""
+        kinds = lambda e: e["kind"].isin("exon", "intron")
+        out = F.filter(g["edges"], lambda e: kinds(e) & (e["src"] == old) & (to["end"] < e["end"]))
+        into = F.filter(g["edges"], lambda e: kinds(e) & (e["dst"] == old) & (e["begin"] < to["begin"]))
+        return F.concat(
+            F.transform(out, lambda e: _edge(to["v"], e["dst"], e["kind"], to["end"], e["end"], "regulatory")), F.transform(into, lambda e: _edge(e["src"], to["v"], e["kind"], e["begin"], to["begin"], "regulatory"))
+        )
+
+    def _near(self, g: Column, kind: str, lo: Column, hi: Column) -> Column:
+        return F.filter(g["sites"], lambda s: (s["kind"] == kind) & (s["begin"] >= lo) & (s["begin"] < hi))
 
     def shortened(self) -> DataFrame:
         """A variant near an exon's end (the right one if as near) that weakens it: the end moves to a site inside the exon,
         between it and the variant's far side."""
-        c = F.col
-        to_right, to_left = c("x_end") - c("vb"), c("ve") - c("x_begin")
-        close = self._inside().filter(F.least(to_right, to_left) <= self.shift)
-        right = self._near(close.filter(to_right <= to_left), "GT", c("x_end") - self.shift, c("vb"))
-        left = self._near(close.filter(to_right > to_left), "AG", c("ve"), c("x_begin") + self.shift)
-        return _bridge(self._moved(right, False), self._moved(left, True)).distinct()
+        to_right, to_left = lambda v, x: x["end"] - v["vb"], lambda v, x: v["ve"] - x["begin"]
+
+        def moved(g: Column, v: Column, x: Column) -> Column:
+            right = _each(self._near(g, "GT", x["end"] - self.shift, v["vb"]), lambda s: self._moved(g, x["dst"], s))
+            left = _each(self._near(g, "AG", v["ve"], x["begin"] + self.shift), lambda s: self._moved(g, x["src"], s))
+            return F.when(to_right(v, x) <= to_left(v, x), right).otherwise(left)
+
+        close = lambda v, x: F.least(to_right(v, x), to_left(v, x)) <= self.shift
+        return self._built(lambda g: self._inside(g, close, lambda kept: _each(kept, lambda m: moved(g, m["v"], m["x"]))))
 
     def extended(self) -> DataFrame:
         """A variant beside an exon that strengthens what lies there: the end moves out to a site beyond the variant."""
-        c = F.col
-        met = self._outside().join(self.exons, self.key).withColumn("before", c("ve") <= c("x_begin"))
-        met = met.filter(F.when(c("before"), c("x_begin") - c("ve")).otherwise(c("vb") - c("x_end")) <= self.shift)
-        wb = F.when(c("before"), c("vb") - AROUND).otherwise(F.greatest(c("vb") - AROUND, "x_end"))
-        we = F.when(c("before"), F.least(c("ve") + AROUND, "x_begin")).otherwise(c("ve") + AROUND)
-        strong = self._judged(met, wb, we, c("ratio") > STRONGER)
-        left = self._near(strong.filter("before"), "AG", c("x_begin") - self.shift, c("vb"))
-        right = self._near(strong.filter(~c("before")), "GT", c("ve"), c("x_end") + self.shift)
-        return _bridge(self._moved(left, True), self._moved(right, False)).distinct()
+        before = lambda v, x: v["ve"] <= x["begin"]
+        near = lambda v, x: F.when(before(v, x), x["begin"] - v["ve"]).otherwise(v["vb"] - x["end"]) <= self.shift
+
+        def window(m: Column) -> tuple[Column, Column]:
+            v, x = m["v"], m["x"]
+            begin = F.when(before(v, x), v["vb"] - AROUND).otherwise(F.greatest(v["vb"] - AROUND, x["end"]))
+            return begin, F.when(before(v, x), F.least(v["ve"] + AROUND, x["begin"])).otherwise(v["ve"] + AROUND)
+
+        def moved(g: Column, v: Column, x: Column) -> Column:
+            left = _each(self._near(g, "AG", x["begin"] - self.shift, v["vb"]), lambda s: self._moved(g, x["src"], s))
+            right = _each(self._near(g, "GT", v["ve"], x["end"] + self.shift), lambda s: self._moved(g, x["dst"], s))
+            return F.when(before(v, x), left).otherwise(right)
+
+        met = lambda g: _each(self._outside(g), lambda v: F.transform(F.filter(g["exons"], lambda x: near(v, x)), lambda x: F.struct(v.alias("v"), x.alias("x"))))
+        return self._built(lambda g: self._judged(met(g), window, lambda ratio: ratio > STRONGER, lambda t, kept: _each(kept, lambda m: moved(g, m["v"], m["x"]))))
 
     def deep_intronic(self, most: int, least_intron: int, least_ratio: float) -> DataFrame:
         """A variant deep in an intron that strengthens exon definition: cryptic exons around it, with their introns.
@@ -312,26 +392,31 @@ class Regulation:
         it, each within `most` bases of it, make exons of at most `most` bases whose track sum is least_ratio or more; introns
         of `least_intron` or more join them to every donor and acceptor of the graph in the same intron, ends included.
         """
-        k, c = self.key, F.col
-        intron = _named(self.edges, k, "i", "annotated and kind = 'intron'")
-        met = self._outside().join(intron, k).filter((c("vb") - c("i_begin") >= least_intron) & (c("i_end") - c("ve") >= least_intron))
-        met = met.filter((c("vb") - AROUND >= c("i_begin")) & (c("ve") + AROUND <= c("i_end")))
-        strong = self._judged(met, c("vb") - AROUND, c("ve") + AROUND, c("ratio") > STRONGER)
-        side = lambda kind, p: self.sites.filter(c("kind") == kind).select(k, c("v").alias(p), c("begin").alias(f"{p}b"), c("end").alias(f"{p}e"))
-        open_ = strong.join(side("AG", "a"), k).filter((c("ab") >= c("vb") - most) & (c("ab") < c("vb")))
-        both = open_.join(side("GT", "d"), k).filter((c("db") >= c("ve")) & (c("db") < c("ve") + most) & (c("db") - c("ae") <= most) & (c("db") >= c("ae")))
-        if self.values:
-            found = sums_by_graph(both, self.tracks, k, "ae", "db", {"alt": self.values["alt"]}).select(k, F.inline("rows"))
-            scored = found.filter(c("alt") >= least_ratio)
-        else:
-            scored = both.join(self.tracks.select(k, "alt"), k).filter(interval_score(c("alt"), c("ae"), c("db")) >= least_ratio)
-        exons = scored.select(k, "a", "ab", "ae", "d", "db", "de", "i_begin", "i_end").distinct()
-        own = lambda kind, p: self.vertices.filter(c("kind") == kind).select(k, name(c("kind"), c("begin")).alias(p), c("begin").alias(f"{p}b"), c("end").alias(f"{p}e"))
-        before = exons.join(own("GT", "g"), k).filter((c("ge") >= c("i_begin")) & (c("gb") <= c("i_end")) & (c("ab") - c("ge") >= least_intron))
-        after = exons.join(own("AG", "h"), k).filter((c("he") >= c("i_begin")) & (c("hb") <= c("i_end")) & (c("hb") - c("de") >= least_intron))
-        return _bridge(
-            _made(exons, k, "a", "d", "exon", "ae", "db", "cryptic-exon"), _made(before, k, "g", "a", "intron", "ge", "ab", "regulatory"), _made(after, k, "d", "h", "intron", "de", "hb", "regulatory")
-        )
+        margin = max(least_intron, AROUND)
+        deep = lambda v, i: (v["vb"] - i["begin"] >= margin) & (i["end"] - v["ve"] >= margin)
+        met = lambda g: _each(self._outside(g), lambda v: F.transform(F.filter(g["introns"], lambda i: deep(v, i)), lambda i: F.struct(v.alias("v"), i["begin"].alias("lo"), i["end"].alias("hi"))))
+
+        def exons(g: Column, t: Column, m: Column) -> Column:
+            v = m["v"]
+            fits = lambda a, d: (d["begin"] - a["end"] <= most) & (d["begin"] >= a["end"]) & (self._sum(t["alt"], a["end"], d["begin"]) >= least_ratio)
+            mates = lambda a: F.filter(self._near(g, "GT", v["ve"], v["ve"] + most), lambda d: fits(a, d))
+            return _each(self._near(g, "AG", v["vb"] - most, v["vb"]), lambda a: F.transform(mates(a), lambda d: F.struct(a.alias("a"), d.alias("d"), m["lo"].alias("lo"), m["hi"].alias("hi"))))
+
+        own = lambda g, kind, x: F.filter(g["vertices"], lambda w: (w["kind"] == kind) & (w["end"] >= x["lo"]) & (w["begin"] <= x["hi"]))
+
+        def edges(g: Column, x: Column) -> Column:
+            a, d = x["a"], x["d"]
+            before = F.filter(own(g, "GT", x), lambda w: a["begin"] - w["end"] >= least_intron)
+            after = F.filter(own(g, "AG", x), lambda w: w["begin"] - d["end"] >= least_intron)
+            return F.concat(
+                F.array(_edge(a["v"], d["v"], "exon", a["end"], d["begin"], "cryptic-exon")),
+                F.transform(before, lambda w: _edge(name(w["kind"], w["begin"]), a["v"], "intron", w["end"], a["begin"], "regulatory")),
+                F.transform(after, lambda w: _edge(d["v"], name(w["kind"], w["begin"]), "intron", d["end"], w["begin"], "regulatory")),
+            )
+
+        window = lambda m: (m["v"]["vb"] - AROUND, m["v"]["ve"] + AROUND)
+        then = lambda g: lambda t, kept: _each(F.array_distinct(_each(kept, lambda m: exons(g, t, m))), lambda x: edges(g, x))
+        return self._built(lambda g: self._judged(met(g), window, lambda ratio: ratio > STRONGER, then(g)))
 
 
 def scored_edges(edges: DataFrame, tracks: DataFrame, key: str, scale: float = 1.0, least_retention: float = -math.inf, least_cryptic: float = -math.inf) -> DataFrame:

@@ -259,3 +259,23 @@ def test_sums_by_graph(spark):
 def test_parts_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(sg, "PART_ROWS", 10)
     assert sg.together(spark.range(1000).withColumnRenamed("id", "t"), "t").rdd.getNumPartitions() == 100
+
+
+def test_edits_by_variants_look_up_within_a_row(spark):
+    """Joins of a transcript's vertices, edges, variants and sites held a sorted page each, 1,905 MB a task."""
+    from strandline.plans import catalogue
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("p15_cryptic_exons", "p16_weakened", "p16_shortened", "p16_extended", "p16_deep_intronic"):
+            plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_graph_row_holds_each_fresh_site_once(spark):
+    vertices, edges = chain(spark)
+    sites = spark.createDataFrame([(1, "AG", 310), (1, "AG", 310), (1, "AG", 298), (None, "AG", 5), (2, "GT", 9)], "t int, kind string, begin int")
+    got = {r.t: (len(r.edges), len(r.vertices), [tuple(s) for s in r.sites]) for r in sg.graph_rows("t", edges, vertices, sites).collect()}
+    assert got == {1: (7, 8, [("AG", 310, 312, "AG@310")]), 2: (0, 0, [("GT", 9, 11, "GT@9")])}
