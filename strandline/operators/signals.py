@@ -7,6 +7,7 @@ a Sensor with its fixed numbers. Windows are cut in one pass over a sequence and
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -313,17 +314,25 @@ def lost_upstream_orfs(df: DataFrame, ident: str, ref: str, alt: str, ref_exons:
     intronic there (alt_score null), no start codon any more, or scores below the cutoff. length runs to the end of the first
     stop codon in frame, or of the last whole codon. Stops are found once for each frame, so a transcript costs its length.
     """
-    rows = df.select(ident, F.upper(ref).alias("__r"), F.upper(alt).alias("__a"), F.col(ref_exons).alias("rx"), F.col(alt_exons).alias("ax"), F.col(cds).alias("cds"), sq.cigar_segments(F.col(cigar)).alias("seg"))
+    rows = df.select(ident, F.upper(ref).alias("__r"), F.upper(alt).alias("__a"), F.col(ref_exons).alias("rx"), F.col(alt_exons).alias("ax"), F.col(cds).alias("cds"), F.col(cigar).alias("cigar"))
     rows = rows.withColumn("rr", sq.splice(F.col("__r"), F.col("rx"))).withColumn("ar", sq.splice(F.col("__a"), F.col("ax"))).drop("__r", "__a")
-    stops = sq.stop_positions(F.col("rr"))
-    main = sq.spliced_position(F.col("rx"), F.col("cds"))
-    found = rows.withColumn("stops", stops).withColumn("main", main).select("*", F.posexplode(sq.kmers(F.col("rr"), len(sensor.consensus[0]))).alias("at", "codon"))
-    tried = found.filter(F.col("codon").isin(*sensor.consensus) & (F.col("at") < F.col("main")))
-    both = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [long.select(F.col("matrix").alias("m1")), short.select(F.col("matrix").alias("m2"))], tried)
-    scored = both.withColumn("ref_score", _start_score(F.col("rr"), F.col("at"), F.col("m1"), sensor, F.col("m2"), short_width)).filter(F.col("ref_score") >= sensor.cutoff)
-    placed = scored.withColumn("ref_pos", sq.genomic_position(F.col("rx"), F.col("at"))).withColumn("alt_pos", sq.map_position(F.col("seg"), F.col("ref_pos")))
-    there = placed.withColumn("to", sq.spliced_position(F.col("ax"), F.col("alt_pos")))
-    new = there.withColumn("alt_score", _start_score(F.col("ar"), F.col("to"), F.col("m1"), sensor, F.col("m2"), short_width))
+    rows = rows.withColumn("stops", sq.stop_positions(F.col("rr"))).withColumn("main", sq.spliced_position(F.col("rx"), F.col("cds")))
+    both = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [long.select(F.col("matrix").alias("m1")), short.select(F.col("matrix").alias("m2"))], rows)
+    score = lambda rna, at: _start_score(F.col(rna), at, F.col("m1"), sensor, F.col("m2"), short_width)
+    # only start codons that score unfold: a row for every place would carry the whole transcript
+    codons = sq.windows_at(F.col("rr"), "|".join(map(re.escape, sensor.consensus)), [0], len(sensor.consensus[0]))
+    starts = F.transform(F.filter(codons, lambda c: c["pos"] < F.col("main")), lambda c: F.struct(c["pos"].alias("at"), score("rr", c["pos"]).alias("ref_score")))
+    scored = both.select("*", F.inline_outer(F.filter(starts, lambda x: x["ref_score"] >= sensor.cutoff))).filter("at is not null")
+
+    def once(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body (an array) of a value that is worked out once, however often body names it."""
+        return F.flatten(F.transform(F.array(value), body))
+
+    told = lambda p, q, to: F.array(F.struct(p.alias("ref_pos"), q.alias("alt_pos"), score("ar", to).alias("alt_score")))
+    there = lambda p, q: once(sq.spliced_position(F.col("ax"), q), lambda to: told(p, q, to))
+    mapped = lambda seg, p: once(sq.map_position(seg, p), lambda q: there(p, q))
+    places = once(sq.cigar_segments(F.col("cigar")), lambda seg: once(sq.genomic_position(F.col("rx"), F.col("at")), lambda p: mapped(seg, p)))
+    new = scored.select(ident, "at", "ref_score", "rr", "stops", F.inline_outer(places))
     end = F.array_min(F.filter(F.get("stops", (F.col("at") % 3).cast("int")), lambda s: s > F.col("at")))
     length = F.coalesce(end + 3 - F.col("at"), F.floor((F.length("rr") - F.col("at")) / 3).cast("int") * 3)
     return new.filter(F.coalesce(F.col("alt_score") < sensor.cutoff, F.lit(True))).select(ident, "ref_pos", "alt_pos", "ref_score", "alt_score", length.cast("int").alias("length"))

@@ -127,3 +127,8 @@ def test_sequences_are_cut_block_by_block(spark, monkeypatch):
     got = intervals.segments(spark.createDataFrame(masked, "c string, b long, e long"), spark.createDataFrame(lengths, "c string, n long"), "c", "b", "e", "n", 5)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert got.rdd.getNumPartitions() > len(lengths)
+
+
+def test_upstream_frames_unfold_only_start_codons_that_score(spark):
+    plan = training_queries.lost_upstream_orfs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # a row for every place of a transcript, with all of it
