@@ -376,6 +376,32 @@ def test_fuzzy_lines(spark):
     assert line_dedup.fuzzy_line_dedup(docs(spark, [])).count() == 0
 
 
+def test_a_family_compares_no_more_pairs_than_follow_its_lines(spark, monkeypatch):
+    rng = random.Random(3)
+    base = " ".join("".join(rng.choices("abcdefghijkl", k=7)) for _ in range(60))
+    rows = [(k, f"{base} {k}") for k in range(150)]
+    measured, distances = [], line_dedup.distances
+    monkeypatch.setattr(line_dedup, "distances", lambda pairs, *more: measured.append(pairs.count()) or distances(pairs, *more))
+    got = line_dedup.fuzzy_line_dedup(docs(spark, rows)).collect()
+    assert {r.keep_doc_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert sum(measured) <= 12 * len(rows)  # of 11,175 pairs
+    monkeypatch.setattr(line_dedup, "distances", lambda pairs, texts, ws, parts=1: distances(pairs, texts, ws, 3))
+    assert sorted(line_dedup.fuzzy_line_dedup(docs(spark, rows)).collect()) == sorted(got)
+
+
+def test_a_large_group_of_unlike_lines_takes_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choices("abcdefghijkl ", k=80))) for k in range(400)]
+    rows += [(1000 + k, f"{rows[k][1]}.") for k in range(0, 400, 40)]
+    rounds, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links, ws: rounds.append(1) or components(links, ws))
+    monkeypatch.setattr(line_dedup, "_bands", lambda: [[]])  # all lines meet in one group
+    monkeypatch.setattr(line_dedup, "PART", 100)
+    got = line_dedup.fuzzy_line_dedup(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in got if r.doc_id != r.keep_doc_id} == {(1000 + k, k) for k in range(0, 400, 40)}
+    assert len(rounds) <= 2
+
+
 # --- licences and toxicity
 
 
