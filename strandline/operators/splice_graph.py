@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
@@ -458,11 +458,11 @@ def _by_graph(edges: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("edges"))
 
 
-def _dicts(lists: pa.Array) -> Iterator[list[dict]]:
-    """The structs of each list, a column at a time."""
+def _dicts(lists: pa.Array, only: tuple[str, ...] = ()) -> Iterator[list[dict]]:
+    """The structs of each list, a column at a time; only: the fields that are wanted, all by default."""
     flat = lists.flatten()
-    names = [f.name for f in flat.type]
-    rows = [dict(zip(names, v, strict=True)) for v in zip(*[c.to_pylist() for c in flat.flatten()], strict=True)]
+    columns = {f.name: c for f, c in zip(flat.type, flat.flatten(), strict=True) if not only or f.name in only}
+    rows = [dict(zip(columns, v, strict=True)) for v in zip(*[c.to_pylist() for c in columns.values()], strict=True)]
     at = 0
     for n in lists.value_lengths().to_pylist():
         yield rows[at : at + n]
@@ -591,10 +591,11 @@ def best_paths_of(graphs: DataFrame, key: str, n: int, phased: bool = False) ->
     ship(graphs.sparkSession)
     kind = pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64()), ("rank", pa.int32()), ("annotated", pa.bool_()), ("phase", pa.int32())]))
     head = f"{key} {graphs.schema[key].dataType.simpleString()}"
+    wanted = ("src", "dst", "annotated", *(("kind", "begin", "end", "scores") if phased else ("score",)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_best(e, n, phased) for e in _dicts(batch.column(1))]
+            found = [_best(e, n, phased) for e in _dicts(batch.column(1), wanted)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, "paths"])
 
     out = graphs.mapInArrow(best, f"{head}, paths array<struct<path:string,score:double,rank:int,annotated:boolean,phase:int>>")
@@ -604,8 +605,9 @@ def best_paths_of(graphs: DataFrame, key: str, n: int, phased: bool = False) ->
 def likely_paths(paths: DataFrame, key: str, least: float) -> DataFrame:
     """Paths with their posterior among those of the transcript, at least `least`; mapped: it is the only one left, and annotated."""
     kept = posterior(paths, [key], F.col("score")).filter(F.col("posterior") >= least)
-    alone = kept.groupBy(key).agg((F.count("*") == 1).alias("alone"))
-    return kept.join(alone, key).withColumn("mapped", F.col("alone") & F.col("annotated")).drop("alone")
+    # beside the posterior, in one pass: a join with their counts would search all paths twice
+    alone = F.count("*").over(Window.partitionBy(key)) == 1
+    return kept.withColumn("mapped", alone & F.col("annotated"))
 
 
 def exons_of(path: Column) -> Column:

@@ -279,3 +279,11 @@ def test_a_graph_row_holds_each_fresh_site_once(spark):
     sites = spark.createDataFrame([(1, "AG", 310), (1, "AG", 310), (1, "AG", 298), (None, "AG", 5), (2, "GT", 9)], "t int, kind string, begin int")
     got = {r.t: (len(r.edges), len(r.vertices), [tuple(s) for s in r.sites]) for r in sg.graph_rows("t", edges, vertices, sites).collect()}
     assert got == {1: (7, 8, [("AG", 310, 312, "AG@310")]), 2: (0, 0, [("GT", 9, 11, "GT@9")])}
+
+
+def test_paths_are_searched_once(spark):
+    """Counting a transcript's likely paths used to search all paths again."""
+    from strandline.plans import catalogue
+
+    plan = catalogue.queries()["p20_mapped_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the sums of the tracks, and the search
