@@ -2,7 +2,9 @@
 
 import random
 
-from strandline.llm import jaccard_join, line_dedup
+import numpy as np
+
+from strandline.llm import common, jaccard_join, line_dedup
 from strandline.llm.common import Workspace
 
 
@@ -48,3 +50,18 @@ def test_sets_of_lines_are_built_once_a_pair(spark):
     got = line_dedup.distances(pairs, texts, ws).filter("linked")
     assert [(r.x, r.p, round(r.d, 6)) for r in got.collect()] == [(1, 2, round(1 / 7, 6))]
     assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_sets_are_parted_before_they_travel(spark):
+    """Bucket counts of long sets are all alike; pairs of them used to be measured by their complete sets."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 50, 6000)
+    sets = [base, np.concatenate([base[:5700], rng.integers(0, 1 << 50, 300)]), np.concatenate([base[:5400], rng.integers(0, 1 << 50, 600)]), *[rng.integers(0, 1 << 50, 6000) for _ in range(3)]]
+    rows = [(k, len(s), np.bincount(s % jaccard_join.BUCKETS, minlength=jaccard_join.BUCKETS).tolist(), s.tolist()) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, jaccard_join.NODES)
+    ws = common.Workspace(spark)
+    pairs = spark.createDataFrame([(x, p) for x in range(6) for p in range(x + 1, 6)], "x long, p long")
+    near = ws.put(jaccard_join._near(pairs, nodes, 0.2), "near")
+    assert near.count() == 15
+    left = {(r.x, r.p) for r in jaccard_join._nearer(near, nodes, ws, 0.2, 20000.0).collect()}
+    assert {(0, 1), (0, 2)} <= left <= {(0, 1), (0, 2), (1, 2)}
